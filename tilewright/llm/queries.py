@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import chat, sharding, url_filters
+from . import chat, fingerprints, language_id, quality, sharding, url_filters
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,29 @@ group by k, page_id
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge(_table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _remainder(n: int):
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n
+
+
+@_query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, _table(spark, sf_dir, "labels"), _remainder(5) != 0)
+    scored = quality.score(docs, model)
+    held = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    samples = language_id.learn_samples(docs.select("doc_id", "lang", "text"), _remainder(3) != 1)
+    held = F.coalesce(_remainder(3) == 1, F.lit(False))
+    return language_id.predict(docs.select("doc_id", "text"), samples).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@_query()
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_fingerprints(_table(spark, sf_dir, "documents"))
