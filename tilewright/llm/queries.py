@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import chat, fingerprints, language_id, quality, sharding, url_filters
+from . import chat, fingerprints, language_id, near_dedup, quality, sharding, url_filters
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query("""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
+each as (select doc_id, hash(unnest(s)) as h from sets),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from each a join each b on a.h = b.h and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * shared >= 85 * (len(x.s) + len(y.s) - shared)),
+reach(doc_id, c) as (select doc_id, doc_id from sets union select b, c from reach join links on a = doc_id where c < b)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(c) as component_id, min(c) = s.doc_id as kept
+from sets s join reach r on r.doc_id = s.doc_id group by s.doc_id, s.s
+""")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
