@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import chat, fingerprints, language_id, line_dedup, near_dedup, quality, sharding, url_filters
+from . import chat, decontamination, fingerprints, language_id, line_dedup, near_dedup, quality, sharding, url_filters
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,9 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@_query()
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_passages(docs, _table(spark, sf_dir, "benchmark"))
