@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import chat, decontamination, fingerprints, language_id, line_dedup, near_dedup, quality, sharding, url_filters
+from . import chat, decontamination, fingerprints, language_id, line_dedup, near_dedup, quality, sentence_pieces, sharding, url_filters
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.find_passages(docs, _table(spark, sf_dir, "benchmark"))
+
+
+# Where the public tokenizers are; a parameter of the operator.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query()
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL)
+    back = sentence_pieces.decode(coded, MODEL)
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
