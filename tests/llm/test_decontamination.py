@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tilewright.llm.decontamination import align, edit_budget, find_passages, normalise
+from tilewright.llm.decontamination import align, edit_budget, find_passages, mark_documents, normalise, passage_batches
 
 
 def _norm(text):
@@ -72,9 +72,11 @@ def test_found_passages_match_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("size", [1, 1000])
-def test_batches_and_empty_tables(spark, size):
+@pytest.mark.parametrize("size", [1, 1 << 20])
+def test_batches_and_empty_tables(spark, monkeypatch, size):
+    monkeypatch.setattr(passage_batches, "__defaults__", (*passage_batches.__defaults__[:-1], size))
     docs = spark.createDataFrame([(1, "here is a passage of some length to be found, in a text"), (None, "a passage of some length to be found")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a passage of some length to be found"), (2, "another one that no text has at all")], "item_id long, text string")
     assert sorted((r["doc_id"] or 0, r["item_id"]) for r in find_passages(docs, bench).collect()) == [(0, 1), (1, 1)]
+    assert sorted(r["passages"] for r in mark_documents(docs, bench).collect()) == [[1], [1]]
     assert find_passages(docs.where("doc_id < 0"), bench).count() == 0 and find_passages(docs, bench.where("item_id < 0")).count() == 0

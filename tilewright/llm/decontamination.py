@@ -237,3 +237,29 @@ def _searcher(items: tuple[tuple[int, bytes], ...], rate: float):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["doc_id", "item_id", "start", "end", "edits"])
 
     return run
+
+
+def mark_documents(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """Add ``passages`` (array<long>), the sorted benchmark items that each row holds; a column of that name is replaced.
+
+    Matches are those of :func:`find_passages`. No row moves between tasks.
+    """
+    kept = [c for c in docs.columns if c != "passages"]
+    out = docs.select(*kept).withColumn("passages", F.expr("cast(array() as array<bigint>)"))
+    for items in passage_batches(benchmark, item_id):
+        out = out.mapInArrow(_marker(items, rate, text), out.schema)
+    return out
+
+
+def _marker(items: tuple[tuple[int, bytes], ...], rate: float, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(items, rate)
+        for block in blocks(batches, text):
+            data, off, _ = normalise(*utf8(block.column(text)))
+            held = [set(x) for x in block.column("passages").to_pylist()]
+            for r, i, *_ in _search(data, off, index):
+                held[r].add(index.ids[i])
+            at = block.schema.get_field_index("passages")
+            yield block.set_column(at, "passages", pa.array([sorted(x) for x in held], pa.list_(pa.int64())))
+
+    return run
