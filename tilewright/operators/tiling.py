@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import polygon
 from ..functions.geometry import box, box_intersection
@@ -20,7 +21,7 @@ from .spatial_join import cells
 DEFAULT_SLIDES = ((512, 0), (0, 512), (512, 512))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ring_area_in_box(ring: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """Area of each ring inside its box."""
     return pd.Series([polygon.clip_area(polygon.as_ring(r), *b) for r, *b in zip(ring, x0, y0, x1, y1)], dtype=float)
