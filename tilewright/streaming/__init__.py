@@ -1 +1 @@
-
+"""Annotations that arrive over time."""
