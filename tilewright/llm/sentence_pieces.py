@@ -31,7 +31,7 @@ UNIGRAM = 1
 SCALE = 1 << 16
 NONE = -(1 << 60)
 CHUNK = 1 << 15
-CACHED_SPANS = 200_000
+CACHED_SPANS = 150_000
 # Fixed penalty of SentencePiece for a character that no piece covers.
 UNKNOWN_PENALTY = 10
 
@@ -47,8 +47,10 @@ class Pieces:
     longest: int
     unknown: int
     span: re.Pattern
-    prefixes: set[str] = field(default_factory=set)
+    #: Every prefix of a piece, with the piece's score where it is one itself, else None.
+    prefixes: dict[str, int | None] = field(default_factory=dict)
     cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    older: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
 
 @lru_cache(maxsize=2)
@@ -77,61 +79,80 @@ def load(model: bytes) -> Pieces:
         if usable:
             rank += 1
             value = p.score if m.trainer_spec.model_type == UNIGRAM else -math.log(rank + 1)
-            by_text[text] = (i, round(value * SCALE))
+            by_text[text] = (i, min(-1, round(value * SCALE)))
     inner = any(" " in t.lstrip(" ") for t in by_text)
     lines = any("\n" in t for t in by_text)
     # between a character and a space, and around line ends, no piece crosses: spans are best on their own
     span = "(?s).+" if inner else r" *[^ ]+| +" if lines else r" *[^ \n]+| +|\n"
     worst = min(s for _, s in by_text.values())
     out = Pieces(by_text, byte_ids, as_bytes, spec.add_dummy_prefix, max(map(len, by_text)), worst - UNKNOWN_PENALTY * SCALE, re.compile(span))
-    out.prefixes = {t[:k] for t in by_text for k in range(1, len(t) + 1)}
+    out.prefixes = {t[:k]: None for t in by_text for k in range(1, len(t) + 1)}
+    out.prefixes |= {t: score for t, (_, score) in by_text.items()}
     return out
 
 
-def arcs(text: str, at: int, pieces: Pieces) -> Iterator[tuple[int, int, tuple[int, ...] | None]]:
-    """(end, score, ids) of the pieces from ``at``; a character that no piece is has its bytes, ids None."""
+def arcs(text: str, at: int, pieces: Pieces) -> Iterator[tuple[int, int]]:
+    """(end, score) of the pieces from ``at``; a character that no piece is has its bytes. Scores are below 0."""
     one = False
     for end in range(at + 1, min(len(text), at + pieces.longest) + 1):
-        part = text[at:end]
-        if part not in pieces.prefixes:
+        score = pieces.prefixes.get(text[at:end], 0)
+        if score == 0:
             break
-        if (known := pieces.by_text.get(part)) is not None:
+        if score is not None:
             one = one or end == at + 1
-            yield end, known[1], (known[0],)
+            yield end, score
     if not one:
-        yield at + 1, pieces.unknown, None
+        yield at + 1, pieces.unknown
 
 
 def best_path(text: str, pieces: Pieces) -> tuple[int, tuple[int, ...]]:
     """The best score of ``text`` and its ids; of equal paths, the one with the longer piece at its end."""
-    n = len(text)
-    score, back = [0] + [NONE] * n, [None] * (n + 1)
+    n, wide, known, unknown = len(text), pieces.longest, pieces.prefixes.get, pieces.unknown
+    score, back = [NONE] * (n + 1), [0] * (n + 1)
+    score[0] = 0
     for i in range(n):
-        base = score[i]
-        for end, s, ids in arcs(text, i, pieces):
-            if base + s > score[end]:
-                score[end], back[end] = base + s, (i, ids)
+        base, end = score[i], i + 1
+        # a single character, or its bytes
+        s = known(text[i:end], 0)
+        total = base + (s or unknown)
+        if total > score[end]:
+            score[end], back[end] = total, i
+        if s == 0:
+            continue
+        for end in range(i + 2, min(n, i + wide) + 1):
+            s = known(text[i:end], 0)
+            if s:
+                total = base + s
+                if total > score[end]:
+                    score[end], back[end] = total, i
+            elif s == 0:
+                break
     out, j = [], n
     while j:
-        i, ids = back[j]
-        out.append(ids if ids is not None else tuple(pieces.byte_ids[b] for b in text[i:j].encode("utf-8", "surrogatepass")))
+        i = back[j]
+        piece = pieces.by_text.get(text[i:j])
+        out.append((piece[0],) if piece else tuple(pieces.byte_ids[b] for b in text[i:j].encode("utf-8", "surrogatepass")))
         j = i
     return score[n], tuple(x for ids in reversed(out) for x in ids)
 
 
 def encode_text(text: str, pieces: Pieces) -> list[int]:
-    """Ids of a text without the dummy prefix, span by span."""
+    """Ids of a text without the dummy prefix, span by span.
+
+    Spans met before are looked up in two generations of bounded caches, so
+    frequent ones stay.
+    """
     out: list[int] = []
-    cache = pieces.cache
+    get, older = pieces.cache.get, pieces.older.get
     for span in pieces.span.findall(text):
-        ids = cache.get(span)
+        ids = get(span)
         if ids is None:
-            ids = best_path(span, pieces)[1]
+            ids = older(span) or best_path(span, pieces)[1]
             if len(span) <= 64:
-                if len(cache) >= CACHED_SPANS:
-                    cache.clear()
-                cache[span] = ids
+                pieces.cache[span] = ids
         out += ids
+    if len(pieces.cache) >= CACHED_SPANS:
+        pieces.older, pieces.cache = pieces.cache, {}
     return out
 
 
@@ -149,7 +170,7 @@ def transfer_matrix(text: str, size: int, pieces: Pieces, last: bool = False) ->
     stop = size if last else size + wide
     for i in range(size):
         if (score[i] > NONE).any():
-            for end, s, _ in arcs(text, i, pieces):
+            for end, s in arcs(text, i, pieces):
                 if end < size + wide and end <= stop:
                     live = score[i] > NONE
                     score[end, live] = np.maximum(score[end, live], score[i, live] + s)
