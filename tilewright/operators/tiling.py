@@ -24,7 +24,7 @@ DEFAULT_SLIDES = ((512, 0), (0, 512), (512, 512))
 @F.pandas_udf(T.DoubleType())
 def ring_area_in_box(ring: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """Area of each ring inside its box."""
-    return pd.Series([polygon.clip_area(polygon.as_ring(r), *b) for r, *b in zip(ring, x0, y0, x1, y1)], dtype=float)
+    return pd.Series([None if r is None else polygon.clip_area(polygon.as_ring(r), *b) for r, *b in zip(ring, x0, y0, x1, y1)], dtype=float)
 
 
 def bounding_regions(images: DataFrame, regions: DataFrame | None, bound: str | None) -> DataFrame:
