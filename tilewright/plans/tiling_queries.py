@@ -177,12 +177,15 @@ def components(spark, sf_dir):
 
 
 def _dets(spark, sf_dir):
-    return view(spark, sf_dir, "det").withColumn("ring", G.ring_of(G.box())).select("id", "class", "score", "ring")
+    return view(spark, sf_dir, "det").withColumn("ring", G.ring_of(G.box())).select("id", "image_id", "class", "score", "ring")
+
+
+KEYS = ["image_id", "class"]
 
 
 def _merged(spark, sf_dir, variant, *thresholds):
-    out = M.merge_detections(_dets(spark, sf_dir), ["class"], variant, *thresholds)
-    return out.select("class", F.array_min("members").alias("first"), F.size("members").alias("n"), F.round("score", 6).alias("score"), F.round(G.ring_area(F.col("ring")), 4).alias("area"))
+    out = M.merge_detections(_dets(spark, sf_dir), KEYS, variant, *thresholds)
+    return out.select(*KEYS, F.array_min("members").alias("first"), F.size("members").alias("n"), F.round("score", 6).alias("score"), F.round(G.ring_area(F.col("ring")), 4).alias("area"))
 
 
 @register("merge_iou")
@@ -204,13 +207,13 @@ def merge_rtree(spark, sf_dir):
 def merge_pipeline(spark, sf_dir):
     from ..sources.geojson import to_feature
 
-    merged = M.merge_detections(_dets(spark, sf_dir), ["class"])
+    merged = M.merge_detections(_dets(spark, sf_dir), KEYS)
     kept = merged.where(M.ring_is_valid("ring")).where(G.ring_area(F.col("ring")) > 1200)
     return kept.select(F.array_min("members").alias("first"), to_feature(F.col("class"), F.col("score"), F.col("ring")).alias("feature"))
 
 
 # Components of two whose pair meets the rule merge in one step, which SQL can say.
-_TWOS = _REACH + """, comp as (select id, min(c) as c from reach group by id), twos as (select c from comp group by c having count(*) = 2),
+_TWOS = _REACH.replace("a.class = b.class", "a.class = b.class and a.image_id = b.image_id") + """, comp as (select id, min(c) as c from reach group by id), twos as (select c from comp group by c having count(*) = 2),
 two as (select a.id as i, b.id as j, a.score as sa, b.score as sb, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) as s, (a.x1-a.x0)*(a.y1-a.y0) as aa, (b.x1-b.x0)*(b.y1-b.y0) as ab
   from twos join comp ca on ca.c = twos.c join comp cb on cb.c = twos.c and ca.id < cb.id join det a on a.id = ca.id join det b on b.id = cb.id)
 """
@@ -219,10 +222,10 @@ two as (select a.id as i, b.id as j, a.score as sa, b.score as sb, greatest(leas
 def _twos(spark, sf_dir, variant, *thresholds):
     dets = _dets(spark, sf_dir)
     b = G.ring_bounds(F.col("ring"))
-    comps = M.candidate_components(dets.withColumns({c: getattr(b, c) for c in b._fields}), ["class"], 256)
+    comps = M.candidate_components(dets.withColumns({c: getattr(b, c) for c in b._fields}), KEYS, 256)
     twos = comps.groupBy("component").agg(F.count("*").alias("n")).where("n = 2").select("component")
     own = comps.join(twos, "component").select(F.col("node").alias("id"))
-    merged = M.merge_detections(dets.join(own, "id", "left_semi"), ["class"], variant, *thresholds)
+    merged = M.merge_detections(dets.join(own, "id", "left_semi"), KEYS, variant, *thresholds)
     return merged.where(F.size("members") == 2).select(F.array_min("members").alias("id"), F.round("score", 4).alias("score"))
 
 
