@@ -49,6 +49,8 @@ class Pieces:
     span: re.Pattern
     #: Every prefix of a piece, with the piece's score where it is one itself, else None.
     prefixes: dict[str, int | None] = field(default_factory=dict)
+    #: The same as a trie: character to [further characters, score]; a single character always has a score.
+    trie: dict[str, list] = field(default_factory=dict)
     cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
     older: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
@@ -88,6 +90,12 @@ def load(model: bytes) -> Pieces:
     out = Pieces(by_text, byte_ids, as_bytes, spec.add_dummy_prefix, max(map(len, by_text)), worst - UNKNOWN_PENALTY * SCALE, re.compile(span))
     out.prefixes = {t[:k]: None for t in by_text for k in range(1, len(t) + 1)}
     out.prefixes |= {t: score for t, (_, score) in by_text.items()}
+    for text, (_, score) in by_text.items():
+        level = out.trie
+        for k, c in enumerate(text):
+            node = level.setdefault(c, [{}, out.unknown if k == 0 else None])
+            level = node[0]
+        node[1] = score
     return out
 
 
@@ -107,26 +115,21 @@ def arcs(text: str, at: int, pieces: Pieces) -> Iterator[tuple[int, int]]:
 
 def best_path(text: str, pieces: Pieces) -> tuple[int, tuple[int, ...]]:
     """The best score of ``text`` and its ids; of equal paths, the one with the longer piece at its end."""
-    n, wide, known, unknown = len(text), pieces.longest, pieces.prefixes.get, pieces.unknown
+    n, wide, trie, unknown = len(text), pieces.longest, pieces.trie, pieces.unknown
     score, back = [NONE] * (n + 1), [0] * (n + 1)
     score[0] = 0
     for i in range(n):
-        base, end = score[i], i + 1
-        # a single character, or its bytes
-        s = known(text[i:end], 0)
-        total = base + (s or unknown)
-        if total > score[end]:
-            score[end], back[end] = total, i
-        if s == 0:
-            continue
-        for end in range(i + 2, min(n, i + wide) + 1):
-            s = known(text[i:end], 0)
-            if s:
-                total = base + s
-                if total > score[end]:
-                    score[end], back[end] = total, i
-            elif s == 0:
+        base, end, level = score[i], i, trie
+        for c in text[i : i + wide]:
+            node = level.get(c)
+            if node is None:
                 break
+            end += 1
+            level, s = node
+            if s is not None and base + s > score[end]:
+                score[end], back[end] = base + s, i
+        if end == i and base + unknown > score[i + 1]:
+            score[i + 1], back[i + 1] = base + unknown, i
     out, j = [], n
     while j:
         i = back[j]
