@@ -59,6 +59,9 @@ def test_found_passages_match_brute_force(spark):
         docs.append((10 + i, say(r.choice([0, 5, 60])) + r.choice([" ", "\n", ""]) + part.replace(" ", r.choice([" ", "\n", "  "])).upper() + " " + say(r.choice([0, 20]))))
     docs.append((99, say(3000) + bench[3][1]))
     docs.append((100, "so tiny."))
+    # passages cut off by a text's start or end, within the budget and far beyond it
+    long = max((t for _, t in bench[:12]), key=len)
+    docs += [(200 + c, long[c:] + " " + say(9)) for c in (1, 3, 9, 40, len(long) // 2)] + [(300 + c, say(9) + " " + long[: len(long) - c]) for c in (1, 3, 9, 40, len(long) // 2)] + [(400, long[len(long) // 2 :])]
     frame = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, start int").repartition(3)
     got = {(x["doc_id"], x["item_id"]): x["edits"] for x in find_passages(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()}
     want = {}

@@ -178,11 +178,12 @@ def _search(data: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int,
         good = shared >= index.need[item]
         for k, i, r in zip((keys[good] % span + lead).tolist(), item[good].tolist(), (keys[good] // span // len(index.texts)).tolist()):
             body, budget = index.texts[i], int(index.budget[i])
-            low = max(0, k * (budget + 1) - budget)
-            high = (k + 2) * (budget + 1) + budget
-            window = data[off[r] + low : min(off[r + 1], off[r] + high + len(body))].tobytes()
+            # the band's diagonals and, on each side, those that the budget can reach; they may begin before the text
+            first, last = k * (budget + 1) - budget, (k + 2) * (budget + 1) + budget
+            low = max(0, first)
+            window = data[off[r] + low : max(off[r] + low, min(off[r + 1], off[r] + last + len(body)))].tobytes()
             exact = window.find(body)
-            at = (0, exact, exact + len(body)) if exact >= 0 else align(body, window, (high - low) // 2, (high - low) // 2 + 1, budget)
+            at = (0, exact, exact + len(body)) if exact >= 0 else align(body, window, (first + last) // 2 - low, (last - first) // 2 + 1, budget)
             if at is not None:
                 best = (at[0], low + at[1], low + at[2])
                 found[r, i] = min(found.get((r, i), best), best)
