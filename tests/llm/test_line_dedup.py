@@ -62,3 +62,28 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
 def test_plan_has_no_python(spark):
     plan = dedup_lines(_docs(spark, [(1, "one\ntwo")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def _family(r, lines, template, pairs):
+    """Lines of 80 characters that share a template, two by two alike but for ``pairs`` characters at the end."""
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, out = some(template), []
+    for _ in range(lines // 2):
+        tail = some(80 - template)
+        out += [head + tail, head + tail[: len(tail) - pairs] + some(pairs)]
+    return out
+
+
+def test_members_of_template_families_meet_each_other(spark):
+    r = random.Random(5)
+    rows = list(enumerate(_family(r, 1500, 58, 7) + _family(r, 1500, 66, 7)))
+    r.shuffle(rows)
+    sets = {i: _set(line) for i, line in rows}
+    alike = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert not any(alike(i, j) for i in range(0, 3000, 300) for j in range(i + 2, 3000))
+    got = {x["doc_id"]: x["text"] for x in dedup_lines(_docs(spark, rows)).collect()}
+    pairs = [i for i in range(0, 3000, 2) if alike(i, i + 1)]
+    assert len(pairs) > 1400
+    lost = [i for i in pairs if got[i + 1] != ""]
+    assert len(lost) <= len(pairs) // 100, len(lost)
+    assert all(got[i] == line for i, line in rows if i % 2 == 0)

@@ -21,6 +21,12 @@ FEW = 10
 LEAST_AGREEING = 6
 #: Bins of each band: three parallel classes of a four by four grid (columns, rows, one diagonal), so two bands share one bin at most.
 BANDS = [[4 * x + y for y in range(4)] for x in range(4)] + [[4 * x + (m * x + b) % 4 for x in range(4)] for m in (0, 1) for b in range(4)]
+#: Members up to which a bucket's two leaders meet every pair.
+LED = 3
+#: Members a side of a block of a larger bucket.
+BLOCK = 256
+#: Longs of a line's bitmap of shingles.
+WORDS = 8
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -34,18 +40,19 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def similar(a: Column, b: Column, min_percent: int) -> Column:
-    """Whether the Jaccard similarity of two lines' sets of ``SHINGLE``-character substrings is ``min_percent`` or more.
+def _shingles(line: Column) -> Column:
+    """Hashes of a line's ``SHINGLE``-character substrings, by place.
 
     A shorter line is its own one shingle. Characters are UTF-16 units, so that
     each substring is a slice of bytes at any place of a long line.
     """
+    places = lambda u: F.sequence(F.lit(1), F.greatest(F.octet_length(u) - F.lit(2 * SHINGLE - 1), F.lit(1)), F.lit(2))
+    return _let(F.encode(line, "UTF-16BE"), lambda u: F.transform(places(u), lambda p: F.xxhash64(F.substring(u, p, F.lit(2 * SHINGLE)))))
 
-    def shingles(line: Column) -> Column:
-        places = lambda u: F.sequence(F.lit(1), F.greatest(F.octet_length(u) - F.lit(2 * SHINGLE - 1), F.lit(1)), F.lit(2))
-        return _let(F.encode(line, "UTF-16BE"), lambda u: F.transform(places(u), lambda p: F.xxhash64(F.substring(u, p, F.lit(2 * SHINGLE)))))
 
-    sets = F.struct(shingles(a).alias("a"), shingles(b).alias("b"))
+def similar(a: Column, b: Column, min_percent: int) -> Column:
+    """Whether the Jaccard similarity of two lines' sets of :func:`_shingles` is ``min_percent`` or more."""
+    sets = F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))
     return _let(sets, lambda s: 100 * F.size(F.array_intersect(s["a"], s["b"])) >= min_percent * F.size(F.array_union(s["a"], s["b"])))
 
 
@@ -95,6 +102,63 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.select("a", "line").join(wanted, "a", "left_semi").groupBy("a").agg(F.first("line").alias("line"))
 
 
+def _confirmed(lines: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame:
+    """The pairs (x, y) whose lines are similar by their full shingle sets."""
+    wanted = materialize(pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct(), "wanted")
+    texts = materialize(_texts(lines, wanted), "texts")
+    both = pairs.join(texts.toDF("x", "lx"), "x").join(texts.toDF("y", "ly"), "y")
+    return both.where(similar(F.col("lx"), F.col("ly"), min_percent)).select("x", "y")
+
+
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """(a, n, w0 ..): the number of different shingles, and a bit for each in ``WORDS`` longs."""
+    each = texts.select("a", F.explode(F.array_distinct(_shingles(F.col("line")))).alias("x"))
+    words = [F.expr(f"coalesce(bit_or(case when x & {WORDS - 1}L = {i} then shiftleft(1L, cast(shiftrightunsigned(x, 8) & 63L as int)) end), 0L)").alias(f"w{i}") for i in range(WORDS)]
+    return each.groupBy("a").agg(F.count("*").alias("n"), *words)
+
+
+def _beyond_leaders(lines: DataFrame, each: DataFrame, leaders: DataFrame, packed: DataFrame, links: DataFrame, min_percent: int) -> DataFrame | None:
+    """Similar pairs (x, y) of one bucket that ``links`` do not join, found by comparing the members with each other.
+
+    A bucket whose members are all of one component has nothing to find. In
+    every other one, each member outside its largest component meets all of
+    other components, block by block. Lines that differ in d shingles differ in
+    d bits of their bitmaps at most, so a pair whose bitmaps differ in more bits
+    than similar sets of their sizes can is no similar pair, and no such pair is
+    put aside by its bitmap.
+    """
+    deep = materialize(leaders.where(F.col("members") > LED).select("key"), "deep")
+    count = deep.count()
+    if not count:
+        return None
+    near = materialize(connected_components(links, "x", "y"), "components")
+    near = F.broadcast(near) if small_enough(near.count(), 40) else near
+    inside = each.join(F.broadcast(deep) if small_enough(count, 40) else deep, "key")
+    inside = materialize(inside.join(near, inside["a"] == near["node"], "left").select("key", "a", F.coalesce("component", "a").alias("c")), "inside")
+    parts = inside.groupBy("key", "c").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("key").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("c", "k").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("key", "most", F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("other_blocks"))
+    mixed = materialize(mixed, "mixed")
+    count = mixed.count()
+    if not count:
+        return None
+    members = inside.join(F.broadcast(mixed) if small_enough(count, 40) else mixed, "key").withColumn("other", F.col("c") != F.col("most")).drop("most")
+    members = materialize(members, "members")
+    texts = _texts(lines, materialize(members.select("a").distinct(), "wanted"))
+    signs = materialize(_bitmaps(texts).join(packed, "a"), "signs")
+    dealt = members.join(signs, "a")
+    columns = ["a", "c", "other", "n", *[f"w{i}" for i in range(WORDS)], *[f"p{h}" for h in range(len(PACKS))]]
+    block = lambda seed, blocks: F.pmod(F.xxhash64("a", F.lit(seed)), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = dealt.where("other").select("key", block("other", "other_blocks").alias("i"), every("all_blocks").alias("j"), *[F.col(c).alias(f"l_{c}") for c in columns])
+    right = dealt.select("key", every("other_blocks").alias("i"), block("all", "all_blocks").alias("j"), *[F.col(c).alias(f"r_{c}") for c in columns])
+    differ = sum((F.bit_count(F.col(f"l_w{i}").bitwiseXOR(F.col(f"r_w{i}"))) for i in range(WORDS)), F.lit(0))
+    may = (differ * (100 + min_percent) <= (100 - min_percent) * (F.col("l_n") + F.col("r_n"))) & (_equal_bins("l_p", "r_p") >= LEAST_AGREEING)
+    once = (F.col("l_c") != F.col("r_c")) & (~F.col("r_other") | (F.col("l_a") < F.col("r_a")))
+    pairs = left.join(right, ["key", "i", "j"]).where(once & may).select(F.least("l_a", "r_a").alias("x"), F.greatest("l_a", "r_a").alias("y"))
+    return _confirmed(lines, materialize(pairs.distinct(), "pairs"), min_percent)
+
+
 def near_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (x, y) between similar lines, by their hash ``a``: exact Jaccard similarity of ``min_percent`` or more.
 
@@ -103,7 +167,8 @@ def near_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", t
     Leaders are found by extremes that combine map-side, so a bucket with very
     many lines gathers in no task. Proposals whose bins agree far less than such
     lines' would are put aside; the rest are confirmed on both lines' full
-    shingle sets.
+    shingle sets. Members of a bucket that are not joined by that are compared
+    with each other (:func:`_beyond_leaders`).
     """
     lines = lines_of(docs, doc_id, text).where("line <> ''").select("a", "line")
     bins = materialize(_filled(_bins(lines, KEPT)), "bins")
@@ -114,18 +179,17 @@ def near_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", t
     keys = F.array(*[F.xxhash64(F.lit(k), *[f"b{i}" for i in band]) for k, band in enumerate(BANDS)])
     each = bins.select("a", F.explode(keys).alias("key"))
     order = F.col("a").bitwiseXOR(F.col("key"))
-    leaders = each.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo <> hi")
-    leaders = materialize(leaders.select("key", *[F.col(c).bitwiseXOR(F.col("key")).alias(c) for c in ("lo", "hi")]), "leaders")
+    leaders = each.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    leaders = materialize(leaders.select("key", "members", *[F.col(c).bitwiseXOR(F.col("key")).alias(c) for c in ("lo", "hi")]), "leaders")
     pairs = each.join(leaders, "key").select("a", F.explode(F.array("lo", "hi")).alias("l")).where("a <> l")
     pairs = pairs.select(F.least("a", "l").alias("x"), F.greatest("a", "l").alias("y")).distinct()
     pairs = materialize(pairs, "proposed")
-    packed = bins.select("a", *_packed())
+    packed = bins.select("a", *_packed()).toDF("a", *[f"p{h}" for h in range(len(PACKS))])
     judged = pairs.join(packed.toDF("x", "p0", "p1", "p2"), "x").join(packed.toDF("y", "q0", "q1", "q2"), "y")
     judged = materialize(judged.where(_equal_bins("p", "q") >= LEAST_AGREEING).select("x", "y"), "judged")
-    wanted = materialize(judged.select(F.col("x").alias("a")).union(judged.select("y")).distinct(), "wanted")
-    texts = materialize(_texts(lines, wanted), "texts")
-    both = judged.join(texts.toDF("x", "lx"), "x").join(texts.toDF("y", "ly"), "y")
-    return both.where(similar(F.col("lx"), F.col("ly"), min_percent)).select("x", "y")
+    links = materialize(_confirmed(lines, judged, min_percent), "led")
+    more = _beyond_leaders(lines, each, leaders, packed, links, min_percent)
+    return links if more is None else links.union(more)
 
 
 def dedup_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
