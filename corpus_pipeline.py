@@ -13,6 +13,8 @@ from tilewright.storage import materialize, small_enough
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least similarity of near copies by their word shingles.
+NEAR_PERCENT = 80
 #: Where the public tokenizers are.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -36,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id stay.
     """
-    judged = materialize(near_dedup.near_duplicates(docs), "judged")
+    judged = materialize(near_dedup.near_duplicates(docs, NEAR_PERCENT), "judged")
     gone = judged.where("not kept").select("doc_id").distinct()
     many = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).where("n > 1 and kept").select("doc_id")
     gone, many = (F.broadcast(x) if small_enough(x.count(), 40) else x for x in (materialize(gone, "gone"), materialize(many, "many")))

@@ -25,3 +25,16 @@ def test_stages_by_hand(spark, tmp_path):
     for i, x in got.items():
         assert x["round_trip"] and x["ids"] == encode_text(" " + texts[i], pieces) and x["n_tokens"] == len(x["ids"])
     assert got[1]["lang"] == "aa"
+
+
+def test_near_copies_from_four_fifths_go(spark):
+    rows = []
+    for first, words in ((10, 200), (20, 240), (30, 180)):
+        text = [f"w{first}x{i}" for i in range(words)]
+        near = list(text)
+        for i in (20, 60, 100, 140):
+            near[i] = f"changed{i}"
+        rows += [(first, " ".join(text)), (first + 1, " ".join(near))]
+    # four changed words touch twenty shingles: 176 of 216 is 0.815, 216 of 256 is 0.844, 156 of 196 is 0.796
+    docs = spark.createDataFrame([(i, t, "aa", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in corpus_pipeline.near_copies(spark, docs, "").collect()} == {10, 20, 30, 31}
