@@ -29,6 +29,12 @@ def detectron_records(records: DataFrame, classes: DataFrame) -> DataFrame:
     return local_annotations(records).join(ids, "class").withColumns({"segmentation": flat, "height": F.col("ty1") - F.col("ty0"), "width": F.col("tx1") - F.col("tx0")})
 
 
+def patch_records(patches: DataFrame, classes: DataFrame) -> DataFrame:
+    """A patch's one class as an id from 0, one row per patch; sets of records are joined by ``unionByName``."""
+    ids = F.broadcast(classes.select(F.col("name").alias("class"), F.col("id").alias("class_id")))
+    return patches.join(ids, "class")
+
+
 def to_coco(annotations: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, categories, annotations): boxes as x, y, width, height; annotation ids from 1 in ``order``.
 

@@ -335,3 +335,52 @@ def read_txt_rois(spark, sf_dir):
 def model_cross(spark, sf_dir):
     models = spark.createDataFrame([("a", 100000.0), ("b", 250000.0), ("c", 400000.0)], "tag string, threshold double")
     return P.model_cross(view(spark, sf_dir, "det"), models).groupBy("tag", "class").agg(F.count("*").alias("n"))
+
+
+# The queries from here on take every row and every pixel of what the queries of the same names without ``_all`` take a part of.
+# DuckDB rounds to a negative zero, Spark to zero.
+@register("normalize_all", f"{_PIXELS} select vec_id, y, x, round(v / 255, 7) + 0.0::double as v from px")
+def normalize_all(spark, sf_dir):
+    return _probs(spark, sf_dir).select("vec_id", "y", "x", F.round(F.col("v").cast("double") / 255, 7).alias("v"))
+
+
+_ALL_BOXES = _BOXES.replace(" where id % 7 = 0", "")
+
+
+def _all_runs(spark, sf_dir):
+    local = view(spark, sf_dir, "det").selectExpr("image_id", "id", "category_id", "x0 % 256 as x0", "y0 % 256 as y0", "least(x0 % 256 + 16 + id % 48, 256) as x1", "least(y0 % 256 + 20, 256) as y1")
+    return local.withColumn("runs", P.fill_ring(G.ring_of(G.box()), F.lit(256), F.lit(256))).withColumnsRenamed({"category_id": "class", "id": "roi_idx"})
+
+
+@_det("rasterize_all", _ALL_BOXES + " select id as roi_idx, (x1-x0)*(y1-y0) as pixels from b")
+def rasterize_all(spark, sf_dir):
+    count = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["x1"] - r["x0"])
+    return _all_runs(spark, sf_dir).select("roi_idx", count.alias("pixels"))
+
+
+@register("semantic_records_all")
+def semantic_records_all(spark, sf_dir):
+    return P.semantic_pixels(_all_runs(spark, sf_dir), ["image_id"]).groupBy("image_id", "class").agg(F.count("*").alias("pixels"))
+
+
+@register("tile_mask_all")
+def tile_mask_all(spark, sf_dir):
+    flat = _all_runs(spark, sf_dir).select("image_id", F.explode("runs").alias("r")).select("image_id", F.col("r.y").alias("y"), F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"))
+    mask = P.merge_runs(flat, ["image_id"]).select("image_id", F.array(F.struct("y", "x0", "x1")).alias("runs"))
+    grid = spark.range(16).select((F.col("id") % 4).alias("tx"), F.floor(F.col("id") / 4).alias("ty"))
+    tiles = view(spark, sf_dir, "image").select("image_id").crossJoin(F.broadcast(grid)).selectExpr("image_id", "tx", "ty", "tx*64 as x0", "ty*64 as y0", "tx*64+64 as x1", "ty*64+64 as y1")
+    return P.mask_counts(mask, tiles, ["image_id"]).where("pixels * 4 >= 64 * 64").select("image_id", "tx", "ty", "pixels")
+
+
+@_gt("patch_records_all", "select id, cast(category_id - 1 as bigint) as class_id, 'det' as part from det union all select id, cast(category_id - 1 as bigint) as class_id, 'gt' as part from gt")
+def patch_records_all(spark, sf_dir):
+    det, gt = view(spark, sf_dir, "det"), view(spark, sf_dir, "gt")
+    classes = R.class_index(det, "class")
+    part = lambda df, name: D.patch_records(df, classes).select("id", F.col("class_id").cast("long").alias("class_id"), F.lit(name).alias("part"))
+    return part(det, "det").unionByName(part(gt, "gt"))
+
+
+@_gt("drop_unannotated_all", "select n_nationkey as id from nation where n_nationkey in (select image_id from gt where category_id = 1 and (x1-x0) % 30 > 1 and (y1-y0) % 30 > 1)")
+def drop_unannotated_all(spark, sf_dir):
+    images = view(spark, sf_dir, "image").select(F.col("image_id").alias("id"))
+    return D.drop_unannotated(images, _annotations(spark, sf_dir).where("category_id = 1"))
