@@ -384,3 +384,15 @@ def patch_records_all(spark, sf_dir):
 def drop_unannotated_all(spark, sf_dir):
     images = view(spark, sf_dir, "image").select(F.col("image_id").alias("id"))
     return D.drop_unannotated(images, _annotations(spark, sf_dir).where("category_id = 1"))
+
+
+@register("evaluate_images_all")
+def evaluate_images_all(spark, sf_dir):
+    return E.greedy_matches(_pairs(spark, sf_dir)[1]).select("pred_id", "gt_id")
+
+
+@register("average_precision_all")
+def average_precision_all(spark, sf_dir):
+    preds, pairs = _pairs(spark, sf_dir)
+    curve = E.precision_recall(preds, E.greedy_matches(pairs), view(spark, sf_dir, "gt"))
+    return E.average_precision(curve).select("category_id", F.round("ap", 6).alias("ap"))

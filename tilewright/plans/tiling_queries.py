@@ -245,3 +245,24 @@ def merge_score_max(spark, sf_dir):
 @register("merge_score_area_avg", with_views(_TWOS + f"select i as id, round((sa*aa + sb*ab) / (aa + ab), 4) as score from two where {_RULE}", "det"))
 def merge_score_area_avg(spark, sf_dir):
     return _twos(spark, sf_dir, "rtree")
+
+
+def _scores(spark, sf_dir, variant, *thresholds):
+    merged = M.merge_detections(_dets(spark, sf_dir), KEYS, variant, *thresholds)
+    return merged.select(F.array_min("members").alias("id"), F.size("members").alias("n"), F.round("score", 4).alias("score"))
+
+
+# The scores of all detections, merged or not, of components of any size.
+@register("merge_score_mean_all")
+def merge_score_mean_all(spark, sf_dir):
+    return _scores(spark, sf_dir, "iou", 0.3)
+
+
+@register("merge_score_max_all")
+def merge_score_max_all(spark, sf_dir):
+    return _scores(spark, sf_dir, "centroid")
+
+
+@register("merge_score_area_avg_all")
+def merge_score_area_avg_all(spark, sf_dir):
+    return _scores(spark, sf_dir, "rtree")
