@@ -15,18 +15,18 @@ KEPT = 96
 #: Longer lines are sampled no more thinly, so that one that repeats itself keeps some of its few shingles.
 LONG = 512
 PACKS = [range(0, 6), range(6, 12), range(12, 16)]
-#: A long line with fewer full bins counts as sparse.
-FEW = 10
+#: A sampled line with fewer full bins is hashed whole: it repeats itself, as others have this many but for one in 100,000.
+FEW = 14
 #: Bins that must agree, of sixteen, for a proposal to be confirmed: four standard errors below the mean at a similarity of 0.8.
 LEAST_AGREEING = 6
 #: Bins of each band: three parallel classes of a four by four grid (columns, rows, one diagonal), so two bands share one bin at most.
 BANDS = [[4 * x + y for y in range(4)] for x in range(4)] + [[4 * x + (m * x + b) % 4 for x in range(4)] for m in (0, 1) for b in range(4)]
-#: Members up to which a bucket's two leaders meet every pair.
-LED = 3
-#: Members a side of a block of a larger bucket.
+#: Members up to which all of a bucket meet each other; those of larger ones meet a leader and are banded again.
+SMALL = 64
+#: Members a side of a block, where even the second bands leave a large bucket that is not of one component.
 BLOCK = 256
 #: Longs of a line's bitmap of shingles.
-WORDS = 8
+WORDS = 16
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -56,34 +56,49 @@ def similar(a: Column, b: Column, min_percent: int) -> Column:
     return _let(sets, lambda s: 100 * F.size(F.array_intersect(s["a"], s["b"])) >= min_percent * F.size(F.array_union(s["a"], s["b"])))
 
 
-def _bins(lines: DataFrame, kept: int) -> DataFrame:
-    """One permutation hashing: (a, n, found, m0 ..), the least shingle hash of each of ``BINS`` bins.
+def _at_places(lines: DataFrame, *columns: Column) -> DataFrame:
+    """(a, n, columns, u, p): a row for each of a line's ``n`` shingle places, ``u`` being its UTF-16 bytes."""
+    units = lines.select("a", F.encode("line", "UTF-16BE").alias("u"))
+    units = units.withColumn("n", F.greatest(F.expr(f"cast(length(u) / 2 as int) - {SHINGLE - 1}"), F.lit(1)))
+    return units.select("a", "n", *columns, "u", F.explode(F.expr("sequence(1, n)")).alias("p"))
+
+
+def _bins(lines: DataFrame, kept: int, *salt: Column) -> DataFrame:
+    """One permutation hashing: (a, n, m0 ..), the least shingle hash of each of ``BINS`` bins.
 
     A shingle counts if its hash is below a threshold of about ``kept`` / length,
-    the length taken as ``LONG`` at most, so long lines cost little, and a bin's value, where there is one, is the same
-    under any threshold. ``n`` is the line's number of shingle places. Minima
-    combine before the shuffle.
+    the length taken as ``LONG`` at most, so long lines cost little, and a bin's
+    value, where there is one, is the same under any threshold. ``n`` is the
+    line's number of shingle places. Minima combine before the shuffle.
     """
-    units = lines.select("a", F.encode("line", "UTF-16BE").alias("u"))
-    units = units.withColumn("n", F.greatest(F.expr(f"cast(length(u) / 2 as int) - {SHINGLE - 1}"), F.lit(1)))
-    units = units.withColumn("below", F.expr(f"case when n <= {kept} then {(1 << 63) - 1}L else cast({float(1 << 63)}D * {kept} / least(n, {LONG}) as long) end"))
-    at = units.select("a", "u", "n", "below", F.explode(F.expr("sequence(1, n)")).alias("p"))
-    hashed = at.select("a", "n", "below", "p", F.expr(f"xxhash64(substring(u, 2 * p - 1, {2 * SHINGLE})) & {(1 << 63) - 1}L").alias("x"))
+    below = F.expr(f"case when n <= {kept} then {(1 << 63) - 1}L else cast({float(1 << 63)}D * {kept} / least(n, {LONG}) as long) end").alias("below")
+    hashed = _at_places(lines, below).withColumn("x", F.xxhash64(F.expr(f"substring(u, 2 * p - 1, {2 * SHINGLE})"), *salt).bitwiseAND((1 << 63) - 1))
     near = hashed.where("x <= below or p = 1").select("a", "n", F.expr("x <= below").alias("ok"), F.expr(f"cast(x & {BINS - 1}L as int)").alias("bin"), F.expr("cast(shiftright(x, 33) as int)").alias("v"))
     least = [F.min(F.expr(f"case when ok and bin = {i} then v end")).alias(f"m{i}") for i in range(BINS)]
     return near.groupBy("a").agg(F.max("n").alias("n"), *least)
 
 
 def _filled(bins: DataFrame) -> DataFrame:
-    """(a, sparse, b0 ..): empty bins borrow from the next full one."""
-    full = sum((F.col(f"m{i}").isNotNull().cast("int") for i in range(BINS)), F.lit(0))
-    filled = [F.coalesce(*[F.col(f"m{(i + k) % BINS}") + F.lit(k) for k in range(BINS)]).alias(f"b{i}") for i in range(BINS)]
-    return bins.select("a", ((full < FEW) & (F.col("n") > KEPT)).alias("sparse"), *filled)
+    """(a, sparse, b, p0 ..): all bins as an array, and a byte of each packed into longs.
+
+    Empty bins borrow from the next full one, found by the lowest bit of a
+    turned mask of full bins.
+    """
+    mask = sum((F.when(F.col(f"m{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(BINS)), F.lit(0))
+    packed = bins.select("a", "n", mask.alias("mask"), F.array(*[f"m{i}" for i in range(BINS)]).alias("m"))
+    ahead = f"transform(sequence(0, {BINS - 1}), i -> bit_count((shiftrightunsigned(mask * {(1 << BINS) + 1}L, i) & -shiftrightunsigned(mask * {(1 << BINS) + 1}L, i)) - 1L))"
+    filled = packed.select("a", ((F.bit_count("mask") < FEW) & (F.col("n") > KEPT)).alias("sparse"), F.expr(f"transform({ahead}, (k, i) -> m[(i + k) % {BINS}] + k)").alias("b"))
+    packs = [F.expr(f"aggregate(slice(b, {part[0] + 1}, {len(part)}), 0L, (z, v) -> shiftleft(z, 8) | cast(v & 255 as bigint))").alias(f"p{h}") for h, part in enumerate(PACKS)]
+    return filled.select("a", "sparse", "b", *packs)
 
 
-def _packed() -> list[Column]:
-    """A byte of each bin, packed into three longs."""
-    return [sum((F.shiftleft(F.col(f"b{i}").bitwiseAND(255).cast("long"), 8 * k) for k, i in enumerate(part)), F.lit(0)) for part in PACKS]
+def _signatures(lines: DataFrame, *salt: Column) -> DataFrame:
+    """(a, sparse, b, p0 ..) of every line, written; self-repeating lines are hashed whole."""
+    bins = materialize(_filled(_bins(lines, KEPT, *salt)), "bins")
+    sparse = materialize(bins.where("sparse").select("a"), "sparse")
+    if sparse.isEmpty():
+        return bins
+    return bins.where("not sparse").union(materialize(_filled(_bins(_texts(lines, sparse), 1 << 30, *salt)), "bins"))
 
 
 def _equal_bins(a: str, b: str) -> Column:
@@ -91,105 +106,148 @@ def _equal_bins(a: str, b: str) -> Column:
     low, high = F.lit(0x7F7F7F7F7F7F), F.lit(0x808080808080)
     total = F.lit(len(PACKS) * -6 + BINS)
     for h in range(len(PACKS)):
-        v = F.col(f"{a}{h}").bitwiseXOR(F.col(f"{b}{h}"))
+        v = F.col(f"{a}p{h}").bitwiseXOR(F.col(f"{b}p{h}"))
         total = total + F.bit_count(F.bitwise_not(v.bitwiseAND(low) + low).bitwiseAND(F.bitwise_not(v)).bitwiseAND(high))
     return total
 
 
+def _renamed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.toDF(*[prefix + c for c in df.columns])
+
+
 def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(a, line) of the wanted lines alone, each once."""
     wanted = F.broadcast(wanted) if small_enough(wanted.count(), 40) else wanted
     return lines.select("a", "line").join(wanted, "a", "left_semi").groupBy("a").agg(F.first("line").alias("line"))
 
 
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """(a, n, w0 ..): the number of shingle places, and a bit for each shingle in ``WORDS`` longs."""
+    each = _at_places(texts).select("a", "n", F.expr(f"xxhash64(substring(u, 2 * p - 1, {2 * SHINGLE}))").alias("x"))
+    each = each.select("a", "n", F.expr(f"cast(x & {WORDS - 1}L as int)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 8) & 63L as int))").alias("bit"))
+    return each.groupBy("a").agg(F.max("n").alias("n"), *[F.expr(f"coalesce(bit_or(case when w = {i} then bit end), 0L)").alias(f"w{i}") for i in range(WORDS)])
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(node, component) of the lines that have a link."""
+    near = materialize(connected_components(links, "x", "y"), "components")
+    return F.broadcast(near) if small_enough(near.count(), 40) else near
+
+
+def _apart(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """The pairs whose ends have different components."""
+    for end in ("x", "y"):
+        pairs = pairs.join(near.toDF(end, f"c{end}"), end, "left")
+    return pairs.where("coalesce(cx, x) <> coalesce(cy, y)").drop("cx", "cy")
+
+
 def _confirmed(lines: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame:
-    """The pairs (x, y) whose lines are similar by their full shingle sets."""
+    """Links (x, y) that join all lines that similar ones among the ``pairs`` (x, y, agree) join, by their full sets.
+
+    Lines that differ in d shingles differ in d bits of their bitmaps at most,
+    so pairs whose bitmaps differ in more bits than similar lines of their
+    lengths can are no similar pairs, and no similar pair is put aside. Of the
+    others, each line's pair with most equal bins is confirmed first, then those
+    that this does not join.
+    """
     wanted = materialize(pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct(), "wanted")
     texts = materialize(_texts(lines, wanted), "texts")
-    both = pairs.join(texts.toDF("x", "lx"), "x").join(texts.toDF("y", "ly"), "y")
-    return both.where(similar(F.col("lx"), F.col("ly"), min_percent)).select("x", "y")
+    signs = materialize(_bitmaps(texts), "signs")
+    differ = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in range(WORDS)), F.lit(0))
+    may = differ * (100 + min_percent) <= (100 - min_percent) * (F.col("xn") + F.col("yn"))
+    left, right = (_renamed(signs, end).withColumnRenamed(f"{end}a", end) for end in ("x", "y"))
+    pairs = materialize(pairs.join(left, "x").join(right, "y").where(may).select("x", "y", "agree"), "likely")
 
+    def full(some: DataFrame) -> DataFrame:
+        both = some.join(texts.toDF("x", "lx"), "x").join(texts.toDF("y", "ly"), "y")
+        return both.where(similar(F.col("lx"), F.col("ly"), min_percent)).select("x", "y")
 
-def _bitmaps(texts: DataFrame) -> DataFrame:
-    """(a, n, w0 ..): the number of different shingles, and a bit for each in ``WORDS`` longs."""
-    each = texts.select("a", F.explode(F.array_distinct(_shingles(F.col("line")))).alias("x"))
-    words = [F.expr(f"coalesce(bit_or(case when x & {WORDS - 1}L = {i} then shiftleft(1L, cast(shiftrightunsigned(x, 8) & 63L as int)) end), 0L)").alias(f"w{i}") for i in range(WORDS)]
-    return each.groupBy("a").agg(F.count("*").alias("n"), *words)
+    ends = F.explode(F.array("x", "y")).alias("a")
+    best = pairs.select(ends, F.struct("agree", "x", "y").alias("p")).groupBy("a").agg(F.max("p").alias("p")).select("p.x", "p.y").distinct()
+    first = materialize(full(best), "links")
+    rest = materialize(_apart(pairs, _components(first)), "apart")
+    return first.union(materialize(full(rest), "links"))
 
 
-def _beyond_leaders(lines: DataFrame, each: DataFrame, leaders: DataFrame, packed: DataFrame, links: DataFrame, min_percent: int) -> DataFrame | None:
-    """Similar pairs (x, y) of one bucket that ``links`` do not join, found by comparing the members with each other.
+def _members(each: DataFrame, packed: DataFrame) -> DataFrame:
+    """(key, members, lead, a, p0 ..) of every bucket of two lines at least.
 
-    A bucket whose members are all of one component has nothing to find. In
-    every other one, each member outside its largest component meets all of
-    other components, block by block. Lines that differ in d shingles differ in
-    d bits of their bitmaps at most, so a pair whose bitmaps differ in more bits
-    than similar sets of their sizes can is no similar pair, and no such pair is
-    put aside by its bitmap.
+    The leader is the least of an order that differs from bucket to bucket, and
+    counts and leaders combine map-side, so a large bucket gathers in no task.
     """
-    deep = materialize(leaders.where(F.col("members") > LED).select("key"), "deep")
-    count = deep.count()
-    if not count:
-        return None
-    near = materialize(connected_components(links, "x", "y"), "components")
-    near = F.broadcast(near) if small_enough(near.count(), 40) else near
-    inside = each.join(F.broadcast(deep) if small_enough(count, 40) else deep, "key")
-    inside = materialize(inside.join(near, inside["a"] == near["node"], "left").select("key", "a", F.coalesce("component", "a").alias("c")), "inside")
+    order = F.col("a").bitwiseXOR(F.col("key"))
+    buckets = each.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("members")).where("members > 1")
+    buckets = materialize(buckets.select("key", "members", F.col("lead").bitwiseXOR(F.col("key")).alias("lead")), "buckets")
+    return materialize(each.join(buckets, "key").join(packed, "a"), "members")
+
+
+def _proposed(members: DataFrame) -> DataFrame:
+    """Pairs (x, y, agree): all of every small bucket, and each member of a large one with its leader, if enough bins agree."""
+    side = members.select("key", "a", *[f"p{h}" for h in range(len(PACKS))])
+    small, large = members.where(F.col("members") <= SMALL).select(side.columns), members.where(F.col("members") > SMALL)
+    few = _renamed(small, "l_").join(_renamed(small, "r_"), F.expr("l_key = r_key and l_a < r_a"))
+    led = _renamed(large.select(side.columns), "l_").join(_renamed(large.where("a = lead").select(side.columns), "r_"), F.expr("l_key = r_key and l_a <> r_a"))
+    pairs = few.union(led).select(F.least("l_a", "r_a").alias("x"), F.greatest("l_a", "r_a").alias("y"), _equal_bins("l_", "r_").alias("agree"))
+    return pairs.where(F.col("agree") >= LEAST_AGREEING).distinct()
+
+
+def _mixed(members: DataFrame, near: DataFrame) -> DataFrame:
+    """The members of large buckets of more than one component, with their component ``c``, the buckets' sizes and largest one."""
+    inside = members.where(F.col("members") > SMALL).join(near.toDF("a", "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
+    inside = materialize(inside, "inside")
     parts = inside.groupBy("key", "c").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("key").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("c", "k").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = mixed.select("key", "most", F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("other_blocks"))
-    mixed = materialize(mixed, "mixed")
-    count = mixed.count()
-    if not count:
-        return None
-    members = inside.join(F.broadcast(mixed) if small_enough(count, 40) else mixed, "key").withColumn("other", F.col("c") != F.col("most")).drop("most")
-    members = materialize(members, "members")
-    texts = _texts(lines, materialize(members.select("a").distinct(), "wanted"))
-    signs = materialize(_bitmaps(texts).join(packed, "a"), "signs")
-    dealt = members.join(signs, "a")
-    columns = ["a", "c", "other", "n", *[f"w{i}" for i in range(WORDS)], *[f"p{h}" for h in range(len(PACKS))]]
-    block = lambda seed, blocks: F.pmod(F.xxhash64("a", F.lit(seed)), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    left = dealt.where("other").select("key", block("other", "other_blocks").alias("i"), every("all_blocks").alias("j"), *[F.col(c).alias(f"l_{c}") for c in columns])
-    right = dealt.select("key", every("other_blocks").alias("i"), block("all", "all_blocks").alias("j"), *[F.col(c).alias(f"r_{c}") for c in columns])
-    differ = sum((F.bit_count(F.col(f"l_w{i}").bitwiseXOR(F.col(f"r_w{i}"))) for i in range(WORDS)), F.lit(0))
-    may = (differ * (100 + min_percent) <= (100 - min_percent) * (F.col("l_n") + F.col("r_n"))) & (_equal_bins("l_p", "r_p") >= LEAST_AGREEING)
+    return inside.join(mixed.drop("parts"), "key")
+
+
+def _in_blocks(mixed: DataFrame) -> DataFrame:
+    """Pairs (x, y, agree) between each member outside its bucket's largest component and all of other components, block by block."""
+    blocks = mixed.withColumns({"other": F.col("c") != F.col("most"), "all_blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "other_blocks": F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int")})
+    columns = ["a", "c", "other", *[f"p{h}" for h in range(len(PACKS))]]
+    block = lambda seed, of: F.pmod(F.xxhash64("a", F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = blocks.where("other").select("key", block("other", "other_blocks").alias("i"), every("all_blocks").alias("j"), *[F.col(c).alias(f"l_{c}") for c in columns])
+    right = blocks.select("key", every("other_blocks").alias("i"), block("all", "all_blocks").alias("j"), *[F.col(c).alias(f"r_{c}") for c in columns])
     once = (F.col("l_c") != F.col("r_c")) & (~F.col("r_other") | (F.col("l_a") < F.col("r_a")))
-    pairs = left.join(right, ["key", "i", "j"]).where(once & may).select(F.least("l_a", "r_a").alias("x"), F.greatest("l_a", "r_a").alias("y"))
-    return _confirmed(lines, materialize(pairs.distinct(), "pairs"), min_percent)
+    pairs = left.join(right, ["key", "i", "j"]).where(once).select(F.least("l_a", "r_a").alias("x"), F.greatest("l_a", "r_a").alias("y"), _equal_bins("l_", "r_").alias("agree"))
+    return pairs.where(F.col("agree") >= LEAST_AGREEING).distinct()
+
+
+def _keys(*first: Column) -> Column:
+    return F.explode(F.array(*[F.xxhash64(*first, F.lit(k), *[F.col("b")[i] for i in band]) for k, band in enumerate(BANDS)])).alias("key")
 
 
 def near_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (x, y) between similar lines, by their hash ``a``: exact Jaccard similarity of ``min_percent`` or more.
 
-    Each band of four of the sixteen bins is a key; each bucket proposes its
-    members to two leaders, the ends of an order that differs from bucket to bucket.
-    Leaders are found by extremes that combine map-side, so a bucket with very
-    many lines gathers in no task. Proposals whose bins agree far less than such
-    lines' would are put aside; the rest are confirmed on both lines' full
-    shingle sets. Members of a bucket that are not joined by that are compared
-    with each other (:func:`_beyond_leaders`).
+    Each band of four of the sixteen bins is a key. In a bucket of ``SMALL``
+    lines at most all meet each other; in a larger one each meets a leader.
+    Pairs whose bins agree far less than similar lines' would are put aside; the
+    rest are confirmed on full shingle sets (:func:`_confirmed`). A large bucket
+    that this leaves in several components is banded again by a second,
+    independent hash, and what is large and mixed even then is compared block by
+    block, so no bucket has a member that is not looked at. Joined lines are not
+    compared again, so the links keep the components, not every similar pair.
     """
     lines = lines_of(docs, doc_id, text).where("line <> ''").select("a", "line")
-    bins = materialize(_filled(_bins(lines, KEPT)), "bins")
-    # long lines that repeat themselves have few different shingles, and are hashed whole
-    sparse = materialize(bins.where("sparse").select("a"), "sparse")
-    if not sparse.isEmpty():
-        bins = bins.where("not sparse").union(materialize(_filled(_bins(_texts(lines, sparse), 1 << 30)), "bins"))
-    keys = F.array(*[F.xxhash64(F.lit(k), *[f"b{i}" for i in band]) for k, band in enumerate(BANDS)])
-    each = bins.select("a", F.explode(keys).alias("key"))
-    order = F.col("a").bitwiseXOR(F.col("key"))
-    leaders = each.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    leaders = materialize(leaders.select("key", "members", *[F.col(c).bitwiseXOR(F.col("key")).alias(c) for c in ("lo", "hi")]), "leaders")
-    pairs = each.join(leaders, "key").select("a", F.explode(F.array("lo", "hi")).alias("l")).where("a <> l")
-    pairs = pairs.select(F.least("a", "l").alias("x"), F.greatest("a", "l").alias("y")).distinct()
-    pairs = materialize(pairs, "proposed")
-    packed = bins.select("a", *_packed()).toDF("a", *[f"p{h}" for h in range(len(PACKS))])
-    judged = pairs.join(packed.toDF("x", "p0", "p1", "p2"), "x").join(packed.toDF("y", "q0", "q1", "q2"), "y")
-    judged = materialize(judged.where(_equal_bins("p", "q") >= LEAST_AGREEING).select("x", "y"), "judged")
-    links = materialize(_confirmed(lines, judged, min_percent), "led")
-    more = _beyond_leaders(lines, each, leaders, packed, links, min_percent)
-    return links if more is None else links.union(more)
+    bins = _signatures(lines)
+    packed = bins.select("a", *[f"p{h}" for h in range(len(PACKS))])
+    members = _members(bins.select("a", _keys()), packed)
+    links = _confirmed(lines, materialize(_proposed(members), "proposed"), min_percent)
+    for again in (True, False):
+        if members.where(F.col("members") > SMALL).isEmpty():
+            break
+        near = _components(links)
+        mixed = materialize(_mixed(members, near), "mixed")
+        if mixed.isEmpty():
+            break
+        if again:
+            wanted = materialize(mixed.select("a").distinct(), "wanted")
+            second = _signatures(_texts(lines, wanted), F.lit("again"))
+            members = _members(mixed.select("key", "a").withColumnRenamed("key", "bucket").join(second, "a").select("a", _keys(F.col("bucket"))), packed)
+        pairs = materialize(_apart(_proposed(members) if again else _in_blocks(mixed), near), "proposed")
+        links = links.union(_confirmed(lines, pairs, min_percent))
+    return links
 
 
 def dedup_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,26 +260,24 @@ def dedup_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id",
     document with one decision. Other columns are kept; columns named like a
     result are replaced. Nothing here runs Python on executors.
     """
-    links = materialize(near_lines(docs, min_percent, doc_id, text), "links")
-    near = materialize(connected_components(links, "x", "y"), "components")
-    near = F.broadcast(near) if small_enough(near.count(), 40) else near
+    near = _components(near_lines(docs, min_percent, doc_id, text))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = lines_of(docs.withColumn("__row", F.xxhash64(body)), doc_id, text, "__row").where("line <> ''").drop("line")
+    lines = lines_of(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(body).alias("row")), row="row").where("line <> ''").drop("line")
     lines = materialize(lines.join(near, lines["a"] == near["node"], "left").select("row", "doc_id", "pos", F.coalesce("component", "a").alias("c"), F.when(F.col("component").isNull(), F.col("b")).alias("d")), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "row")
     first = lines.groupBy("c", "d").agg(F.min(place).alias("first"), F.max(place).alias("other")).where(~F.col("first").eqNullSafe(F.col("other"))).select(F.col("c").alias("c1"), F.col("d").alias("d1"), "first")
     first = materialize(first, "repeated")
     first = F.broadcast(first) if small_enough(first.count(), 80) else first
     dropped = lines.join(first, (F.col("c") == F.col("c1")) & F.col("d").eqNullSafe(F.col("d1"))).where(~F.col("first").eqNullSafe(place))
-    dropped = dropped.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("__drop"))
-    dropped = materialize(dropped.select(F.col("doc_id").alias("__id"), F.col("row").alias("__of"), "__drop"), "dropped")
-    size = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("__drop")), F.lit(0))).first()
+    dropped = materialize(dropped.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone")), "dropped")
+    size = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     dropped = F.broadcast(dropped) if small_enough(size[0] + size[1], 40) else dropped
+    # the caller's columns travel as one struct, so no name of theirs can clash
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = docs.select(*kept).withColumn("__row", F.xxhash64(body))
-    out = out.join(dropped, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__of")), "left")
-    pieces = F.split(F.col(text).cast("string"), "\n", -1)
-    rest = F.array_join(F.filter(pieces, lambda line, i: ~F.array_contains("__drop", i)), "\n")
-    count = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(pieces)).cast("long")
-    out = out.withColumns({"n_lines": count, "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"), text: F.when(F.col("__drop").isNull(), F.col(text)).otherwise(rest)})
-    return out.select(*kept, "n_lines", "n_dropped")
+    own = docs.select(F.struct(*kept).alias("own"), F.col(doc_id).alias("id"), F.xxhash64(body).alias("of"), F.col(text).cast("string").alias("body"))
+    own = own.join(dropped, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("row")), "left")
+    pieces = F.split("body", "\n", -1)
+    rest = F.array_join(F.filter(pieces, lambda line, i: ~F.array_contains("gone", i)), "\n")
+    count = F.when(F.col("body").isNull(), F.lit(0)).otherwise(F.size(pieces)).cast("long")
+    columns = [F.when(F.col("gone").isNull(), F.col("body")).otherwise(rest).alias(c) if c == text else F.col("own")[c].alias(c) for c in kept]
+    return own.select(*columns, count.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
