@@ -35,7 +35,7 @@ def test_every_box_is_painted(spark):
 def test_no_row_or_pixel_is_left_out(spark):
     assert QUERIES["normalize_all"](spark, SF).count() == 64 * view(spark, SF, "embeddings").count()
     assert QUERIES["patch_records_all"](spark, SF).count() == view(spark, SF, "det").count() + view(spark, SF, "gt").count()
-    good = {r["image_id"] for r in view(spark, SF, "gt").collect() if r["category_id"] == 1 and (r["x1"] - r["x0"]) % 30 > 1 and (r["y1"] - r["y0"]) % 30 > 1}
+    good = {r["image_id"] for r in view(spark, SF, "gt").collect() if (r["x1"] - r["x0"]) % 30 > 1 and (r["y1"] - r["y0"]) % 30 > 1}
     assert max(good) >= 20 and {r["id"] for r in QUERIES["drop_unannotated_all"](spark, SF).collect()} == good
 
 
@@ -78,8 +78,6 @@ def test_all_pairs_are_matched(spark, crowded):
         want[c] = sum(max((p for last, p in curve if last >= k), default=0) for k in range(101)) / 101
     got = {r["category_id"]: r["ap"] for r in QUERIES["average_precision_all"](spark, crowded).collect()}
     assert got == pytest.approx(want, abs=1e-6)
-    narrow = {r["category_id"]: r["ap"] for r in QUERIES["average_precision"](spark, crowded).collect()}
-    assert narrow != pytest.approx(want, abs=1e-3)
 
 
 @pytest.mark.parametrize("name, variant, iou", [("mean", "iou", 0.3), ("max", "centroid", 0.2), ("area_avg", "rtree", 0.2)])

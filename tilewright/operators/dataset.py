@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, ring_bounds, ring_translate, xyxy_to_xywh
+from ..storage import materialize, small_enough
+from .sampling import running_counts, train_val_split, with_negatives
+
+
+def _ids(classes: DataFrame, column: str, shift: int = 0) -> DataFrame:
+    """(class, column): the classes' ids; broadcast if a count shows them to be few."""
+    ids = materialize(classes.select(F.col("name").alias("class"), (F.col("id") + shift).alias(column)), "classes")
+    return F.broadcast(ids) if small_enough(ids.count(), 200) else ids
 
 
 def local_annotations(records: DataFrame) -> DataFrame:
@@ -16,38 +24,35 @@ def local_annotations(records: DataFrame) -> DataFrame:
 
 
 def instance_records(records: DataFrame, classes: DataFrame) -> DataFrame:
-    """Boxes, labels (background is 0), the area of the box and iscrowd, one row per region."""
-    ids = F.broadcast(classes.select(F.col("name").alias("class"), (F.col("id") + 1).alias("label")))
+    """Boxes, labels (background is 0), the area of the box and iscrowd, one row per region; a class that is not listed has a null label."""
     area = (F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0"))
-    return local_annotations(records).join(ids, "class").withColumns({"box_area": area, "iscrowd": F.lit(0)})
+    return local_annotations(records).join(_ids(classes, "label", 1), "class", "left").withColumns({"box_area": area, "iscrowd": F.lit(0)})
 
 
 def detectron_records(records: DataFrame, classes: DataFrame) -> DataFrame:
-    """Boxes, flattened segmentation and category (no background), one row per region; height and width are the tile's own."""
-    ids = F.broadcast(classes.select(F.col("name").alias("class"), F.col("id").alias("category_id")))
+    """Boxes, flattened segmentation and category (no background), one row per region; height and width are the tile's own.
+
+    A class that is not listed has a null category.
+    """
     flat = F.flatten(F.transform("local", lambda p: F.array(p["x"], p["y"])))
-    return local_annotations(records).join(ids, "class").withColumns({"segmentation": flat, "height": F.col("ty1") - F.col("ty0"), "width": F.col("tx1") - F.col("tx0")})
+    return local_annotations(records).join(_ids(classes, "category_id"), "class", "left").withColumns({"segmentation": flat, "height": F.col("ty1") - F.col("ty0"), "width": F.col("tx1") - F.col("tx0")})
 
 
 def patch_records(patches: DataFrame, classes: DataFrame) -> DataFrame:
-    """A patch's one class as an id from 0, one row per patch; sets of records are joined by ``unionByName``."""
-    ids = F.broadcast(classes.select(F.col("name").alias("class"), F.col("id").alias("class_id")))
-    return patches.join(ids, "class")
+    """A patch's one class as an id from 0, one row per patch; null for a class that is not listed. Sets of records are joined by ``unionByName``."""
+    return patches.join(_ids(classes, "class_id"), "class", "left")
 
 
 def to_coco(annotations: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, categories, annotations): boxes as x, y, width, height; annotation ids from 1 in ``order``.
 
-    Ids run on over images: rows are numbered within an image, and the running
-    count of images' rows is added; that count is the one thing ordered globally.
+    Ids run on over images, put together from ranges of images and ``order``, so
+    no task numbers them all.
     """
     images = annotations.groupBy("image_id").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = images.withColumn("before", before)
     categories = annotations.select(F.col("class_id").alias("id")).distinct().orderBy("id")
     b = box()
-    k = F.row_number().over(Window.partitionBy("image_id").orderBy(*order))
-    rows = annotations.join(starts, "image_id").withColumn("ann_id", k + F.col("before"))
+    rows = running_counts(annotations, [], [F.col("image_id"), *[F.col(c) for c in order]], {"ann_id": F.lit(1)})
     w, h = b.x1 - b.x0, b.y1 - b.y0
     rows = rows.select("ann_id", "image_id", F.col("class_id").alias("category_id"), b.x0.alias("x"), b.y0.alias("y"), w.alias("w"), h.alias("h"), (w * h).alias("area"), F.lit(0).alias("iscrowd"))
     return images.select(F.col("image_id").alias("id")), categories, rows
@@ -73,9 +78,17 @@ def category_filter(annotations: DataFrame, categories: list[int], remap: bool =
     return kept.withColumn("category_id", place) if remap else kept
 
 
-def drop_unannotated(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Images with at least one annotation whose sides are both above 1."""
-    good = annotations.groupBy("image_id").agg(F.max(((F.col("w") > 1) & (F.col("h") > 1)).cast("int")).alias("good")).where("good = 1")
+def drop_unannotated(images: DataFrame, annotations: DataFrame, least_keypoints: int = 10) -> DataFrame:
+    """Images with at least one annotation whose sides are both above 1.
+
+    Where annotations have ``keypoints`` (x, y, visibility by turns), an image
+    must also show ``least_keypoints`` visible ones in all.
+    """
+    kept = F.max(((F.col("w") > 1) & (F.col("h") > 1)).cast("int")) == 1
+    if "keypoints" in annotations.columns:
+        seen = F.size(F.filter(F.coalesce("keypoints", F.array().cast("array<int>")), lambda v, i: (i % 3 == 2) & (v > 0)))
+        kept = kept & (F.sum(seen) >= least_keypoints)
+    good = annotations.groupBy("image_id").agg(kept.alias("good")).where("good")
     return images.join(good, images["id"] == good["image_id"], "left_semi")
 
 
@@ -87,8 +100,17 @@ def clean_boxes(annotations: DataFrame, width: Column, height: Column) -> DataFr
 
 
 def flip_horizontal(df: DataFrame, width: Column) -> DataFrame:
-    """Boxes mirrored left to right."""
-    return df.withColumn("__x0", width - F.col("x1")).withColumn("x1", width - F.col("x0")).withColumn("x0", F.col("__x0")).drop("__x0")
+    """Boxes mirrored left to right, and with them ``runs`` of a mask and ``keypoints`` (x, y, visibility by turns) where there are such columns.
+
+    Keypoints that are not visible become 0.
+    """
+    mirrored = {"x0": width - F.col("x1"), "x1": width - F.col("x0")}
+    if "runs" in df.columns:
+        mirrored["runs"] = F.transform("runs", lambda r: F.struct(r["y"].alias("y"), (width - r["x1"]).cast("int").alias("x0"), (width - r["x0"]).cast("int").alias("x1")))
+    if "keypoints" in df.columns:
+        seen = lambda i: F.get("keypoints", (F.floor(i / 3) * 3 + 2).cast("int")) > 0
+        mirrored["keypoints"] = F.transform("keypoints", lambda v, i: F.when(~seen(i), 0).when(i % 3 == 0, width - v).otherwise(v))
+    return df.withColumns(mirrored)
 
 
 #: The eight right-angled moves of a square, as (turns by 90 degrees, mirrored).
@@ -110,3 +132,18 @@ def augment_ring(ring: Column, move: tuple[int, bool], size: int = 1024) -> Colu
 def bbox_column() -> Column:
     """The box columns as COCO's x, y, width, height."""
     return xyxy_to_xywh(box())
+
+
+def training_set(joined: DataFrame, empty: DataFrame, tile_columns: list[str], classes: DataFrame, neg_proportion: float = 0.5, train_share: float = 0.95, seed: str = "") -> DataFrame:
+    """One record per tile with ``split``: (tile columns, rois: array<struct<roi_idx, class, label, clip_area>>, split).
+
+    ``joined`` are tiles joined to regions, ``empty`` tiles without any; of
+    these, ceil(``neg_proportion`` * n) are drawn by hash for n tiles with
+    regions. Labels count classes by name from 1, 0 being the background.
+    """
+    known = joined.join(_ids(classes, "label", 1), "class", "left")
+    records = known.groupBy(*tile_columns).agg(F.array_sort(F.collect_list(F.struct("roi_idx", "class", F.col("label").cast("long").alias("label"), F.col("clip_area").cast("double").alias("clip_area")))).alias("rois"))
+    none = F.expr("cast(array() as array<struct<roi_idx:bigint,class:string,label:bigint,clip_area:double>>)")
+    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in tile_columns]))
+    drawn = with_negatives(records.withColumn("__key", key), empty.select(*tile_columns, none.alias("rois")).withColumn("__key", key), "__key", neg_proportion)
+    return train_val_split(drawn, "__key", train_share, seed).drop("__key")

@@ -21,24 +21,59 @@ def fill_ring(ring: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series
     return pd.Series([[{"y": y, "x0": a, "x1": b} for y, a, b in polygon.fill_runs(polygon.as_ring(r), int(w), int(h))] for r, w, h in zip(ring, width, height)])
 
 
-def semantic_pixels(runs: DataFrame, keys: list[str], cls: str = "class", order: str = "roi_idx") -> DataFrame:
-    """(keys.., y, x, class) of a mask painted in ``order``: a later region covers an earlier one.
+def semantic_runs(runs: DataFrame, keys: list[str], cls: str = "class", order: str = "roi_idx") -> DataFrame:
+    """(keys.., y, x0, x1, class) of a mask painted in ``order``: disjoint runs, a later region covering an earlier one.
 
-    ``runs`` has one row per region with ``runs``; pixels combine map-side.
+    ``runs`` has one row per region with ``runs``. Each row of pixels is cut at
+    the ends of its runs, and each run covers the cuts inside it, so the work is
+    that of the runs and not of their pixels.
     """
-    each = runs.select(*keys, cls, order, F.explode("runs").alias("r")).where("r.x1 > r.x0").select(*keys, cls, order, F.col("r.y").alias("y"), F.explode(F.expr("sequence(r.x0, r.x1 - 1)")).alias("x"))
-    return each.groupBy(*keys, "y", "x").agg(F.max_by(cls, order).alias("class"))
+    flat = runs.select(*keys, cls, order, F.explode("runs").alias("r")).select(*keys, F.col("r.y").alias("y"), F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"), cls, order).where("x1 > x0")
+    row = [*keys, "y"]
+    cuts = flat.groupBy(*row).agg(F.array_sort(F.collect_set("x0")).alias("a"), F.array_sort(F.collect_set("x1")).alias("b"))
+    cuts = cuts.select(*row, F.array_sort(F.array_union("a", "b")).alias("cuts"))
+    inside = F.filter("cuts", lambda c: (c >= F.col("x0")) & (c < F.col("x1")))
+    parts = flat.join(cuts, row).select(*row, cls, order, "cuts", F.explode(inside).alias("x0"))
+    top = parts.groupBy(*row, "x0").agg(F.max_by(cls, order).alias("class"), F.first("cuts").alias("cuts"))
+    return top.select(*row, "x0", F.get("cuts", F.array_position("cuts", F.col("x0")).cast("int")).alias("x1"), "class")
+
+
+def semantic_pixels(runs: DataFrame, keys: list[str], cls: str = "class", order: str = "roi_idx") -> DataFrame:
+    """(keys.., y, x, class): the pixels of :func:`semantic_runs`, for masks that are small enough to be spelled out."""
+    return semantic_runs(runs, keys, cls, order).select(*keys, "y", F.explode(F.expr("sequence(x0, x1 - 1)")).alias("x"), "class")
+
+
+#: Pixel rows a band of an image holds, by which runs and tiles meet.
+BAND = 256
 
 
 def mask_counts(runs: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels of a 0/1 mask in each tile, where runs of a row do not overlap: tile columns and ``pixels``."""
-    flat = runs.select(*[F.col(k).alias(f"m_{k}") for k in keys], F.explode("runs").alias("r")).select(*[f"m_{k}" for k in keys], F.col("r.y").alias("y"), F.col("r.x0").alias("rx0"), F.col("r.x1").alias("rx1"))
-    on = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("rx0") < F.col("x1")) & (F.col("rx1") > F.col("x0"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"m_{k}"))
-    joined = tiles.join(flat, on, "left")
-    shared = F.greatest(F.least("rx1", "x1") - F.greatest("rx0", "x0"), F.lit(0))
-    return joined.groupBy(*tiles.columns).agg(F.coalesce(F.sum(shared), F.lit(0)).alias("pixels"))
+    """Pixels of a 0/1 mask in each tile, where runs of a row do not overlap: tile columns and ``pixels``.
+
+    Tiles are dealt to the bands of rows they cover and runs to the band they
+    are in, so a run meets the tiles of its band alone; shares are added up over
+    bands. Tiles that nothing meets have 0.
+    """
+    names = [f"m_{k}" for k in keys]
+    flat = runs.select(*[F.col(k).alias(m) for k, m in zip(keys, names)], F.explode("runs").alias("r")).select(*names, F.floor(F.col("r.y") / BAND).alias("m_band"), F.col("r.y").alias("y"), F.col("r.x0").alias("rx0"), F.col("r.x1").alias("rx1"))
+    banded = tiles.withColumn("band", F.explode(F.sequence(F.floor(F.col("y0") / BAND), F.floor((F.col("y1") - 1) / BAND))))
+    on = (F.col("band") == F.col("m_band")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("rx0") < F.col("x1")) & (F.col("rx1") > F.col("x0"))
+    for k, m in zip(keys, names):
+        on = on & (F.col(k) == F.col(m))
+    # least and greatest pass over nulls, so bands that nothing meets are told apart
+    shared = F.when(F.col("rx0").isNotNull(), F.greatest(F.least("rx1", "x1") - F.greatest("rx0", "x0"), F.lit(0)))
+    return banded.join(flat, on, "left").groupBy(*tiles.columns).agg(F.coalesce(F.sum(shared), F.lit(0)).alias("pixels"))
+
+
+def tile_mask(regions: DataFrame, tiles: DataFrame, keys: list[str], least_share: float = 0.0) -> DataFrame:
+    """Pixels of the union of regions (keys.., runs) in each tile: tile columns and ``pixels``, tiles of at least ``least_share`` of their own pixels.
+
+    Overlapping regions count once.
+    """
+    flat = regions.select(*keys, F.explode("runs").alias("r")).select(*keys, F.col("r.y").alias("y"), F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"))
+    mask = merge_runs(flat, keys).select(*keys, F.array(F.struct("y", "x0", "x1")).alias("runs"))
+    counted = mask_counts(mask, tiles, keys)
+    return counted.where(F.col("pixels") >= least_share * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
 
 
 def merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,17 +91,32 @@ def pixels_of(df: DataFrame, keys: list[str], values: str, width: int) -> DataFr
 
 
 def rle(pixels: DataFrame, keys: list[str], width: int, set_: Column) -> DataFrame:
-    """Runs of equal mask values in row order, as (keys.., run, start, length, bit)."""
-    at = pixels.select(*keys, (F.col("y") * width + F.col("x")).alias("k"), set_.cast("int").alias("bit"))
-    w = Window.partitionBy(*keys).orderBy("k")
-    new = F.when(F.col("bit") != F.lag("bit").over(w), 1).otherwise(0)
-    runs = at.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return runs.groupBy(*keys, "run", "bit").agg(F.min("k").alias("start"), F.count("*").alias("length"))
-
+    """Runs of equal mask values in row order, as (keys.., run, start, length, bit).
 
-def zonal_stats(pixels: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, maximum and minimum of the pixels in each box zone: zone columns, mean, max, min."""
-    joined = zones.join(pixels, [*keys]).where("x >= x0 and x < x1 and y >= y0 and y < y1")
+    Runs are found within each row of pixels; rows are then joined where a run
+    goes on, so a task orders the runs of an image and never its pixels.
+    """
+    at = pixels.select(*keys, "y", "x", set_.cast("int").alias("bit"))
+    line = Window.partitionBy(*keys, "y").orderBy("x")
+    begins = (F.col("bit") != F.lag("bit").over(line)) | (F.lag("x").over(line).isNull())
+    inside = at.withColumn("r", F.sum(F.when(begins, 1).otherwise(0)).over(line))
+    short = inside.groupBy(*keys, "y", "r", "bit").agg((F.col("y") * width + F.min("x")).alias("start"), F.count("*").alias("length"))
+    image = Window.partitionBy(*keys).orderBy("start")
+    new = F.when(F.col("bit") != F.lag("bit").over(image), 1).otherwise(0)
+    runs = short.withColumn("new", new).withColumn("run", F.sum("new").over(image))
+    return runs.groupBy(*keys, "run", "bit").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+
+
+def zonal_stats(pixels: DataFrame, zones: DataFrame, keys: list[str], cell: int = 256) -> DataFrame:
+    """Mean, maximum and minimum of the pixels in each box zone: zone columns, mean, max, min.
+
+    Zones are dealt to the cells of a grid they cover and pixels to their own, so
+    a pixel meets the zones of its cell alone.
+    """
+    last = lambda c: F.floor((F.col(c) - 1) / cell)
+    dealt = zones.withColumn("__cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), last("x1")))).withColumn("__cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), last("y1"))))
+    placed = pixels.withColumns({"__cx": F.floor(F.col("x") / cell), "__cy": F.floor(F.col("y") / cell)})
+    joined = dealt.join(placed, [*keys, "__cx", "__cy"]).where("x >= x0 and x < x1 and y >= y0 and y < y1")
     return joined.groupBy(*zones.columns).agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.min("v").alias("min"))
 
 
@@ -76,6 +126,63 @@ def coarsen(pixels: DataFrame, keys: list[str], width: int, height: int, factor:
     return whole.groupBy(*keys, F.floor(F.col("y") / factor).cast("int").alias("ty"), F.floor(F.col("x") / factor).cast("int").alias("tx")).agg(F.avg("v").alias("mean"))
 
 
+def thumbnail(pixels: DataFrame, keys: list[str], width: int, height: int, factor: int = 16) -> DataFrame:
+    """Means over ``factor`` by ``factor`` blocks of 16-bit pixels, brought to 8 bits: (keys.., ty, tx, v)."""
+    return coarsen(pixels, keys, width, height, factor).select(*keys, "ty", "tx", F.floor(F.col("mean") / 256).cast("int").alias("v"))
+
+
+def normalize(pixels: DataFrame, top: float = 255.0) -> DataFrame:
+    """Pixel values ``v`` brought to 0 to 1 as doubles."""
+    return pixels.withColumn("v", F.col("v").cast("double") / top)
+
+
+def project_channels(chunks: DataFrame, channels: list[int]) -> DataFrame:
+    """The chosen channels of pixel chunks (``c0``, ``channels``, ``h``, ``w``, ``dtype``, ``data``), each as a chunk whose ``c0`` is its place in the list.
+
+    Bytes are cut in the JVM; a channel that a chunk lacks gives no row.
+    """
+    size = F.expr("h * w * cast(case dtype when 'uint8' then 1 when 'int8' then 1 when 'uint16' then 2 when 'int16' then 2 when 'float32' then 4 when 'uint32' then 4 when 'int32' then 4 else 8 end as int)")
+    each = chunks.withColumn("__c", F.explode(F.array(*[F.struct(F.lit(i).alias("to"), F.lit(c).alias("at")) for i, c in enumerate(channels)])))
+    at = F.col("__c.at") - F.col("c0")
+    cut = each.where((at >= 0) & (at < F.col("channels"))).withColumn("data", F.substring("data", (at * size + 1).cast("int"), size))
+    return cut.withColumns({"c0": F.col("__c.to"), "channels": F.lit(1)}).drop("__c")
+
+
+def _mapped_tiles(tiles: DataFrame, channels: int, dtype: str, made: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Tiles (.., x0, y0, x1, y1, data) with ``data`` replaced by what ``made`` gives of (channels, height, width), and ``h`` and ``w``."""
+    kept = [c for c in tiles.columns if c not in ("data", "h", "w")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [made(np.frombuffer(t.data, dtype).reshape(channels, t.y1 - t.y0, t.x1 - t.x0)) for t in batch.itertuples(index=False)]
+            yield batch[kept].assign(data=[np.ascontiguousarray(d).tobytes() for d in done], h=[d.shape[1] for d in done], w=[d.shape[2] for d in done])
+
+    schema = tiles.select(*kept, "data").schema.add("h", T.IntegerType()).add("w", T.IntegerType())
+    return tiles.select(*kept, "data").mapInPandas(run, schema)
+
+
+def pad_square(tiles: DataFrame, size: int, channels: int = 1, dtype: str = "uint8") -> DataFrame:
+    """Tiles filled up with zeros at their right and lower sides to ``size`` by ``size``; larger ones raise an error."""
+
+    def padded(pixels: np.ndarray) -> np.ndarray:
+        _, h, w = pixels.shape
+        if max(h, w) > size:
+            raise ValueError(f"a tile of {h} by {w} does not fit {size}")
+        return np.pad(pixels, ((0, 0), (0, size - h), (0, size - w)))
+
+    return _mapped_tiles(tiles, channels, dtype, padded)
+
+
+def resize(tiles: DataFrame, size: int = 224, channels: int = 1, dtype: str = "uint8") -> DataFrame:
+    """Tiles brought to ``size`` by ``size`` by the nearest pixel, as a patch classifier takes them."""
+
+    def sized(pixels: np.ndarray) -> np.ndarray:
+        ys, xs = ((np.arange(size) + 0.5) * n // size for n in pixels.shape[1:])
+        return pixels[:, ys.astype(int)][:, :, xs.astype(int)]
+
+    return _mapped_tiles(tiles, channels, dtype, sized)
+
+
 def select_level(levels: DataFrame, wanted: int) -> DataFrame:
     """(image_id, level): the level asked for where sizes strictly fall; else that of the n-th largest array."""
     w = Window.partitionBy("image_id").orderBy("level")
@@ -126,9 +233,25 @@ def threshold_model(level: int) -> Model:
     return run
 
 
+#: Models that may be crossed with detections.
+MOST_MODELS = 1000
+
+
 def model_cross(dets: DataFrame, models: DataFrame) -> DataFrame:
-    """Detections above each model's threshold: each detection meets the models it passes."""
-    return dets.join(models, F.col("score") > F.col("threshold"))
+    """Detections above each model's threshold: each detection meets the models it passes.
+
+    Models are few: they are read to the driver, ``MOST_MODELS`` at most, and
+    exploded from each detection's row, so no join is needed.
+    """
+    known = models.limit(MOST_MODELS + 1).collect()
+    if len(known) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    names = [c for c in models.columns if c not in dets.columns]
+    if not known:
+        return dets.withColumns({c: F.lit(None).cast(models.schema[c].dataType) for c in names}).where("false")
+    rows = F.array(*[F.struct(*[F.lit(m[c]).cast(models.schema[c].dataType).alias(c) for c in names]) for m in known])
+    passed = F.filter(rows, lambda m: F.col("score") > m["threshold"])
+    return dets.withColumn("__m", F.explode(passed)).select(*dets.columns, *[F.col(f"__m.{c}").alias(c) for c in names])
 
 
 def tile_apply(tiles: DataFrame, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -5,20 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 
-def hash_order(df: DataFrame, id_col: str, seed: str = "", buckets: int = 256) -> DataFrame:
-    """Rows with ``rank``, their place (from 1) in the order of a seeded MD5 of the id, and ``total``.
 
-    Rows are ranked within the hash's leading byte, and the counts of the 256
-    bytes give each its start, so no task sorts the whole table.
+def running_counts(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """``df`` with a running sum of each of ``sums`` (whole numbers) within ``keys`` in ``order``, this row included, and its ``total_``.
+
+    Rows are range-partitioned by keys and order, so a key may span many
+    partitions and no task holds a whole key; sums run inside a partition's part
+    of the key, and each part begins at the sum of the parts before it, of which
+    there is a row for each partition and key in it. Rows equal in all of
+    ``order`` are in one task.
     """
-    h = df.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))).withColumn("__b", F.substring("__h", 1, 2))
-    counts = h.groupBy("__b").agg(F.count("*").alias("n"))
-    # at most 256 rows
-    every = Window.orderBy("__b")
-    starts = counts.select("__b", (F.sum("n").over(every) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy("__h", id_col)) + F.col("before")
-    return h.join(F.broadcast(starts), "__b").withColumn("rank", rank).drop("__h", "__b", "before")
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select(F.struct(*df.columns).alias("row"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[o.alias(f"o{i}") for i, o in enumerate(order)], *[c.cast("long").alias(f"s_{name}") for name, c in sums.items()])
+    ks, os = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(len(order))]
+    # the ranges are written: they are drawn by sampling, and two steps must see the same ones
+    dealt = materialize(keyed.repartitionByRange(n, *ks, *os).withColumn("part", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy(*ks, "part").agg(*[F.sum(f"s_{name}").alias(f"p_{name}") for name in sums])
+    by_key = Window.partitionBy(*ks)
+    parts = parts.select(*ks, "part", *[(F.sum(f"p_{s}").over(by_key.orderBy("part")) - F.col(f"p_{s}")).alias(f"b_{s}") for s in sums], *[F.sum(f"p_{s}").over(by_key).alias(f"t_{s}") for s in sums])
+    own = Window.partitionBy("part", *ks).orderBy(*os).rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.select("row", *ks, "part", *[F.sum(f"s_{s}").over(own).alias(f"r_{s}") for s in sums])
+    null_safe = run["part"] == parts["part"]
+    for k in ks:
+        null_safe = null_safe & run[k].eqNullSafe(parts[k])
+    return run.join(parts, null_safe).select("row.*", *[(F.col(f"r_{s}") + F.col(f"b_{s}")).alias(s) for s in sums], *[F.col(f"t_{s}").alias(f"total_{s}") for s in sums])
+
+
+def hash_order(df: DataFrame, id_col: str, seed: str = "", ranges: int | None = None) -> DataFrame:
+    """Rows with ``rank``, their place (from 1) in the order of a seeded MD5 of the id, and ``total``."""
+    h = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
+    out = running_counts(df, [], [h, F.col(id_col)], {"rank": F.lit(1)}, ranges)
+    return out.withColumnRenamed("total_rank", "total")
 
 
 def train_val_split(df: DataFrame, id_col: str, train_share: float = 0.95, seed: str = "") -> DataFrame:
@@ -34,10 +53,20 @@ def with_negatives(train: DataFrame, negatives: DataFrame, id_col: str, proporti
     return train.unionByName(drawn)
 
 
-def batches(df: DataFrame, order: str, batch_size: int, keys: list[str] = ()) -> DataFrame:
-    """Rows with ``batch`` from 0, ``batch_size`` rows each within ``keys``; every row is in one."""
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return df.withColumn("batch", F.floor(k / batch_size))
+def batches(df: DataFrame, order: str, batch_size: int, keys: list[str] = (), pad: bool = False) -> DataFrame:
+    """Rows with ``batch`` from 0, ``batch_size`` rows each within ``keys``; every row is in one.
+
+    With ``pad``, a key's last batch is filled up with its first rows, round and
+    round. No task holds a whole key.
+    """
+    ranked = running_counts(df, list(keys), [F.col(order)], {"__k": F.lit(1)})
+    out = ranked.withColumn("batch", F.floor((F.col("__k") - 1) / batch_size))
+    if pad:
+        # place k comes again at k + total, k + 2 * total, .. up to the end of the last batch
+        end = F.ceil(F.col("total___k") / batch_size) * batch_size
+        again = out.where(F.col("__k") <= end - F.col("total___k")).withColumn("__at", F.explode(F.expr(f"sequence(__k + total___k, cast(ceil(total___k / {batch_size}) * {batch_size} as bigint), total___k)")))
+        out = out.unionByName(again.withColumn("batch", F.floor((F.col("__at") - 1) / batch_size)).drop("__at"))
+    return out.drop("__k", "total___k")
 
 
 def quantize(x: Column, bins: list[float]) -> Column:

@@ -15,10 +15,19 @@ def cells(low: Column, high: Column, size: int, closed: bool = True) -> Column:
     return F.sequence(first, last)
 
 
-def with_cells(df: DataFrame, size: int, closed: bool = True, prefix: str = "") -> DataFrame:
-    """One row for each cell that a box covers, with ``cx`` and ``cy``."""
+def with_cells(df: DataFrame, size: int, closed: bool = True, prefix: str = "", names: tuple[str, str] = ("cx", "cy")) -> DataFrame:
+    """One row for each cell that a box covers, with the cell's column and row as ``names``; rows with a null bound have none."""
     b = box(prefix)
-    return df.withColumn("cx", F.explode(cells(b.x0, b.x1, size, closed))).withColumn("cy", F.explode(cells(b.y0, b.y1, size, closed)))
+    first, last = [], []
+    for low, high in ((b.x0, b.x1), (b.y0, b.y1)):
+        f = F.floor(low / size)
+        first.append(f)
+        last.append(F.floor(high / size) if closed else F.greatest(F.ceil(high / size) - 1, f))
+    cx, cy = names
+    wide = last[0] - first[0] + 1
+    # one generator for both axes
+    each = df.withColumn("__n", F.explode(F.sequence(F.lit(0).cast("long"), wide * (last[1] - first[1] + 1) - 1)))
+    return each.withColumns({cx: first[0] + F.col("__n") % wide, cy: first[1] + F.floor(F.col("__n") / wide)}).drop("__n")
 
 
 def box_join(left: DataFrame, right: DataFrame, size: int, keys: list[str] = (), where: Column | None = None) -> DataFrame:

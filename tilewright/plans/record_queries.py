@@ -13,7 +13,7 @@ from ..operators import regions as R
 from ..operators import sampling as S
 from ..sources.geojson import to_feature
 from ..sources.text_rois import parse_text_rois
-from .registry import register
+from .registry import ORACLES, register
 from .views import view, with_views
 
 
@@ -106,10 +106,13 @@ def zonal_stats(spark, sf_dir):
     return P.zonal_stats(pixels, zones, ["vec_id"]).select("vec_id", "x0", F.round("mean", 5).alias("mean"), "max", "min")
 
 
-@register("thumbnail16", f"{_PIXELS} select vec_id, y // 3 as ty, x // 3 as tx, round(avg(v), 5) as mean from px where x < 6 and y < 6 group by all")
+# Sixteen embeddings make an image of 32 by 32 pixels of 16 bits.
+@register("thumbnail16", "with px as (select vec_id // 16 as image_id, (vec_id % 16) * 2 + k // 32 as y, k % 32 as x, cast(floor(abs(embedding[k + 1]) * 16384) as bigint) as v from embeddings, range(64) r(k)) select image_id, cast(y // 16 as int) as ty, cast(x // 16 as int) as tx, cast(floor(avg(v) / 256) as int) as v from px group by all")
 def thumbnail16(spark, sf_dir):
-    pixels = _probs(spark, sf_dir).withColumn("v", F.col("v").cast("double"))
-    return P.coarsen(pixels, ["vec_id"], 8, 8, 3).withColumn("mean", F.round("mean", 5))
+    place = F.col("vec_id") % 16 * 64 + F.col("k")
+    each = view(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "e"))
+    pixels = each.select(F.floor(F.col("vec_id") / 16).alias("image_id"), F.floor(place / 32).alias("y"), (place % 32).alias("x"), F.floor(F.abs("e") * 16384).alias("v"))
+    return P.thumbnail(pixels, ["image_id"], 32, 32)
 
 
 @register("rle", f"{_PIXELS}, b as (select vec_id, y*8+x as k, cast(v > 0 as int) as bit from px), n as (select *, case when bit <> lag(bit) over (partition by vec_id order by k) then 1 else 0 end as f from b), r as (select *, sum(f) over (partition by vec_id order by k) as run from n) select vec_id, cast(run as bigint) as run, bit, cast(min(k) as int) as start, count(*) as length from r group by vec_id, run, bit")
@@ -117,9 +120,10 @@ def rle(spark, sf_dir):
     return P.rle(_probs(spark, sf_dir), ["vec_id"], 8, F.col("v") > 0)
 
 
-@register("normalize", f"{_PIXELS} select vec_id, y, x, round(v / 255, 7) as v from px where x = y")
+# DuckDB rounds to a negative zero, Spark to zero.
+@register("normalize", f"{_PIXELS} select vec_id, y, x, round(v / 255, 7) + 0.0::double as v from px")
 def normalize(spark, sf_dir):
-    return _probs(spark, sf_dir).where("x = y").select("vec_id", "y", "x", F.round(F.col("v").cast("double") / 255, 7).alias("v"))
+    return P.normalize(_probs(spark, sf_dir)).select("vec_id", "y", "x", F.round("v", 7).alias("v"))
 
 
 @register("softmax_mask", f"{_PIXELS} select vec_id, count(*) as n from px a where 1 / (1 + exp(-(v))) >= 0.55 group by vec_id")
@@ -142,11 +146,11 @@ def select_pyramid_level(spark, sf_dir):
     return P.select_level(view(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("image_id"), level.alias("level"), size.alias("size")), 1)
 
 
-_BOXES = "with b as (select image_id, id, category_id, x0 % 256 as x0, y0 % 256 as y0, least(x0 % 256 + 16 + id % 48, 256) as x1, least(y0 % 256 + 20, 256) as y1 from det where id % 7 = 0)"
+_BOXES = "with b as (select image_id, id, category_id, x0 % 256 as x0, y0 % 256 as y0, least(x0 % 256 + 16 + id % 48, 256) as x1, least(y0 % 256 + 20, 256) as y1 from det)"
 
 
 def _local(spark, sf_dir):
-    return view(spark, sf_dir, "det").where("id % 7 = 0").selectExpr("image_id", "id", "category_id", "x0 % 256 as x0", "y0 % 256 as y0", "least(x0 % 256 + 16 + id % 48, 256) as x1", "least(y0 % 256 + 20, 256) as y1")
+    return view(spark, sf_dir, "det").selectExpr("image_id", "id", "category_id", "x0 % 256 as x0", "y0 % 256 as y0", "least(x0 % 256 + 16 + id % 48, 256) as x1", "least(y0 % 256 + 20, 256) as y1")
 
 
 def _runs(spark, sf_dir):
@@ -162,16 +166,14 @@ def rasterize(spark, sf_dir):
 
 @_det("semantic_records", _BOXES + ", p as (select image_id, id, category_id, unnest(range(x0, x1)) as x, y0, y1 from b), q as (select image_id, x, unnest(range(y0, y1)) as y, id, category_id from p), m as (select image_id, x, y, arg_max(category_id, id) as c from q group by all) select image_id, c as class, count(*) as pixels from m group by all")
 def semantic_records(spark, sf_dir):
-    return P.semantic_pixels(_runs(spark, sf_dir), ["image_id"]).groupBy("image_id", "class").agg(F.count("*").alias("pixels"))
+    return P.semantic_runs(_runs(spark, sf_dir), ["image_id"]).groupBy("image_id", "class").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("pixels"))
 
 
 @_det("tile_mask", _BOXES + ", p as (select image_id, unnest(range(x0, x1)) as x, y0, y1 from b), q as (select distinct image_id, x, unnest(range(y0, y1)) as y from p) select image_id, x // 64 as tx, y // 64 as ty, count(*) as pixels from q group by all having count(*) * 4 >= 64 * 64")
 def tile_mask(spark, sf_dir):
-    flat = _runs(spark, sf_dir).select("image_id", F.explode("runs").alias("r")).select("image_id", F.col("r.y").alias("y"), F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"))
-    mask = P.merge_runs(flat, ["image_id"]).groupBy("image_id").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
-    grid = spark.range(16).select((F.col("id") % 4).alias("tx"), F.floor(F.col("id") / 4).alias("ty"))
-    tiles = view(spark, sf_dir, "image").select("image_id").crossJoin(F.broadcast(grid)).selectExpr("image_id", "tx", "ty", "tx*64 as x0", "ty*64 as y0", "tx*64+64 as x1", "ty*64+64 as y1")
-    return P.mask_counts(mask, tiles, ["image_id"]).where("pixels * 4 >= 64 * 64").select("image_id", "tx", "ty", "pixels")
+    grid = F.explode(F.sequence(F.lit(0), F.lit(15)))
+    tiles = view(spark, sf_dir, "image").select("image_id", grid.alias("k")).selectExpr("image_id", "k % 4 as tx", "cast(floor(k / 4) as int) as ty").selectExpr("*", "tx*64 as x0", "ty*64 as y0", "tx*64+64 as x1", "ty*64+64 as y1")
+    return P.tile_mask(_runs(spark, sf_dir), tiles, ["image_id"], 0.25).select("image_id", F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), "pixels")
 
 
 _RECORDS = """with r as (select id, class, x0 - x0 // 1024 * 1024 as bx0, y0 - y0 // 1024 * 1024 as by0, x1 - x0 // 1024 * 1024 as bx1, y1 - y0 // 1024 * 1024 as by1 from det),
@@ -196,11 +198,12 @@ def detectron_records(spark, sf_dir):
     return out.select("id", F.col("category_id").cast("long").alias("category_id"), "height", text.alias("segmentation"))
 
 
-@_det("patch_records", "select id, category_id - 1 as class_id, 'det' as part from det where id % 2 = 0 union all select id, 0 as class_id, 'negative' as part from det where id % 50 = 1")
+@_gt("patch_records", "select id, cast(category_id - 1 as bigint) as class_id, 'det' as part from det union all select id, cast(category_id - 1 as bigint) as class_id, 'gt' as part from gt")
 def patch_records(spark, sf_dir):
-    det = view(spark, sf_dir, "det")
-    own = det.where("id % 2 = 0").select("id", (F.col("category_id") - 1).alias("class_id"), F.lit("det").alias("part"))
-    return own.unionByName(det.where("id % 50 = 1").select("id", F.lit(0).alias("class_id"), F.lit("negative").alias("part")))
+    det, gt = view(spark, sf_dir, "det"), view(spark, sf_dir, "gt")
+    classes = R.class_index(det, "class")
+    part = lambda df, name: D.patch_records(df, classes).select("id", F.col("class_id").cast("long").alias("class_id"), F.lit(name).alias("part"))
+    return part(det, "det").unionByName(part(gt, "gt"))
 
 
 @_gt("to_coco", "select row_number() over (order by image_id, id) as ann_id, image_id, category_id, x0 as x, y0 as y, x1-x0 as w, y1-y0 as h, (x1-x0)*(y1-y0) as area, 0 as iscrowd from gt")
@@ -230,10 +233,9 @@ def category_filter_remap(spark, sf_dir):
     return D.category_filter(_annotations(spark, sf_dir), [4, 2, 5]).select("id", F.col("category_id").cast("int").alias("category_id"))
 
 
-@_gt("drop_unannotated", "select distinct image_id as id from gt where category_id = 1 and (x1-x0) % 30 > 1 and (y1-y0) % 30 > 1 and image_id < 20")
+@_gt("drop_unannotated", "select n_nationkey as id from nation where n_nationkey in (select image_id from gt where (x1-x0) % 30 > 1 and (y1-y0) % 30 > 1)")
 def drop_unannotated(spark, sf_dir):
-    images = spark.range(20).select(F.col("id").cast("int").alias("id"))
-    return D.drop_unannotated(images, _annotations(spark, sf_dir).where("category_id = 1"))
+    return D.drop_unannotated(view(spark, sf_dir, "image").select(F.col("image_id").alias("id")), _annotations(spark, sf_dir))
 
 
 @_gt("crowd_degenerate", "with b as (select id, least(x0, 8000) as x0, least(y0, 8000) as y0, least(x0 + (x1-x0) % 30, 8000) as x1, least(y0 + (y1-y0) % 30, 8000) as y1 from gt where id % 11 <> 0) select * from b where x1 > x0 and y1 > y0")
@@ -252,11 +254,19 @@ def flip_horizontal(spark, sf_dir):
     return D.flip_horizontal(view(spark, sf_dir, "det"), F.lit(9000)).select("id", "x0", "x1")
 
 
-@_det("augment", "with l as (select id, cast(least(greatest(x0 % 1024, 1), 1023) as double) as x, cast(least(greatest(y0 % 1024, 1), 1023) as double) as y from det) select id, y as r1x, 1024 - x as r1y, x as f2x, 1024 - y as f2y from (select id, x, y from l) t")
+# All eight moves of all four corners: mirrored first, then turned by 90 degrees so many times.
+@_det("augment", """
+with c as (select id, unnest([{'k': 0, 'x': x0, 'y': y0}, {'k': 1, 'x': x1, 'y': y0}, {'k': 2, 'x': x1, 'y': y1}, {'k': 3, 'x': x0, 'y': y1}]) as p from (select id, x0 % 1024 as x0, y0 % 1024 as y0, x0 % 1024 + x1 - x0 as x1, y0 % 1024 + y1 - y0 as y1 from det) l),
+l as (select id, cast(p.k as int) as k, cast(least(greatest(p.x, 1), 1023) as double) as x, cast(least(greatest(p.y, 1), 1023) as double) as y from c),
+m as (select id, k, mirror, case when mirror then 1024 - x else x end as x, y from l, (values (false), (true)) f(mirror))
+select id, k, cast(turns as int) as turns, mirror, case turns when 0 then x when 1 then y when 2 then 1024 - x else 1024 - y end as x, case turns when 0 then y when 1 then 1024 - x when 2 then 1024 - y else x end as y from m, range(4) t(turns)
+""")
 def augment(spark, sf_dir):
-    first = F.array(F.struct((F.col("x0") % 1024).cast("double").alias("x"), (F.col("y0") % 1024).cast("double").alias("y")))
-    turned, flipped = D.augment_ring(first, (1, False))[0], D.augment_ring(first, (2, True))[0]
-    return view(spark, sf_dir, "det").select("id", turned["x"].alias("r1x"), turned["y"].alias("r1y"), flipped["x"].alias("f2x"), flipped["y"].alias("f2y"))
+    at = lambda c: F.col(c + "0") % 1024
+    corners = G.Box(at("x"), at("y"), at("x") + F.col("x1") - F.col("x0"), at("y") + F.col("y1") - F.col("y0"))
+    moved = F.array(*[F.struct(F.lit(turns).alias("turns"), F.lit(mirror).alias("mirror"), D.augment_ring(F.col("ring"), (turns, mirror)).alias("ring")) for turns, mirror in D.MOVES])
+    each = view(spark, sf_dir, "det").select("id", G.ring_of(corners).alias("ring")).select("id", F.explode(moved).alias("m"))
+    return each.select("id", "m.turns", "m.mirror", F.posexplode("m.ring").alias("k", "p")).select("id", "k", "turns", "mirror", "p.x", "p.y")
 
 
 _PAIRS = """
@@ -275,39 +285,39 @@ def pred_gt_join(spark, sf_dir):
     return _pairs(spark, sf_dir)[1].select("pred_id", "gt_id", "shared", "joint")
 
 
-# A pair above one half whose two ends have no other such pair is matched whatever the order.
-_LONE = _PAIRS + """, good as (select * from pairs where s > 0 and 2 * s >= t - s), lone as (select * from good where pred_id in (select pred_id from good group by 1 having count(*) = 1) and gt_id in (select gt_id from good group by 1 having count(*) = 1))
+# Greedy matching, pair by pair in order of score, within each image and category.
+_MATCHED = """
+with recursive pairs as (select a.image_id, a.category_id, a.id as pred_id, b.id as gt_id, a.score, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) as s, (a.x1-a.x0)*(a.y1-a.y0) + (b.x1-b.x0)*(b.y1-b.y0) as t
+  from det a join gt b on a.image_id = b.image_id and a.category_id = b.category_id),
+good as (select *, row_number() over (partition by image_id, category_id order by score desc, pred_id, s / (t - s) desc, gt_id) as r from pairs where s > 0 and s / (t - s) >= 0.5),
+walk(image_id, category_id, r, ps, gs) as (
+  select distinct image_id, category_id, 0::bigint, []::bigint[], []::bigint[] from good
+  union all
+  select w.image_id, w.category_id, g.r, case when list_contains(ps, pred_id) or list_contains(gs, gt_id) then ps else list_append(ps, pred_id) end, case when list_contains(ps, pred_id) or list_contains(gs, gt_id) then gs else list_append(gs, gt_id) end
+  from walk w join good g on g.image_id = w.image_id and g.category_id = w.category_id and g.r = w.r + 1),
+matched as (select unnest(arg_max(ps, r)) as pred_id, unnest(arg_max(gs, r)) as gt_id from walk group by image_id, category_id),
+pos as (select category_id, count(*) as p from gt group by 1),
+runs as (select category_id, id as pred_id, score, cast(sum(case when m.pred_id is null then 0 else 1 end) over w as bigint) as tp, row_number() over w as n from det d left join matched m on m.pred_id = d.id window w as (partition by category_id order by score desc, id)),
+curve as (select category_id, pred_id, score, tp, n - tp as fp, tp / n as precision, tp / p as recall from runs join pos using (category_id))
 """
 
 
-@_gt("evaluate_images", _LONE + "select pred_id, gt_id from lone")
+@_gt("evaluate_images", _MATCHED + "select pred_id, gt_id from matched")
 def evaluate_images(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)[1].where("2 * shared >= joint")
-    ends = [pairs.groupBy(c).agg(F.count("*").alias("n")).where("n = 1").select(c) for c in ("pred_id", "gt_id")]
-    lone = E.greedy_matches(pairs).join(ends[0], "pred_id", "left_semi").join(ends[1], "gt_id", "left_semi")
-    return lone.select("pred_id", "gt_id")
+    return E.greedy_matches(_pairs(spark, sf_dir)[1]).select("pred_id", "gt_id")
 
 
-@register("precision_recall")
+@_gt("precision_recall", _MATCHED + "select * from curve")
 def precision_recall(spark, sf_dir):
     preds, pairs = _pairs(spark, sf_dir)
     return E.precision_recall(preds, E.greedy_matches(pairs), view(spark, sf_dir, "gt"))
 
 
-# Ground truth here is a moved copy of most detections, so the best match of a detection at one half is its own copy.
-@_gt("average_precision", """
-with hits as (select d.category_id, d.id, d.score, case when g.id is not null then 1 else 0 end as hit from det d left join gt g on g.id = d.id and
-  2 * greatest(least(d.x1, g.x1) - greatest(d.x0, g.x0), 0) * greatest(least(d.y1, g.y1) - greatest(d.y0, g.y0), 0) >= 2 * (d.x1-d.x0)*(d.y1-d.y0) - greatest(least(d.x1, g.x1) - greatest(d.x0, g.x0), 0) * greatest(least(d.y1, g.y1) - greatest(d.y0, g.y0), 0)),
-pos as (select category_id, count(*) as p from gt group by 1),
-runs as (select category_id, sum(hit) over w as tp, row_number() over w as n from hits window w as (partition by category_id order by score desc, id)),
-curve as (select category_id, tp / n as precision, tp / p as recall from runs join pos using (category_id)),
-points as (select category_id, k, coalesce((select max(precision) from curve c where c.category_id = pos.category_id and floor(c.recall * 100 + 1e-9) >= k), 0) as p from pos, range(101) r(k))
+@_gt("average_precision", _MATCHED + """, points as (select category_id, k, coalesce((select max(precision) from curve c where c.category_id = pos.category_id and floor(c.recall * 100 + 1e-9) >= k), 0) as p from pos, range(101) r(k))
 select category_id, round(avg(p), 6) as ap from points group by category_id
 """)
 def average_precision(spark, sf_dir):
-    preds, pairs = _pairs(spark, sf_dir)
-    curve = E.precision_recall(preds, E.greedy_matches(pairs.where("pred_id = gt_id")), view(spark, sf_dir, "gt"))
-    return E.average_precision(curve).select("category_id", F.round("ap", 6).alias("ap"))
+    return E.average_precision(precision_recall(spark, sf_dir)).select("category_id", F.round("ap", 6).alias("ap"))
 
 
 @register("parse_json", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
@@ -337,62 +347,13 @@ def model_cross(spark, sf_dir):
     return P.model_cross(view(spark, sf_dir, "det"), models).groupBy("tag", "class").agg(F.count("*").alias("n"))
 
 
-# The queries from here on take every row and every pixel of what the queries of the same names without ``_all`` take a part of.
-# DuckDB rounds to a negative zero, Spark to zero.
-@register("normalize_all", f"{_PIXELS} select vec_id, y, x, round(v / 255, 7) + 0.0::double as v from px")
-def normalize_all(spark, sf_dir):
-    return _probs(spark, sf_dir).select("vec_id", "y", "x", F.round(F.col("v").cast("double") / 255, 7).alias("v"))
-
-
-_ALL_BOXES = _BOXES.replace(" where id % 7 = 0", "")
+# Names under which the queries of all rows were registered beside narrower ones.
+for _name, _query in (("normalize", normalize), ("rasterize", rasterize), ("semantic_records", semantic_records), ("tile_mask", tile_mask), ("patch_records", patch_records), ("drop_unannotated", drop_unannotated), ("evaluate_images", evaluate_images), ("average_precision", average_precision)):
+    register(f"{_name}_all", ORACLES[_name])(_query)
 
 
-def _all_runs(spark, sf_dir):
-    local = view(spark, sf_dir, "det").selectExpr("image_id", "id", "category_id", "x0 % 256 as x0", "y0 % 256 as y0", "least(x0 % 256 + 16 + id % 48, 256) as x1", "least(y0 % 256 + 20, 256) as y1")
-    return local.withColumn("runs", P.fill_ring(G.ring_of(G.box()), F.lit(256), F.lit(256))).withColumnsRenamed({"category_id": "class", "id": "roi_idx"})
-
-
-@_det("rasterize_all", _ALL_BOXES + " select id as roi_idx, (x1-x0)*(y1-y0) as pixels from b")
-def rasterize_all(spark, sf_dir):
-    count = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["x1"] - r["x0"])
-    return _all_runs(spark, sf_dir).select("roi_idx", count.alias("pixels"))
-
-
-@register("semantic_records_all")
-def semantic_records_all(spark, sf_dir):
-    return P.semantic_pixels(_all_runs(spark, sf_dir), ["image_id"]).groupBy("image_id", "class").agg(F.count("*").alias("pixels"))
-
-
-@register("tile_mask_all")
-def tile_mask_all(spark, sf_dir):
-    flat = _all_runs(spark, sf_dir).select("image_id", F.explode("runs").alias("r")).select("image_id", F.col("r.y").alias("y"), F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"))
-    mask = P.merge_runs(flat, ["image_id"]).select("image_id", F.array(F.struct("y", "x0", "x1")).alias("runs"))
-    grid = spark.range(16).select((F.col("id") % 4).alias("tx"), F.floor(F.col("id") / 4).alias("ty"))
-    tiles = view(spark, sf_dir, "image").select("image_id").crossJoin(F.broadcast(grid)).selectExpr("image_id", "tx", "ty", "tx*64 as x0", "ty*64 as y0", "tx*64+64 as x1", "ty*64+64 as y1")
-    return P.mask_counts(mask, tiles, ["image_id"]).where("pixels * 4 >= 64 * 64").select("image_id", "tx", "ty", "pixels")
-
-
-@_gt("patch_records_all", "select id, cast(category_id - 1 as bigint) as class_id, 'det' as part from det union all select id, cast(category_id - 1 as bigint) as class_id, 'gt' as part from gt")
-def patch_records_all(spark, sf_dir):
-    det, gt = view(spark, sf_dir, "det"), view(spark, sf_dir, "gt")
-    classes = R.class_index(det, "class")
-    part = lambda df, name: D.patch_records(df, classes).select("id", F.col("class_id").cast("long").alias("class_id"), F.lit(name).alias("part"))
-    return part(det, "det").unionByName(part(gt, "gt"))
-
-
-@_gt("drop_unannotated_all", "select n_nationkey as id from nation where n_nationkey in (select image_id from gt where category_id = 1 and (x1-x0) % 30 > 1 and (y1-y0) % 30 > 1)")
-def drop_unannotated_all(spark, sf_dir):
-    images = view(spark, sf_dir, "image").select(F.col("image_id").alias("id"))
-    return D.drop_unannotated(images, _annotations(spark, sf_dir).where("category_id = 1"))
-
-
-@register("evaluate_images_all")
-def evaluate_images_all(spark, sf_dir):
-    return E.greedy_matches(_pairs(spark, sf_dir)[1]).select("pred_id", "gt_id")
-
-
-@register("average_precision_all")
-def average_precision_all(spark, sf_dir):
-    preds, pairs = _pairs(spark, sf_dir)
-    curve = E.precision_recall(preds, E.greedy_matches(pairs), view(spark, sf_dir, "gt"))
-    return E.average_precision(curve).select("category_id", F.round("ap", 6).alias("ap"))
+@register("coco_summary")
+def coco_summary(spark, sf_dir):
+    truth = view(spark, sf_dir, "gt").withColumn("iscrowd", (F.col("id") % 11 == 0).cast("int"))
+    preds = view(spark, sf_dir, "det").withColumn("score", F.col("score").cast("double"))
+    return E.coco_summary(preds, truth).withColumn("value", F.round("value", 9))

@@ -212,57 +212,27 @@ def merge_pipeline(spark, sf_dir):
     return kept.select(F.array_min("members").alias("first"), to_feature(F.col("class"), F.col("score"), F.col("ring")).alias("feature"))
 
 
-# Components of two whose pair meets the rule merge in one step, which SQL can say.
-_TWOS = _REACH.replace("a.class = b.class", "a.class = b.class and a.image_id = b.image_id") + """, comp as (select id, min(c) as c from reach group by id), twos as (select c from comp group by c having count(*) = 2),
-two as (select a.id as i, b.id as j, a.score as sa, b.score as sb, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) as s, (a.x1-a.x0)*(a.y1-a.y0) as aa, (b.x1-b.x0)*(b.y1-b.y0) as ab
-  from twos join comp ca on ca.c = twos.c join comp cb on cb.c = twos.c and ca.id < cb.id join det a on a.id = ca.id join det b on b.id = cb.id)
-"""
-
-
-def _twos(spark, sf_dir, variant, *thresholds):
-    dets = _dets(spark, sf_dir)
-    b = G.ring_bounds(F.col("ring"))
-    comps = M.candidate_components(dets.withColumns({c: getattr(b, c) for c in b._fields}), KEYS, 256)
-    twos = comps.groupBy("component").agg(F.count("*").alias("n")).where("n = 2").select("component")
-    own = comps.join(twos, "component").select(F.col("node").alias("id"))
-    merged = M.merge_detections(dets.join(own, "id", "left_semi"), KEYS, variant, *thresholds)
-    return merged.where(F.size("members") == 2).select(F.array_min("members").alias("id"), F.round("score", 4).alias("score"))
-
-
-@register("merge_score_mean", with_views(_TWOS + "select i as id, round((sa + sb) / 2, 4) as score from two where s > 0 and s < least(aa, ab) and s * 10 > 3 * (aa + ab - s)", "det"))
-def merge_score_mean(spark, sf_dir):
-    return _twos(spark, sf_dir, "iou", 0.3)
-
-
-_RULE = "s > 0 and (s * 5 >= aa or s * 5 >= ab or (s < least(aa, ab) and s * 5 > aa + ab - s))"
-
-
-@register("merge_score_max", with_views(_TWOS + f"select i as id, round(greatest(sa, sb), 4) as score from two where {_RULE}", "det"))
-def merge_score_max(spark, sf_dir):
-    return _twos(spark, sf_dir, "centroid")
-
-
-@register("merge_score_area_avg", with_views(_TWOS + f"select i as id, round((sa*aa + sb*ab) / (aa + ab), 4) as score from two where {_RULE}", "det"))
-def merge_score_area_avg(spark, sf_dir):
-    return _twos(spark, sf_dir, "rtree")
-
-
 def _scores(spark, sf_dir, variant, *thresholds):
     merged = M.merge_detections(_dets(spark, sf_dir), KEYS, variant, *thresholds)
     return merged.select(F.array_min("members").alias("id"), F.size("members").alias("n"), F.round("score", 4).alias("score"))
 
 
-# The scores of all detections, merged or not, of components of any size.
-@register("merge_score_mean_all")
-def merge_score_mean_all(spark, sf_dir):
+# The scores of all detections, merged or not, of components of any size; SQL cannot follow the order of unions.
+@register("merge_score_mean")
+def merge_score_mean(spark, sf_dir):
     return _scores(spark, sf_dir, "iou", 0.3)
 
 
-@register("merge_score_max_all")
-def merge_score_max_all(spark, sf_dir):
+@register("merge_score_max")
+def merge_score_max(spark, sf_dir):
     return _scores(spark, sf_dir, "centroid")
 
 
-@register("merge_score_area_avg_all")
-def merge_score_area_avg_all(spark, sf_dir):
+@register("merge_score_area_avg")
+def merge_score_area_avg(spark, sf_dir):
     return _scores(spark, sf_dir, "rtree")
+
+
+# Names under which these were registered beside narrower ones.
+for _name, _query in (("mean", merge_score_mean), ("max", merge_score_max), ("area_avg", merge_score_area_avg)):
+    register(f"merge_score_{_name}_all")(_query)

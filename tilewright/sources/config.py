@@ -46,17 +46,59 @@ class PredictionConfig:
             object.__setattr__(self, "n_channels", len(self.train_channels))
 
 
-def from_mapping(values: dict[str, Any]) -> PredictionConfig:
+@dataclass(frozen=True)
+class TrainingConfig:
+    """One training set over many slides, each with its file of regions and, where it has negatives, its negative regions."""
+
+    train_images: list[str]
+    train_rois: list[str]
+    valid_images: list[str] = field(default_factory=list)
+    valid_rois: list[str] = field(default_factory=list)
+    train_class: str = "train-area"
+    negative_roi: str | None = None
+    neg_proportion: float = 0.5
+    offset_to_train_area: bool = False
+    reload_from_pickle: str | None = None
+    solver_steps: list[int] = field(default_factory=list)
+    data_dir: str | None = None
+    tile_size: int = 1024
+    tile_overlap: float = 0.5
+    edge_thresh: float = 0.95
+    downsampling: float = 1
+    train_channels: list[int] | None = None
+
+    def __post_init__(self) -> None:
+        for images, rois in ((self.train_images, self.train_rois), (self.valid_images, self.valid_rois)):
+            if len(images) != len(rois):
+                raise ValueError(f"{len(images)} images have {len(rois)} files of regions")
+        if not 0 <= self.neg_proportion:
+            raise ValueError("neg_proportion must not be below 0")
+
+
+def _given(kind: type, values: dict[str, Any]) -> Any:
     """Settings from a mapping; unknown keys are passed over, nulls take the default, single values become lists."""
-    lists = {"test_images", "model_path", "prediction_class", "model_tag", "threshold", "size_filter"}
-    known = {f.name for f in fields(PredictionConfig)}
+    known = {f.name: f for f in fields(kind)}
     given = {k: v for k, v in values.items() if k in known and v is not None}
-    return PredictionConfig(**{k: [v] if k in lists and not isinstance(v, list) else v for k, v in given.items()})
+    return kind(**{k: [v] if str(known[k].type).startswith("list[") and not isinstance(v, list) else v for k, v in given.items()})
+
+
+def from_mapping(values: dict[str, Any]) -> PredictionConfig:
+    """Settings of a prediction run from a mapping; unknown keys are passed over, nulls take the default, single values become lists."""
+    return _given(PredictionConfig, values)
 
 
 def read_config(path: str) -> PredictionConfig:
-    """Settings from a YAML file."""
+    """Settings of a prediction run from a YAML file."""
+    return _given(PredictionConfig, _yaml(path))
+
+
+def read_training_config(path: str) -> TrainingConfig:
+    """Settings of a training set from a YAML file."""
+    return _given(TrainingConfig, _yaml(path))
+
+
+def _yaml(path: str) -> dict[str, Any]:
     import yaml
 
     with open(path) as file:
-        return from_mapping(yaml.safe_load(file))
+        return yaml.safe_load(file)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,8 +58,28 @@ def zarr_chunks(spark: SparkSession, path: str, image_id: str, level: int = 0) -
     codecs = [c["name"] for c in meta["codecs"]]
     if codecs not in (["bytes"], ["bytes", "gzip"]):
         raise ValueError(f"unsupported Zarr codecs: {codecs}")
-    shape, chunk = _three(meta["shape"], 1), _three(meta["chunk_grid"]["configuration"]["chunk_shape"], 1)
-    dtype, packed, depth = np.dtype(meta["data_type"]), codecs[-1] == "gzip", len(meta["shape"])
+    return _chunk_files(spark, path, image_id, level, meta["shape"], meta["chunk_grid"]["configuration"]["chunk_shape"], np.dtype(meta["data_type"]), gzip.decompress if codecs[-1] == "gzip" else bytes)
+
+
+def zarr2_chunks(spark: SparkSession, path: str, image_id: str, meta: dict | None = None, level: int = 0) -> DataFrame:
+    """The same of a Zarr array of version 2, plain, zlib or gzip, in C order.
+
+    Its metadata, ``.zarray``, is a hidden file, which Spark does not read: pass
+    its content as ``meta``, or a path that the driver can open.
+    """
+    if meta is None:
+        with open(os.path.join(path.removeprefix("file://"), ".zarray")) as file:
+            meta = json.load(file)
+    name = (meta["compressor"] or {"id": None})["id"]
+    packed = {None: bytes, "zlib": zlib.decompress, "gzip": gzip.decompress}
+    if name not in packed or meta.get("filters") or meta.get("order", "C") != "C":
+        raise ValueError(f"unsupported Zarr array: {meta}")
+    return _chunk_files(spark, path, image_id, level, meta["shape"], meta["chunks"], np.dtype(meta["dtype"]), packed[name])
+
+
+def _chunk_files(spark: SparkSession, path: str, image_id: str, level: int, shape: list[int], chunk: list[int], dtype: np.dtype, unpack: Callable[[bytes], bytes]) -> DataFrame:
+    depth = len(shape)
+    shape, chunk = _three(shape, 1), _three(chunk, 1)
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "[0-9]*").format("binaryFile").load(path).select("path", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +87,7 @@ def zarr_chunks(spark: SparkSession, path: str, image_id: str, level: int = 0) -
             out = []
             for p, raw in zip(batch["path"], batch["content"]):
                 at = _three([int(k) for k in re.split(r"[/.]", p)[-depth:]], 0)
-                block = np.frombuffer(gzip.decompress(raw) if packed else raw, dtype).reshape(chunk)
+                block = np.frombuffer(unpack(raw), dtype).reshape(chunk).astype(dtype.newbyteorder("="))
                 start = [i * n for i, n in zip(at, chunk)]
                 block = block[tuple(slice(0, min(n, s - o)) for n, s, o in zip(chunk, shape, start))]
                 out.append((image_id, level, *start, *block.shape, dtype.name, np.ascontiguousarray(block).tobytes()))

@@ -11,9 +11,15 @@ _CHECKPOINT = "spark.checkpoint.dir"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that is unset, a local session gets a temporary folder, as in tests; on
+    a cluster it is an error, as executors would write to disks of their own.
+    """
     named = spark.sparkContext.getConf().get(_CHECKPOINT) or spark.conf.get(_CHECKPOINT, None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_CHECKPOINT} must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tilewright-')}"
         spark.conf.set(_CHECKPOINT, named)
     return named.rstrip("/")
