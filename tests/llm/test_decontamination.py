@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from tilewright.llm.decontamination import align, edit_budget, find_passages, mark_documents, normalise, passage_batches
+from tilewright.llm import decontamination
+from tilewright.llm.decontamination import align, edit_budget, find_passages, mark_documents, normalise
 
 
 def _norm(text):
@@ -47,7 +48,27 @@ def test_banded_alignment_matches_full_alignment():
         assert _edits(p.encode(), t.encode()[got[1] : got[2]]) == want
 
 
-def test_found_passages_match_brute_force(spark):
+@pytest.mark.parametrize("index_bytes, block", [(4 << 20, 1 << 20), (4 << 20, 700), (0, 700)])
+def test_found_passages_match_brute_force(spark, monkeypatch, index_bytes, block):
+    """From one index, from an index over texts cut into parts, and by the shuffle join of a large benchmark."""
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", index_bytes)
+    monkeypatch.setattr(decontamination, "LARGE_BITS", 16)
+    frame, bench, want = _case(spark)
+    if block < 1 << 20:
+        # workers import the modules anew, so the cut is tried on the driver
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+        index = decontamination.Index(tuple((i, p.encode()) for i, p in bench if p and i is not None), decontamination.EDIT_RATE)
+        for r in frame.where("text is not null").collect():
+            raw = np.frombuffer(r["text"].encode(), np.uint8)
+            data, off = normalise(raw, np.array([0, len(raw)]))
+            assert {(r["doc_id"], index.ids[i]): n for _, i, _, _, n in decontamination._search(data, off, index)} == {k: n for k, n in want.items() if k[0] == r["doc_id"]}
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in find_passages(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == want
+    marked = {x["doc_id"]: x["passages"] for x in mark_documents(frame.withColumnRenamed("start", "own"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert {(d, i) for d, items in marked.items() for i in items} == set(want) and len(marked) == frame.count()
+
+
+def _case(spark):
     r = random.Random(9)
     words = ["tion", "ering", "the", "and", "éu", "of", "stand", "ble", "heat", "ou"]
     say = lambda n: " ".join(r.choice(words) + r.choice(words) for _ in range(n))
@@ -63,7 +84,6 @@ def test_found_passages_match_brute_force(spark):
     long = max((t for _, t in bench[:12]), key=len)
     docs += [(200 + c, long[c:] + " " + say(9)) for c in (1, 3, 9, 40, len(long) // 2)] + [(300 + c, say(9) + " " + long[: len(long) - c]) for c in (1, 3, 9, 40, len(long) // 2)] + [(400, long[len(long) // 2 :])]
     frame = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, start int").repartition(3)
-    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in find_passages(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()}
     want = {}
     for d, t in docs:
         for i, p in bench:
@@ -72,14 +92,16 @@ def test_found_passages_match_brute_force(spark):
                 n = _edits(body, _norm(t))
                 if n <= edit_budget(len(body)):
                     want[d, i] = n
-    assert got == want
+    return frame, bench, want
 
 
-@pytest.mark.parametrize("size", [1, 1 << 20])
-def test_batches_and_empty_tables(spark, monkeypatch, size):
-    monkeypatch.setattr(passage_batches, "__defaults__", (*passage_batches.__defaults__[:-1], size))
+@pytest.mark.parametrize("size", [0, 1 << 20])
+def test_large_benchmarks_and_empty_tables(spark, monkeypatch, size):
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", size)
     docs = spark.createDataFrame([(1, "here is a passage of some length to be found, in a text"), (None, "a passage of some length to be found")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a passage of some length to be found"), (2, "another one that no text has at all")], "item_id long, text string")
     assert sorted((r["doc_id"] or 0, r["item_id"]) for r in find_passages(docs, bench).collect()) == [(0, 1), (1, 1)]
     assert sorted(r["passages"] for r in mark_documents(docs, bench).collect()) == [[1], [1]]
     assert find_passages(docs.where("doc_id < 0"), bench).count() == 0 and find_passages(docs, bench.where("item_id < 0")).count() == 0
+    scans = find_passages(docs, bench)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert scans == 1 or size == 0

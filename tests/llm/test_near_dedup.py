@@ -67,3 +67,16 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     assert sorted((x["doc_id"] or -1, x["component_id"], x["kept"]) for x in got if x["doc_id"]) == [(2, 2, True), (3, 2, False), (3, 2, False)]
     assert [(x["component_id"], x["kept"]) for x in got if x["doc_id"] is None] == [(None, True)]
     assert near_duplicates(_docs(spark, [])).count() == 0
+
+
+def test_very_many_copies_take_a_pair_each(spark, monkeypatch):
+    from tilewright.llm import near_dedup
+
+    pairs = []
+    confirmed = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda sets, some, p: (pairs.append(some.count()), confirmed(sets, some, p))[1])
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(words[:110] + [f"own{i}"] + words[110:])) for i in range(3000)]
+    got = near_duplicates(_docs(spark, rows)).collect()
+    assert {x["component_id"] for x in got} == {0} and sum(x["kept"] for x in got) == 1
+    assert pairs[0] <= 3000 and sum(pairs) < 2 * 3000

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tilewright.llm import quality, text_arrays
 from tilewright.llm.quality import FEATURES, features, fit, learn, score
 
 
@@ -50,3 +51,39 @@ def test_held_out_rows_are_told_apart(spark):
     held = out[(out["doc_id"] % 5 == 0) & (out["doc_id"] < 600)]
     assert _auc((held["doc_id"] % 4 > 0).to_numpy().astype(int), held["score"].to_numpy()) > 0.99
     assert score(docs.where("doc_id < -5"), model).count() == 0
+
+
+def test_pieces_change_no_feature_or_shingle(monkeypatch):
+    texts = ["", "One two. THREE,\n four* five\x0bsix", "a" * 300 + " b" * 200, " ", "é" * 100 + "\t#x#" * 50, "tail"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    want, sets = quality.features(data, off), text_arrays.shingles(data, off)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(text_arrays, "BLOCK_BYTES", size)
+        text_arrays._powers.cache_clear()
+        assert np.allclose(quality.features(data, off), want)
+        assert all((a == b).all() for a, b in zip(text_arrays.shingles(data, off), sets))
+    monkeypatch.undo()
+    text_arrays._powers.cache_clear()
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from tilewright.llm import decontamination, near_dedup, quality, text_arrays
+raw = np.frombuffer(b"some words of a very long text that goes on, and on. " * (64 * (1 << 20) // 53), np.uint8)
+off = np.array([0, len(raw)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+quality.features(raw, off)
+near_dedup.minhashes(*text_arrays.shingles(raw, off))
+index = decontamination.Index(((1, b"a passage that is nowhere in the text at all"),), 0.06)
+decontamination._search(*decontamination.normalise(raw, off), index)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 1536, grown

@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from tilewright.llm.sentence_pieces import SCALE, best_path, chunk_matrix, combine, decode, encode, encode_text, load, scan, transfer_matrix
+from tilewright.llm.sentence_pieces import NONE, SCALE, best_path, chunk_matrix, combine, composed, decode, encode, encode_text, enters, leaves_of, load, product, scores_before, transfer_matrix
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -57,27 +57,55 @@ def test_matrices_are_associative_and_chunks_keep_the_best_score(model):
         for m in ms[1:]:
             whole = combine(whole, m)
         assert whole[0, 0] == best_path(text, pieces)[0]
-        ids, total = [], 0
-        for c, (a, x) in zip(cuts, scan(ms)):
-            score, own = best_path(text[c + a : (len(text) if c == cuts[-1] else c + size) + x], pieces)
-            ids, total = ids + list(own), total + score
-        assert total == whole[0, 0] and b"".join(pieces.as_bytes[i] for i in ids).decode() == text
+        start = np.full(wide, NONE, np.int64)
+        start[0] = 0
+        before = [np.frombuffer(v, np.int64) for v in scores_before([m.tobytes() for m in ms], start.tobytes())]
+        ends = [len(text) - c if c == cuts[-1] else size for c in cuts]
+        tables = [enters(text[c : c + size + wide], n, v, pieces, c == cuts[-1]) for c, n, v in zip(cuts, ends, before)]
+        left = leaves_of([t.tobytes() for t in tables], np.int32(0).tobytes())
+        ids = []
+        for c, n, t, x in zip(cuts, ends, tables, left):
+            x = int(np.frombuffer(x, np.int32)[0])
+            ids += best_path(text[c + int(t[x]) : c + n + x], pieces)[1]
+        assert tuple(ids) == best_path(text, pieces)[1]
+        if len(ms) > 2:
+            raw = [m.tobytes() for m in ms]
+            assert product([product(raw[:2]), product(raw[2:])]) == product(raw)
+            own = [t.tobytes() for t in tables]
+            assert composed([composed(own[:2]), composed(own[2:])]) == composed(own)
 
 
 def test_round_trip_of_short_giant_and_odd_texts(spark):
     r = random.Random(3)
     texts = [None, "", " ", "▁", "a", "\n\n", *_texts(r, 20), "".join(_texts(r, 60)), "z" * 900 + " " + "q" * 500, " " * 700]
-    docs = spark.createDataFrame([(i % 20, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
-    got = decode(encode(docs, PATH, chunk=100), PATH).collect()
-    assert len(got) == len(texts) and all(g["decoded"] == g["text"] for g in got)
-    assert sorted((t is None, t or "") for t in texts) == sorted((g["text"] is None, g["text"] or "") for g in got)
-    assert all((g["ids"] is None) == (g["text"] is None) for g in got)
+    docs = spark.createDataFrame([(i % 20, t, "old", i) for i, t in enumerate(texts)], "doc_id long, text string, ids string, key int").repartition(3)
     pieces = load(open(PATH, "rb").read())
-    scores = {i: s for i, s in pieces.by_text.values()}
-    value = lambda ids: sum(scores.get(i, 0) for i in ids)
-    for g in got:
-        if g["text"]:
-            assert value(g["ids"]) == value(encode_text(" " + g["text"], pieces))
+    for chunk, fan in ((50, 2), (100, 3), (173, 64)):
+        got = decode(encode(docs, PATH, chunk=chunk, fan=fan), PATH).collect()
+        assert len(got) == len(texts) and all(g["text"] == g["decoded"] == texts[g["key"]] for g in got)
+        for g in got:
+            assert g["ids"] == (None if g["text"] is None else encode_text(" " + g["text"], pieces) if g["text"] else [])
+
+
+def test_a_unigram_model_encodes_as_the_library_does(spark, tmp_path):
+    r = random.Random(4)
+    m = proto.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, True
+    m.normalizer_spec.name, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.add_dummy_prefix = "identity", False, True
+    add = lambda piece, score, kind: m.pieces.add(piece=piece, score=score, type=kind)
+    add("<unk>", 0, 2)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0, 6)
+    # scores that no two sums of share, so that there is one best path
+    for piece in sorted({"▁", *"abcde", *("".join(r.choices("▁abcde", k=1) + r.choices("abcde", k=r.randrange(1, 6))) for _ in range(300))}):
+        add(piece, -r.randrange(200_000, 900_000) / SCALE, 1)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    texts = ["".join(r.choices("abcde  é\n", k=r.randrange(400))) for _ in range(60)]
+    got = {g["text"]: g["ids"] for g in encode(spark.createDataFrame([(t,) for t in texts], "text string"), str(path), chunk=60, fan=2).collect()}
+    # an unknown character ends runs there as it does here
+    assert all(got[t] == library.encode(t) for t in texts)
 
 
 def test_empty_table(spark):

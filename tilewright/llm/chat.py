@@ -19,17 +19,20 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<&|"), F.lit("<|")), F.lit("<&&"), F.lit("<&"))
 
 
-def _merged(turns: Column) -> Column:
-    """Adjacent turns of one role become one struct whose ``texts`` holds each of them."""
-    empty = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
+def _run_starts(turns: Column) -> Column:
+    """Places (from 1) of the turns whose role is not that of the turn before."""
+    role = lambda i: F.get(turns, i)["role"]
+    return F.filter(F.sequence(F.lit(1), F.size(turns)), lambda i: (i == 1) | (role(i - 1) != role(i - 2)))
 
-    def step(acc: Column, turn: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))))
-        fresh = F.concat(acc, F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["role"] == turn["role"]), joined).otherwise(fresh)
 
-    return F.aggregate(turns, empty, step)
+def _merged(turns: Column, starts: Column) -> Column:
+    """Adjacent turns of one role become one struct whose ``texts`` holds each of them; each turn is sliced out once."""
+
+    def run(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts, k + 1), F.size(turns) + 1)
+        return F.struct(F.get(turns, start - 1)["role"].alias("role"), F.transform(F.slice(turns, start, end - start), lambda t: t["text"]).alias("texts"))
+
+    return F.transform(starts, run)
 
 
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -47,7 +50,8 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
         F.col(conv).alias("conv_id"), F.col(turn).alias("t"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
     packed = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("t", "role", "text"))).alias("turns"))
-    packed = packed.select("conv_id", _merged("turns").alias("merged"))
+    packed = packed.select("conv_id", "turns", _run_starts(F.col("turns")).alias("starts"))
+    packed = packed.select("conv_id", _merged(F.col("turns"), F.col("starts")).alias("merged"))
     body = F.transform(
         "merged",
         lambda m: F.concat(F.lit(TURN), escape(m["role"]), F.lit(TEXT), F.array_join(F.transform(m["texts"], escape), MORE), F.lit(END)),

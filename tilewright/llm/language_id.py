@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_arrays import blocks, utf8
+from .text_arrays import blocks, packed, unpacked, utf8
 
 SAMPLE_BYTES = 16_000
 SAMPLE_ROWS = 80
+#: Bytes that are parsed as one lane of many that run side by side.
 LANE = 512
+#: Languages whose tables fit the indices; more labels than this are refused, as labels are no free text.
+MOST_LANGUAGES = 200
 
 
 def _fold() -> np.ndarray:
@@ -36,9 +39,11 @@ def learn_samples(docs: DataFrame, learn: Column, lang: str = "lang", text: str
     kept. Rows without text or label, or outside ``learn``, are not used.
     """
     rows = docs.where(learn).where(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return ()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels in {lang}")
     key = F.xxhash64(F.col(doc_id), F.lit("language sample"))
     chance = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_ROWS / n))])[F.col(lang)]
     width = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, -(-sample_bytes // min(n, SAMPLE_ROWS // 2)))])[F.col(lang)]
@@ -97,7 +102,7 @@ def _tables(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, np.ndar
         for s, out in enumerate(step[1:], 1):
             for c, to in out.items():
                 table[s, classes[c]] = (base + to * wide) * 2
-        parts.append(table.astype(np.int32).ravel())
+        parts.append(table.astype(np.int32 if base + table.size < 1 << 30 else np.int64).ravel())
         base += table.size
     return classes[FOLD], np.array(roots, np.int64), np.concatenate(parts)
 
@@ -105,9 +110,12 @@ def _tables(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, np.ndar
 def phrase_counts(raw: np.ndarray, off: np.ndarray, samples: tuple[tuple[str, bytes], ...]) -> np.ndarray:
     """Phrases of each row's greedy parse by each language: array (languages, rows).
 
-    Texts are read in lanes of ``LANE`` bytes, all lanes and languages a byte at
-    a time together; a phrase begins with a lane, and where the automaton has no
-    transition. A byte that the sample lacks is a phrase.
+    A phrase begins with the text, and where the automaton has no transition; a
+    byte that the sample lacks is a phrase. Texts are cut into lanes of ``LANE``
+    bytes that run side by side, a byte at a time for all languages. Lanes first
+    run from the root; each whose predecessor ends elsewhere runs again from
+    there, until no end changes, so the counts are those of the parse of the
+    whole text.
     """
     classes, roots, table = _tables(samples)
     size = np.diff(off)
@@ -116,20 +124,26 @@ def phrase_counts(raw: np.ndarray, off: np.ndarray, samples: tuple[tuple[str, by
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
     start = off[owner] + nth * LANE
     width = np.minimum(off[owner + 1] - start, LANE)
-    order = np.argsort(-width, kind="stable")
-    owner, start, width = owner[order], start[order], width[order]
     out = np.zeros((len(roots), len(size)), np.int64)
-    if not len(owner):
-        return out
-    codes = classes[raw]
-    live = np.searchsorted(-width, -np.arange(1, LANE + 1), side="right")
-    at = np.repeat(roots[:, None], len(owner), axis=1)
-    begun = np.zeros((len(roots), len(owner)), np.int32)
-    for t in range(int(width[0])):
-        n = live[t]
-        value = table.take(at[:, :n] + codes[start[:n] + t], mode="clip")
-        begun[:, :n] += value & 1
-        at[:, :n] = value >> 1
+    entry = np.repeat(roots[:, None], len(owner), axis=1)
+    ends, begun = np.full(entry.shape, -1, np.int64), np.zeros(entry.shape, np.int32)
+    todo = np.arange(len(owner))
+    while len(todo):
+        todo = todo[np.argsort(-width[todo], kind="stable")]
+        live = np.searchsorted(-width[todo], -np.arange(1, LANE + 1), side="right")
+        at, phrases, place = entry[:, todo], np.zeros((len(roots), len(todo)), np.int32), start[todo]
+        for t in range(int(width[todo[0]])):
+            n = live[t]
+            value = table.take(at[:, :n] + classes[raw[place[:n] + t]], mode="clip")
+            phrases[:, :n] += value & 1
+            at[:, :n] = value >> 1
+        ends[:, todo], begun[:, todo] = at, phrases
+        # lanes that follow one of these lanes in its text and began elsewhere
+        after = todo[todo + 1 < len(owner)] + 1
+        after = after[nth[after] > 0]
+        after = after[(ends[:, after - 1] != entry[:, after]).any(axis=0)]
+        entry[:, after] = ends[:, after - 1]
+        todo = after
     for k in range(len(roots)):
         out[k] = np.bincount(owner, weights=begun[k], minlength=len(size)).astype(np.int64)
     return out
@@ -142,19 +156,19 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str =
     divided by the text's length; the least cost wins, ties by name. ``score`` is
     one less the ratio of the least cost to the next (1 with a single language).
     Null texts, texts without a letter, and any text when nothing was learned are
-    ``und`` with score 0. Whole texts are read, in blocks of bounded memory.
+    ``und`` with score 0. Repeated rows are judged alike, an empty table gives an
+    empty result, and no name of another column clashes. Whole texts are read, in
+    blocks of about 1 MB or one longer text.
     """
     names = [name for name, _ in samples]
     bits = np.log2(np.array([max(2, len(t)) for _, t in samples]))
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(*kept).withColumn("__letter", lettered)
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    rows, kept = packed(docs, ["lang_pred", "score"], text=F.col(text).cast("string"), letter=lettered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
-            letter = block.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
-            raw, off = utf8(block.column(text))
+        for block in blocks(batches):
+            letter = block.column("letter").to_numpy(zero_copy_only=False).astype(bool)
+            raw, off = utf8(block.column("text"))
             pred, score = np.full(block.num_rows, "und", object), np.zeros(block.num_rows)
             if names:
                 cost = phrase_counts(raw, off, samples) * bits[:, None] / np.maximum(np.diff(off), 1)
@@ -162,6 +176,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str =
                 two = np.sort(cost, axis=0)
                 pred[letter] = np.array(names, object)[best][letter]
                 score[letter] = (1 - two[0] / np.maximum(two[1], 1e-12) if len(names) > 1 else np.ones(len(best)))[letter]
-            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in kept], pa.array(pred, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([block.column("own"), pa.array(pred, pa.string()), pa.array(score)], names=["own", "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    schema = rows.select("own").schema.add("lang_pred", "string").add("score", "double")
+    return unpacked(rows.mapInArrow(run, schema), kept, "lang_pred", "score")

@@ -21,9 +21,9 @@ FEW = 14
 LEAST_AGREEING = 6
 #: Bins of each band: three parallel classes of a four by four grid (columns, rows, one diagonal), so two bands share one bin at most.
 BANDS = [[4 * x + y for y in range(4)] for x in range(4)] + [[4 * x + (m * x + b) % 4 for x in range(4)] for m in (0, 1) for b in range(4)]
-#: Members up to which all of a bucket meet each other; those of larger ones meet a leader and are banded again.
+#: Members up to which all of a bucket meet each other; those of larger ones meet a leader first.
 SMALL = 64
-#: Members a side of a block, where even the second bands leave a large bucket that is not of one component.
+#: Members a side of a block of a larger bucket that leaders leave in several components.
 BLOCK = 256
 #: Longs of a line's bitmap of shingles.
 WORDS = 16
@@ -63,7 +63,7 @@ def _at_places(lines: DataFrame, *columns: Column) -> DataFrame:
     return units.select("a", "n", *columns, "u", F.explode(F.expr("sequence(1, n)")).alias("p"))
 
 
-def _bins(lines: DataFrame, kept: int, *salt: Column) -> DataFrame:
+def _bins(lines: DataFrame, kept: int) -> DataFrame:
     """One permutation hashing: (a, n, m0 ..), the least shingle hash of each of ``BINS`` bins.
 
     A shingle counts if its hash is below a threshold of about ``kept`` / length,
@@ -72,7 +72,7 @@ def _bins(lines: DataFrame, kept: int, *salt: Column) -> DataFrame:
     line's number of shingle places. Minima combine before the shuffle.
     """
     below = F.expr(f"case when n <= {kept} then {(1 << 63) - 1}L else cast({float(1 << 63)}D * {kept} / least(n, {LONG}) as long) end").alias("below")
-    hashed = _at_places(lines, below).withColumn("x", F.xxhash64(F.expr(f"substring(u, 2 * p - 1, {2 * SHINGLE})"), *salt).bitwiseAND((1 << 63) - 1))
+    hashed = _at_places(lines, below).withColumn("x", F.xxhash64(F.expr(f"substring(u, 2 * p - 1, {2 * SHINGLE})")).bitwiseAND((1 << 63) - 1))
     near = hashed.where("x <= below or p = 1").select("a", "n", F.expr("x <= below").alias("ok"), F.expr(f"cast(x & {BINS - 1}L as int)").alias("bin"), F.expr("cast(shiftright(x, 33) as int)").alias("v"))
     least = [F.min(F.expr(f"case when ok and bin = {i} then v end")).alias(f"m{i}") for i in range(BINS)]
     return near.groupBy("a").agg(F.max("n").alias("n"), *least)
@@ -92,13 +92,13 @@ def _filled(bins: DataFrame) -> DataFrame:
     return filled.select("a", "sparse", "b", *packs)
 
 
-def _signatures(lines: DataFrame, *salt: Column) -> DataFrame:
+def _signatures(lines: DataFrame) -> DataFrame:
     """(a, sparse, b, p0 ..) of every line, written; self-repeating lines are hashed whole."""
-    bins = materialize(_filled(_bins(lines, KEPT, *salt)), "bins")
+    bins = materialize(_filled(_bins(lines, KEPT)), "bins")
     sparse = materialize(bins.where("sparse").select("a"), "sparse")
     if sparse.isEmpty():
         return bins
-    return bins.where("not sparse").union(materialize(_filled(_bins(_texts(lines, sparse), 1 << 30, *salt)), "bins"))
+    return bins.where("not sparse").union(materialize(_filled(_bins(_texts(lines, sparse), 1 << 30)), "bins"))
 
 
 def _equal_bins(a: str, b: str) -> Column:
@@ -193,7 +193,7 @@ def _proposed(members: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, near: DataFrame) -> DataFrame:
     """The members of large buckets of more than one component, with their component ``c``, the buckets' sizes and largest one."""
-    inside = members.where(F.col("members") > SMALL).join(near.toDF("a", "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
+    inside = members.join(near.toDF("a", "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
     inside = materialize(inside, "inside")
     parts = inside.groupBy("key", "c").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("key").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("c", "k").alias("most"), F.count("*").alias("parts")).where("parts > 1")
@@ -213,41 +213,33 @@ def _in_blocks(mixed: DataFrame) -> DataFrame:
     return pairs.where(F.col("agree") >= LEAST_AGREEING).distinct()
 
 
-def _keys(*first: Column) -> Column:
-    return F.explode(F.array(*[F.xxhash64(*first, F.lit(k), *[F.col("b")[i] for i in band]) for k, band in enumerate(BANDS)])).alias("key")
-
-
 def near_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (x, y) between similar lines, by their hash ``a``: exact Jaccard similarity of ``min_percent`` or more.
 
     Each band of four of the sixteen bins is a key. In a bucket of ``SMALL``
     lines at most all meet each other; in a larger one each meets a leader.
     Pairs whose bins agree far less than similar lines' would are put aside; the
-    rest are confirmed on full shingle sets (:func:`_confirmed`). A large bucket
-    that this leaves in several components is banded again by a second,
-    independent hash, and what is large and mixed even then is compared block by
-    block, so no bucket has a member that is not looked at. Joined lines are not
-    compared again, so the links keep the components, not every similar pair.
+    rest are confirmed on full shingle sets (:func:`_confirmed`). In a large bucket
+    that this leaves in several components, members outside the largest one meet
+    all of others, block by block (:func:`_in_blocks`), so no bucket has a member
+    that is not looked at. Joined lines are not compared again, so the links keep
+    the components, not every similar pair.
     """
     lines = lines_of(docs, doc_id, text).where("line <> ''").select("a", "line")
     bins = _signatures(lines)
     packed = bins.select("a", *[f"p{h}" for h in range(len(PACKS))])
-    members = _members(bins.select("a", _keys()), packed)
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("b")[i] for i in band]) for k, band in enumerate(BANDS)])
+    members = _members(bins.select("a", F.explode(keys).alias("key")), packed)
     links = _confirmed(lines, materialize(_proposed(members), "proposed"), min_percent)
-    for again in (True, False):
-        if members.where(F.col("members") > SMALL).isEmpty():
-            break
-        near = _components(links)
-        mixed = materialize(_mixed(members, near), "mixed")
-        if mixed.isEmpty():
-            break
-        if again:
-            wanted = materialize(mixed.select("a").distinct(), "wanted")
-            second = _signatures(_texts(lines, wanted), F.lit("again"))
-            members = _members(mixed.select("key", "a").withColumnRenamed("key", "bucket").join(second, "a").select("a", _keys(F.col("bucket"))), packed)
-        pairs = materialize(_apart(_proposed(members) if again else _in_blocks(mixed), near), "proposed")
-        links = links.union(_confirmed(lines, pairs, min_percent))
-    return links
+    large = members.where(F.col("members") > SMALL)
+    if large.isEmpty():
+        return links
+    near = _components(links)
+    mixed = materialize(_mixed(large, near), "mixed")
+    if mixed.isEmpty():
+        return links
+    pairs = materialize(_apart(_in_blocks(mixed), near), "proposed")
+    return links.union(_confirmed(lines, pairs, min_percent))
 
 
 def dedup_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

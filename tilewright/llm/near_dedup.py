@@ -20,7 +20,7 @@ SIDE, WIDTH = 8, 2
 TABLE_HASHES = 2 * SIDE * WIDTH
 #: Further minhashes sharpen the estimate that comes before verification.
 HASHES = 64
-#: Documents a block of a large cluster holds; blocks are compared pair by pair.
+#: Documents a block of a cluster holds, where leaders leave it in several components.
 BLOCK = 512
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -83,55 +83,73 @@ def _agreement(a: str, b: str):
 
 
 def _sets(docs: DataFrame, members: DataFrame, count: int, doc_id: str, text: str) -> DataFrame:
-    """(id, cluster columns.., shingle set) for the documents that are members."""
+    """(id, n, shingles) of the documents in ``members``, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             hashes, bounds = shingles(*utf8(block.column("text")), SHINGLE)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column("id"), lists], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.diff(bounds), pa.int64()), lists], names=["id", "n", "shingles"])
 
-    side = F.broadcast(members.select("id")) if small_enough(count, 40) else members.select("id")
+    side = F.broadcast(members) if small_enough(count, 40) else members
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(side, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, shingles array<long>").join(members, "id")
+    return rows.mapInArrow(run, "id long, n long, shingles array<long>").dropDuplicates(["id"])
 
 
-def _verify(min_percent: int, floor: int):
-    """Links of one block, or of one pair of blocks, that join what is not yet joined: rows (a, b)."""
+def _confirmed(sets: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar; sets meet in the JVM, two at a time."""
+    both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b")
+    shared = both.where(100 * F.least("na", "nb") >= min_percent * F.greatest("na", "nb")).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return shared.where((100 + min_percent) * F.col("shared") >= min_percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b, ..) that ``links`` do not join."""
+    near = materialize(connected_components(links), "components")
+    near = F.broadcast(near) if small_enough(near.count(), 40) else near
+    for end in ("a", "b"):
+        pairs = pairs.join(near.toDF(end, f"c{end}"), end, "left")
+    return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
+
+
+def _likely_in(min_percent: int, floor: int):
+    """Pairs (a, b) of a block's two sides, of different components, that sizes and minhashes leave."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values(["side", "id"])
-        ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
-        sets = [np.asarray(s) for s in rows["shingles"]]
-        size = np.array([len(s) for s in sets])
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
-        same = key[-2] == key[-1]
-        root = list(range(len(ids)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        likely = []
-        for i in range(len(ids)):
-            to = np.arange(i + 1, len(ids)) if same else np.flatnonzero(side != side[i]) if side[i] == 0 else np.zeros(0, int)
-            to = to[(100 * np.minimum(size[to], size[i]) >= min_percent * np.maximum(size[to], size[i]))]
-            agree = (sig[to] == sig[i]).sum(axis=1)
-            likely += [(-int(n), i, int(j)) for n, j in zip(agree[agree >= floor], to[agree >= floor])]
+        ids, size, joined = (rows[c].to_numpy() for c in ("id", "n", "joined"))
+        right = np.flatnonzero(rows["side"] == 1)
         found = []
-        for _, i, j in sorted(likely):
-            if find(i) != find(j):
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= min_percent * (size[i] + size[j] - both):
-                    root[find(i)] = find(j)
-                    found.append((ids[i], ids[j]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        for i in np.flatnonzero(rows["side"] == 0):
+            to = right[(joined[right] != joined[i]) & (100 * np.minimum(size[right], size[i]) >= min_percent * np.maximum(size[right], size[i]))]
+            found.append(np.stack([np.full(len(to), ids[i]), ids[to]], axis=1)[(sig[to] == sig[i]).sum(axis=1) >= floor])
+        made = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+        return pd.DataFrame({"a": made.min(axis=1, initial=1 << 62), "b": made.max(axis=1, initial=-1 << 62)}).astype("int64")
 
     return run
 
 
+def _beyond_leaders(classes: DataFrame, coarse: DataFrame, links: DataFrame, min_percent: int, floor: int) -> DataFrame:
+    """Pairs (a, b) of one cluster that ``links`` do not join: each member outside a cluster's largest component with all of others.
+
+    Blocks hold ids, sizes and minhashes alone, so a task's memory depends on no text.
+    """
+    clusters = connected_components(coarse).toDF("id", "cluster")
+    joined = connected_components(links).toDF("id", "joined")
+    members = materialize(clusters.join(joined, "id", "left").withColumn("joined", F.coalesce("joined", "id")), "clusters")
+    parts = members.groupBy("cluster", "joined").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("cluster").agg(F.sum("k").alias("m"), F.max("k").alias("top"), F.max_by("joined", "k").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    rows = members.join(mixed, "cluster").join(classes.select("id", "n", "sig"), "id")
+    rows = rows.select("cluster", "id", "n", "sig", "joined", (F.col("joined") != F.col("most")).alias("other"), F.ceil(F.col("m") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int").alias("other_blocks"))
+    rows = materialize(rows, "members")
+    block = lambda seed, of: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    own = ["id", "n", "sig", "joined"]
+    left = rows.where("other").select("cluster", block("other", "other_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(0).alias("side"), *own)
+    right = rows.select("cluster", every("other_blocks").alias("i"), block("all", "all_blocks").alias("j"), F.lit(1).alias("side"), *own)
+    return left.union(right).groupBy("cluster", "i", "j").applyInPandas(_likely_in(min_percent, floor), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, min_percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Return (doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -142,10 +160,12 @@ def near_duplicates(docs: DataFrame, min_percent: int = 85, doc_id: str = "doc_i
     small collections: 32 minhashes make 64 tables of four. In each bucket every
     member is proposed to a leader drawn anew for each table; proposals that the
     64 minhashes do not rule out (four and a half standard errors) make clusters.
-    Within a cluster, all pairs that sizes and minhashes leave are confirmed on
-    full sets, best first, skipping pairs already joined; large clusters are cut
-    into blocks compared pair by pair. Links are joined by distributed
-    connected components.
+    Each member's best proposal is confirmed on full sets first, then those that
+    this does not join. Where a cluster is of several components even then, each
+    member outside its largest one is compared with all of others by minhashes,
+    block by block, and what these leave is confirmed; so a cluster of very many
+    copies costs a pair for each of them, and no pair of a cluster is left out.
+    Links are joined by distributed connected components.
 
     Texts without words, and null texts, have an empty set and link with nothing.
     Rows of one id are one document: they share a component. A null id has a null
@@ -165,17 +185,16 @@ def near_duplicates(docs: DataFrame, min_percent: int = 85, doc_id: str = "doc_i
     proposed = materialize(keys.join(leaders, "key").where("id <> leader").select("leader", "id").distinct(), "proposed")
     ids = classes.select("id", "sig")
     judged = proposed.join(ids.withColumnRenamed("sig", "x"), "id").join(ids.select(F.col("id").alias("leader"), F.col("sig").alias("y")), "leader")
-    coarse = materialize(judged.where(_agreement("x", "y") >= floor).select(F.col("leader").alias("a"), F.col("id").alias("b")), "coarse")
-    clusters = connected_components(coarse)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    members = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).select(F.col("node").alias("id"), "component", "blocks", "block")
-    members = materialize(members.join(ids, "id"), "members")
-    with_sets = _sets(docs, members, members.count(), doc_id, text)
-    # block i meets blocks j >= i; a block's rows go to each pair it is part of
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side")))
-    dealt = with_sets.select("component", "id", "sig", "shingles", F.explode(others).alias("p")).select("component", "p.i", "p.j", "p.side", "id", "sig", "shingles")
-    links = materialize(dealt.groupBy("component", "i", "j").applyInPandas(_verify(min_percent, floor), "a long, b long"), "links")
+    coarse = judged.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"), _agreement("x", "y").alias("agree")).where(F.col("agree") >= floor)
+    coarse = materialize(coarse.distinct(), "coarse")
+    wanted = materialize(coarse.select(F.col("a").alias("id")).union(coarse.select("b")).distinct(), "wanted")
+    sets = materialize(_sets(docs, wanted, wanted.count(), doc_id, text), "sets")
+    best = coarse.select(F.explode(F.array("a", "b")).alias("id"), F.struct("agree", "a", "b").alias("p")).groupBy("id").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+    links = materialize(_confirmed(sets, best, min_percent), "links")
+    rest = materialize(_apart(coarse.select("a", "b"), links), "apart")
+    links = links.union(materialize(_confirmed(sets, rest, min_percent), "links"))
+    more = materialize(_beyond_leaders(classes, coarse, links, min_percent, floor), "likely")
+    links = links.union(materialize(_confirmed(sets, more, min_percent), "links"))
     joined = connected_components(links)
     named = classes.select("set_a", "set_b", "id").join(joined, classes["id"] == joined["node"], "left")
     named = named.select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.coalesce("component", "id").alias("c"))

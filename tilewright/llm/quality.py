@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text_arrays import blocks, utf8, words
+from .text_arrays import blocks, packed, pieces, unpacked, utf8, words
 
 SAMPLE_ROWS = 20_000
 MAX_BINS = 32
@@ -27,22 +28,37 @@ def _classes() -> np.ndarray:
 
 
 KINDS = _classes()
+#: The kind of each byte; bytes of no kind have the next number.
+KIND = np.where(KINDS.any(axis=0), KINDS.argmax(axis=0), len(KINDS)).astype(np.uint8)
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The feature matrix (rows, len(FEATURES)) of texts given as bytes; an empty text has zeros."""
+    """The feature matrix (rows, len(FEATURES)) of texts given as bytes; an empty text has zeros.
+
+    Bytes are counted piece by piece, so beside the text only its words take memory.
+    """
     rows = len(off) - 1
     size = np.diff(off)
     out = np.zeros((rows, len(FEATURES)))
-    full = np.flatnonzero(size)
-    if not len(full):
+    if not len(raw):
         return out
-    sums = np.stack([np.add.reduceat(mask[raw], off[:-1][full], dtype=np.int64) for mask in KINDS], axis=1)
-    some = np.maximum(size[full], 1)[:, None]
-    out[full, 0] = np.log1p(size[full])
-    out[full, 1:8] = sums / some
-    out[full, 8] = 1 - sums.sum(axis=1) / some[:, 0]
     row, start, end, hashed = words(raw, off)
+    sums, symbol_words, wide = np.zeros((rows, len(KINDS)), np.int64), np.zeros(len(start), bool), len(KINDS) + 1
+    for a, b in pieces(len(raw)):
+        kind = KIND[raw[a:b]]
+        lead = int(np.searchsorted(off, a, side="right")) - 1
+        owner = np.searchsorted(off, np.arange(a, b), side="right") - 1 - lead if b > off[lead + 1] else 0
+        counts = np.bincount(owner * wide + kind)
+        counts = np.pad(counts, (0, -len(counts) % wide)).reshape(-1, wide)
+        sums[lead : lead + len(counts)] += counts[:, :-1]
+        symbols = np.flatnonzero(kind == 6) + a
+        word = np.searchsorted(start, symbols, side="right") - 1
+        symbol_words[word[(word >= 0) & (symbols < end[word])] if len(end) else word[:0]] = True
+    full = np.flatnonzero(size)
+    some = size[full][:, None]
+    out[full, 0] = np.log1p(size[full])
+    out[full, 1:8] = sums[full] / some
+    out[full, 8] = 1 - sums[full].sum(axis=1) / some[:, 0]
     n = np.bincount(row, minlength=rows)
     any_word = np.maximum(n, 1)
     length = (end - start).astype(float)
@@ -54,11 +70,8 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         turns = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
         out[i, 11] = (len(turns) - 1) / len(own) ** 0.8
         out[i, 12] = np.diff(turns).max() / len(own)
-    lines, stops = np.zeros(rows), np.zeros(rows)
-    lines[full], stops[full] = sums[:, 4], sums[:, 5]
-    out[:, 13], out[:, 14] = np.log1p(n / (lines + 1)), np.log1p(n / (stops + 1))
-    symbols = np.concatenate([[0], np.cumsum(KINDS[6][raw])])
-    out[:, 15] = np.bincount(row, weights=symbols[end] > symbols[start], minlength=rows) / any_word
+    out[:, 13], out[:, 14] = np.log1p(n / (sums[:, 4] + 1)), np.log1p(n / (sums[:, 5] + 1))
+    out[:, 15] = np.bincount(row, weights=symbol_words, minlength=rows) / any_word
     return out
 
 
@@ -170,13 +183,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.15, pair
     return model
 
 
-def _mapped(docs: DataFrame, kept: list[str], schema, text: str, made, names: list[str]) -> DataFrame:
+def _mapped(rows: DataFrame, kind: T.DataType, made, name: str) -> DataFrame:
+    """``rows`` without their ``text``, and the column ``name`` that ``made`` builds of the texts' features."""
+    kept = [c for c in rows.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
-            arrays = made(features(*utf8(block.column(text))))
-            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in kept], *arrays], names=[*kept, *names])
+        for block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in kept], made(features(*utf8(block.column("text"))))], names=[*kept, name])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.select(*kept).schema.add(name, kind))
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Additive:
@@ -184,15 +199,17 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
 
     Only their feature vectors reach the driver. Labels other than 0 and 1, null
     labels and labels of unknown documents are not used; a document labelled
-    twice counts with its largest label.
+    twice counts with its largest label, a document that is there twice counts
+    twice, and a null text as an empty one. Without any labelled row the model
+    scores one half.
     """
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where(learn_from)
     known = known.groupBy("doc_id").agg(F.max("y").cast("long").alias("y"))
     rate = sample_rows / max(1, known.count())
     known = known.where(F.xxhash64("doc_id", F.lit("quality sample")) / F.lit(float(1 << 64)) + 0.5 < rate)
     # at most about sample_rows small rows: a bound that holds at every size
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
-    seen = _mapped(rows, ["doc_id", "y"], "doc_id long, y long, x array<double>", "text", lambda x: [pa.array(list(x), pa.list_(pa.float64()))], ["x"]).orderBy("doc_id", "x").toPandas()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
+    seen = _mapped(rows, T.ArrayType(T.DoubleType()), lambda x: pa.array(list(x), pa.list_(pa.float64())), "x").orderBy("doc_id", "x").toPandas()
     if not len(seen):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(seen["x"].to_numpy()), seen["y"].to_numpy(float))
@@ -201,8 +218,10 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
 def score(docs: DataFrame, model: Additive, text: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1, the chance of label 1) to ``docs``, replacing a column of that name.
 
-    Whole texts are read in blocks of bounded memory; null texts score as empty.
+    Null texts score as empty; repeated rows score alike; an empty table gives
+    an empty result, and no name of another column clashes. A task holds about
+    1 MB of text at a time or one longer text, with some bytes for each of its
+    words.
     """
-    kept = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*kept).schema.add("score", "double")
-    return _mapped(docs.select(*kept), kept, schema, text, lambda x: [pa.array(model.score(x))], ["score"])
+    rows, kept = packed(docs, ["score"], text=F.col(text).cast("string"))
+    return unpacked(_mapped(rows, T.DoubleType(), lambda x: pa.array(model.score(x)), "score"), kept, "score")

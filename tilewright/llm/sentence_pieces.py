@@ -4,8 +4,11 @@ A text's best segmentation maximises the sum of its pieces' scores. Giant
 documents are cut into chunks. A chunk's transfer matrix holds, for every offset
 at which a piece may end beyond its start and beyond its end, the best score
 between the two; matrices combine associatively under (max, +). The scan of a
-document's matrices fixes the offsets at every cut, and each chunk is then
-backtraced on its own.
+document's matrices, by a tree of products over tasks, gives the best scores at
+every cut. From these each chunk tells at which offset a best path enters it for
+every offset at which it may leave; these tables are composed by the same tree,
+and each chunk is then backtraced on its own. Ties are broken as in a search of
+the whole text, so chunks change no id.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import materialize
-from .text_arrays import blocks
+from .text_arrays import blocks, packed, unpacked
 
 UNIGRAM = 1
 #: Scores are whole multiples of 1 / SCALE, so that sums are exact in any order.
@@ -32,6 +35,8 @@ SCALE = 1 << 16
 NONE = -(1 << 60)
 CHUNK = 1 << 15
 CACHED_SPANS = 150_000
+#: Chunks whose matrices one task multiplies; each level of the tree has so many times fewer.
+FAN = 64
 # Fixed penalty of SentencePiece for a character that no piece covers.
 UNKNOWN_PENALTY = 10
 
@@ -200,27 +205,110 @@ def chunk_matrix(text: str, size: int, pieces: Pieces, last: bool) -> np.ndarray
     return np.where(out < NONE // 2, NONE, out)
 
 
-def scan(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(entry, exit) offsets of every chunk on a best path through all of them, from offset 0 to the end."""
-    before, ahead = [], np.full(len(matrices[0]), NONE, np.int64)
-    ahead[0] = 0
-    for m in matrices:
-        before.append(ahead)
-        ahead = combine(ahead[None, :], m)[0]
-    out, leave = [], 0
-    for v, m in zip(reversed(before), reversed(matrices)):
-        enter = int((v + m[:, leave]).argmax())
-        out.append((enter, leave))
-        leave = enter
+def enters(text: str, size: int, before: np.ndarray, pieces: Pieces, last: bool = False) -> np.ndarray:
+    """The offset at which a best path enters a chunk, by the offset at which it leaves it; -1 where none does.
+
+    ``before`` holds the best score at each offset beyond the chunk's start, by a
+    piece from before it. Of equal paths, that with the longer last piece counts,
+    as in :func:`best_path`: what comes from before the chunk is longest.
+    """
+    wide = pieces.longest
+    sure = next((m.start() for m in pieces.span.finditer(text) if wide < m.start() < size - wide), None)
+    if sure is not None:
+        # every path passes here, wherever it leaves
+        return np.full(wide, enters(text[:sure], sure, before, pieces, True)[0], np.int32)
+    score, back = np.full(size + wide + 1, NONE, np.int64), np.full(size + wide + 1, -1, np.int64)
+    score[: min(wide, size + 1)] = before[: min(wide, size + 1)]
+    stop = size if last else size + wide
+    for i in range(size):
+        if score[i] > NONE:
+            for end, s in arcs(text, i, pieces):
+                if end < size + wide and end <= stop and score[i] + s > score[end]:
+                    score[end], back[end] = score[i] + s, i
+    out = np.full(wide, -1, np.int32)
+    for x in range(1 if last else wide):
+        at = size + x
+        if score[at] > NONE:
+            while back[at] >= 0:
+                at = back[at]
+            out[x] = at
+    return out
+
+
+def _matrix(value: bytes) -> np.ndarray:
+    flat = np.frombuffer(value, np.int64)
+    return flat.reshape(-1, math.isqrt(len(flat)))
+
+
+def product(values: list[bytes]) -> bytes:
+    """The (max, +) product of matrices in order."""
+    out = _matrix(values[0])
+    for v in values[1:]:
+        out = combine(out, _matrix(v))
+    return out.tobytes()
+
+
+def scores_before(values: list[bytes], state: bytes) -> list[bytes]:
+    """The best scores before each of some matrices in order, from those before the first."""
+    out, ahead = [], np.frombuffer(state, np.int64)
+    for v in values:
+        out.append(ahead.tobytes())
+        ahead = combine(ahead[None, :], _matrix(v))[0]
+    return out
+
+
+def _followed(table: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return np.where(by >= 0, table[np.maximum(by, 0)], -1).astype(np.int32)
+
+
+def composed(values: list[bytes]) -> bytes:
+    """The table from the offset at which the last chunk is left to that at which the first is entered."""
+    out = np.frombuffer(values[-1], np.int32)
+    for v in values[-2::-1]:
+        out = _followed(np.frombuffer(v, np.int32), out)
+    return out.tobytes()
+
+
+def leaves_of(values: list[bytes], state: bytes) -> list[bytes]:
+    """The offset at which each chunk is left, from that of the last."""
+    out, leave = [], np.frombuffer(state, np.int32)
+    for v in reversed(values):
+        out.append(leave.tobytes())
+        leave = _followed(np.frombuffer(v, np.int32), leave)
     return out[::-1]
 
 
+def _sweep(values: DataFrame, most: int, merge, push, start: bytes, fan: int) -> DataFrame:
+    """(key, part, state): an associative scan of (key, part, value) over tasks.
+
+    ``merge`` joins ``fan`` values in order, level by level, until each key has
+    one; states are then pushed down the same tree, from ``start`` at the top.
+    """
+    up = [values]
+    while most > 1:
+        most = -(-most // fan)
+        merged = lambda key, rows: pd.DataFrame({"key": [key[0]], "part": [key[1]], "value": [merge(rows.sort_values("part")["value"].tolist())]})
+        grouped = up[-1].groupBy("key", F.floor(F.col("part") / fan).cast("int").alias("above"))
+        up.append(materialize(grouped.applyInPandas(merged, "key long, part int, value binary"), "level"))
+
+    def down(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        return rows[["key", "part"]].assign(state=push(rows["value"].tolist(), rows["state"].iloc[0]))
+
+    states = up[-1].select("key", "part", F.lit(start).alias("state"))
+    for level in up[-2::-1]:
+        above = states.withColumnRenamed("part", "above")
+        states = level.withColumn("above", F.floor(F.col("part") / fan).cast("int")).join(above, ["key", "above"])
+        states = materialize(states.groupBy("key", "above").applyInPandas(down, "key long, part int, state binary"), "states")
+    return states
+
+
 def _encoder(model: bytes, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches):
             made, sizes, valid = [], [], []
-            for text in block.column("__text").to_pylist():
+            for text in block.column("text").to_pylist():
                 ids = encode_text(text, pieces) if text else []
                 made += ids
                 sizes.append(len(ids))
@@ -232,63 +320,96 @@ def _encoder(model: bytes, kept: list[str]):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def _cut(rows: DataFrame, chunk: int, reach: int) -> DataFrame:
+    """(key, part, last, text): each text in chunks, each with what follows it up to the longest piece, in one pass over the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
+                text = text.as_py()
+                for part, at in enumerate(range(0, len(text), chunk)):
+                    row = ([key], [part], [at + chunk >= len(text)], [text[at : at + chunk + reach]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int32(), pa.bool_(), pa.string()))], names=["key", "part", "last", "text"])
+
+    return rows.mapInArrow(run, "key long, part int, last boolean, text string")
+
+
+def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Add ``ids`` (array<int>) to ``docs``; a column of that name is replaced.
 
     The model file is read once, on the driver. Texts of more than two chunks are
     cut into chunks of ``chunk`` characters, scanned and backtraced as this
-    module says; other texts are one chunk. Null texts have null ids, empty texts
-    none. Characters that no piece covers, and the model's own space mark in a
-    text, become bytes, so decoding gives every text back exactly.
+    module says, with the same ids; other texts are one chunk. Null texts have
+    null ids, empty texts none; repeated rows have the same ids; an empty table
+    gives an empty result, and no name of another column clashes. Characters that
+    no piece covers, and the model's own space mark in a text, become bytes, so
+    decoding gives every text back exactly.
     """
     with open(model_path, "rb") as file:
         model = file.read()
     pieces = load(model)
-    kept = [c for c in docs.columns if c != "ids"]
-    docs = docs.select(*kept)
-    schema = docs.schema.add("ids", T.ArrayType(T.IntegerType()))
-    prefix = F.lit(" " if pieces.dummy_prefix else "")
-    body = F.when(F.length(text) > 0, F.concat(prefix, F.col(text))).otherwise(F.col(text))
-    giant = F.coalesce(F.length(text) > 2 * chunk, F.lit(False))
-    whole = docs.where(~giant).withColumn("__text", body).mapInArrow(_encoder(model, kept), schema)
-    # ids of rows are drawn once and written, as rows need no key of their own
-    large = materialize(docs.where(giant).withColumn("__key", F.monotonically_increasing_id()), "giants")
-    if large.isEmpty():
-        return whole
     reach = pieces.longest
-    count = F.ceil(F.length("__text") / chunk).cast("int")
-    cut = large.select("__key", body.alias("__text")).select("__key", "__text", count.alias("of"))
-    cut = cut.select("__key", "of", "__text", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"))
-    cut = cut.select("__key", "part", (F.col("part") == F.col("of") - 1).alias("last"), F.substring("__text", F.col("part") * chunk + 1, F.lit(chunk + reach)).alias("__text"))
-    cut = materialize(cut.repartition("__key", "part"), "chunks")
+    if chunk <= reach:
+        raise ValueError(f"chunks must be longer than the longest piece, of {reach} characters")
+    body = F.col(text).cast("string")
+    body = F.when(F.length(body) > 0, F.concat(F.lit(" " if pieces.dummy_prefix else ""), body)).otherwise(body)
+    rows, kept = packed(docs, ["ids"], text=body)
+    giant = F.coalesce(F.length("text") > 2 * chunk, F.lit(False))
+    whole = rows.where(~giant)
+    whole = whole.mapInArrow(_encoder(model, ["own"]), whole.select("own").schema.add("ids", T.ArrayType(T.IntegerType())))
+    # keys of rows are drawn once and written, as rows need no key of their own
+    large = materialize(rows.where(giant).withColumn("key", F.monotonically_increasing_id()), "giants")
+    if large.isEmpty():
+        return unpacked(whole, kept, "ids")
+    cut = materialize(_cut(large.select("key", "text"), chunk, reach).repartition("key", "part"), "chunks")
+    most = cut.agg(F.max("part")).first()[0] + 1
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(model)
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches):
             last = block.column("last").to_pylist()
-            made = [chunk_matrix(t, len(t) if z else chunk, own, z).tobytes() for t, z in zip(block.column("__text").to_pylist(), last)]
-            yield pa.RecordBatch.from_arrays([block.column("__key"), block.column("part"), pa.array(made, pa.binary())], names=["__key", "part", "matrix"])
+            made = [chunk_matrix(t, len(t) if z else chunk, own, z).tobytes() for t, z in zip(block.column("text").to_pylist(), last)]
+            yield pa.RecordBatch.from_arrays([block.column("key"), block.column("part"), pa.array(made, pa.binary())], names=["key", "part", "value"])
 
-    def offsets(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part")
-        found = scan([np.frombuffer(m, np.int64).reshape(reach, reach) for m in rows["matrix"]])
-        return pd.DataFrame({"__key": rows["__key"].to_numpy(), "part": rows["part"].to_numpy(), "enter": [e for e, _ in found], "leave": [x for _, x in found]})
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = load(model)
+        for block in blocks(batches):
+            columns = (block.column(c).to_pylist() for c in ("text", "last", "state"))
+            made = [enters(t, len(t) if z else chunk, np.frombuffer(v, np.int64), own, z).tobytes() for t, z, v in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([block.column("key"), block.column("part"), pa.array(made, pa.binary())], names=["key", "part", "value"])
+
+    fields = "key long, part int, value binary"
+    first = np.full(reach, NONE, np.int64)
+    first[0] = 0
+    before = _sweep(materialize(cut.mapInArrow(matrices, fields), "matrices"), most, product, scores_before, first.tobytes(), fan)
+    ways = materialize(cut.join(before, ["key", "part"]).mapInArrow(tables, fields), "tables")
+    leaves = _sweep(ways, most, composed, leaves_of, np.int32(0).tobytes(), fan)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = load(model)
+        for block in blocks(batches):
+            columns = (block.column(c).to_pylist() for c in ("text", "last", "value", "state"))
+            made = []
+            for t, z, table, leave in zip(*columns):
+                x = int(np.frombuffer(leave, np.int32)[0])
+                made.append(encode_text(t[int(np.frombuffer(table, np.int32)[x]) : (len(t) if z else chunk) + x], own))
+            yield pa.RecordBatch.from_arrays([block.column("key"), block.column("part"), pa.array(made, pa.list_(pa.int32()))], names=["key", "part", "ids"])
 
-    # the group holds a matrix of longest^2 numbers for each chunk of one document, far less than its text
-    bounds = cut.mapInArrow(matrices, "__key long, part int, matrix binary").groupBy("__key").applyInPandas(offsets, "__key long, part int, enter int, leave int")
-    own = F.when(F.col("last"), F.expr("substring(__text, enter + 1)")).otherwise(F.expr(f"substring(__text, enter + 1, {chunk} - enter + leave)"))
-    parts = cut.join(bounds, ["__key", "part"]).select("__key", "part", own.alias("__text"))
-    coded = parts.mapInArrow(_encoder(model, ["__key", "part"]), "__key long, part int, ids array<int>")
-    coded = coded.groupBy("__key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return whole.union(large.join(coded, "__key").select(*kept, "ids"))
+    coded = cut.join(ways, ["key", "part"]).join(leaves, ["key", "part"]).mapInArrow(encoded, "key long, part int, ids array<int>")
+    coded = coded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda p: p["ids"])).alias("ids"))
+    return unpacked(whole.union(large.drop("text").join(coded, "key").select("own", "ids")), kept, "ids")
 
 
 def decode(coded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
-    """Add ``decoded`` (string), the text of ``ids``; null stays null. Unknown ids and control pieces are empty."""
+    """Add ``decoded`` (string), the text of ``ids``; a column of that name is replaced.
+
+    Null ids stay null, no ids are an empty text, and unknown and null ids and
+    control pieces are empty. Repeated rows decode alike; an empty table gives an
+    empty result, and no name of another column clashes.
+    """
     with open(model_path, "rb") as file:
         model = file.read()
-    kept = [c for c in coded.columns if c != "decoded"]
-    schema = coded.select(*kept).schema.add("decoded", "string")
+    rows, kept = packed(coded, ["decoded"], ids=F.col(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
@@ -296,12 +417,13 @@ def decode(coded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
-                lists = part.column(ids)
-                flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                for i, ok in enumerate(lists.is_valid().to_pylist()):
-                    own = flat[off[i] : off[i + 1]].tolist() if ok else []
-                    raw = b"".join([table[k] if 0 <= k < top else b"" for k in own])
-                    out.append(raw[1 if pieces.dummy_prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace") if ok else None)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(out, pa.string())], names=[*kept, "decoded"])
-
-    return coded.select(*kept).mapInArrow(run, schema)
+                for i in range(part.num_rows):
+                    own = part.column("ids")[i]
+                    if not own.is_valid:
+                        out.append(None)
+                        continue
+                    raw = b"".join([table[k] if 0 <= k < top else b"" for k in own.values.fill_null(-1).to_numpy(zero_copy_only=False).tolist()])
+                    out.append(raw[1 if pieces.dummy_prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([part.column("own"), pa.array(out, pa.string())], names=["own", "decoded"])
+
+    return unpacked(rows.mapInArrow(run, rows.select("own").schema.add("decoded", "string")), kept, "decoded")

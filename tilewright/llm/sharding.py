@@ -12,6 +12,9 @@ from ..storage import materialize
 RANGES_PER_SHARD = 8
 UNITS_PER_SHARD = 64
 SAMPLES_PER_RANGE = 16
+#: Groups a range holds, about; beyond MOST_RANGES ranges, which the driver holds a row each of, ranges grow instead.
+UNITS_PER_RANGE = 500_000
+MOST_RANGES = 1 << 14
 
 
 def _range_of(bounds: np.ndarray):
@@ -34,7 +37,7 @@ def _splitters(units: DataFrame, total: int, ranges: int) -> np.ndarray:
     """Boundaries at quantiles of a size-weighted sample; ranges that come out overfull are sampled again and cut.
 
     The driver holds a sample of about ``ranges * SAMPLES_PER_RANGE`` keys and
-    one row for each range, both fixed by the number of shards.
+    one row for each range.
     """
     size = ranges * SAMPLES_PER_RANGE
     drawn = _sample(units, size / max(total, 1), 0)
@@ -68,9 +71,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", t
     The law is ``bytes``: a row's size is its UTF-8 bytes plus 1, and shards hold
     nearly equal sums. Rows are ordered by a hash of the text, then the id, so
     equal texts are neighbours; boundaries come from size-weighted samples, and
-    exact running sums inside ranges place each group. Equal texts share a shard
-    while they hold at most a sixteenth of one; larger groups are cut into chunks
-    by a hash of the id, so no group gathers in one task. ``slot`` numbers the
+    exact running sums inside ranges place each group; there are more ranges as
+    there are more groups. Equal texts share a shard while they hold at most a
+    sixteenth of one; groups that are large by bytes or by rows are cut into
+    chunks of rows, so no group gathers in one task, be it of one id even. ``slot`` numbers the
     rows of a shard from 0 without gaps. Null texts count as empty; null and
     repeated ids are ordinary rows; an empty table gives an empty result.
     """
@@ -79,16 +83,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", t
         F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.xxhash64(body).alias("h")
     )
     base = materialize(base, "sizes")
-    total = base.agg(F.sum("size")).first()[0] or 0
+    n_rows, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = total / shards
-    limit = max(1.0, share / UNITS_PER_SHARD)
-    # groups above ``limit`` are at most shards * UNITS_PER_SHARD: a proven bound for the broadcast
-    large = base.groupBy("h").agg(F.sum("size").alias("b")).where(F.col("b") > limit).select("h", F.ceil(F.col("b") / limit).alias("parts"))
+    limit, most = max(1.0, share / UNITS_PER_SHARD), max(1.0, n_rows / shards / UNITS_PER_SHARD)
+    # groups above either limit are at most twice shards * UNITS_PER_SHARD: a proven bound for the broadcast
+    parts = F.ceil(F.greatest(F.col("b") / limit, F.col("n") / most))
+    large = base.groupBy("h").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("b") > limit) | (F.col("n") > most)).select("h", parts.alias("parts"))
     base = base.join(F.broadcast(large), "h", "left")
-    base = base.withColumn("chunk", F.coalesce(F.expr("pmod(xxhash64(doc_id), parts)"), F.lit(0)).cast("long")).drop("parts")
+    # the row's number is drawn once, as the chunks are written; it splits rows of one id
+    base = base.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), "parts"), F.lit(0)).cast("long")).drop("parts")
     base = materialize(base, "chunks")
     units = materialize(base.groupBy("h", "chunk").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "units")
-    bounds = _splitters(units, total, shards * RANGES_PER_SHARD)
+    ranges = min(MOST_RANGES, max(shards * RANGES_PER_SHARD, units.count() // UNITS_PER_RANGE))
+    bounds = _splitters(units, total, ranges)
 
     placed = units.withColumn("r", _range_of(bounds)("h"))
     per_range = placed.groupBy("r").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).orderBy("r").toPandas()

@@ -7,6 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -14,6 +16,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
 
 
@@ -29,7 +32,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of text each, one row at least, so that memory stays bounded."""
+    """Slices of the batches with at most ``limit`` bytes of text each, or one longer row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -41,6 +44,24 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             at = to
 
 
+def pieces(length: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of parts of at most ``BLOCK_BYTES`` each: what works on them needs no memory for a long row but for its results."""
+    for at in range(0, length, BLOCK_BYTES):
+        yield at, min(length, at + BLOCK_BYTES)
+
+
+def packed(docs: DataFrame, replaced: list[str], **columns: Column) -> tuple[DataFrame, list[str]]:
+    """(``own``, columns..): the caller's columns but ``replaced`` in one struct, so that no name of theirs can clash; and their names."""
+    kept = [c for c in docs.columns if c not in replaced]
+    own = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None).cast("struct<_:int>")
+    return docs.select(own.alias("own"), *[c.alias(name) for name, c in columns.items()]), kept
+
+
+def unpacked(rows: DataFrame, kept: list[str], *names: str) -> DataFrame:
+    """The caller's columns, then the results ``names``."""
+    return rows.select(*[F.col("own")[c].alias(c) for c in kept], *names)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -49,33 +70,50 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, for every place of a piece."""
+    up, down = np.full(BLOCK_BYTES + 1, _BASE, np.uint64), np.full(BLOCK_BYTES + 1, _INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words between ASCII white space: (row, start, end, hash of the word with A-Z lower-cased)."""
-    n = len(raw)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
-    solid = ~SPACE[raw]
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, solid[:-1]
-    starts = np.flatnonzero(solid & (~before | edge[:-1]))
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, solid[1:]
-    ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    up, down = _powers(1 << int(n).bit_length())
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    hashed = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return np.searchsorted(off, starts, side="right") - 1, starts, ends, hashed
+    """Words between ASCII white space: (row, start, end, hash of the word with A-Z lower-cased).
+
+    The hash is a polynomial in the word's bytes, taken from running sums that
+    are carried from piece to piece, so words may be longer than a piece.
+    """
+    up, down = _powers()
+    starts, ends, low, high = [], [], [], []
+    total, scale, back, open_ = np.uint64(0), np.uint64(1), np.uint64(1), False
+    inverse = []
+    edges = np.unique(off)
+    for a, b in pieces(len(raw)):
+        solid = ~SPACE[raw[a:b]]
+        edge = np.zeros(b - a + 1, bool)
+        edge[edges[np.searchsorted(edges, a) : np.searchsorted(edges, b, side="right")] - a] = True
+        before = np.concatenate([[open_], solid[:-1]])
+        first = np.flatnonzero(solid & (~before | edge[:-1]))
+        # a word ends before a place that is no part of it, so each end belongs to the piece of that place
+        last = np.flatnonzero(before & (~solid | edge[:-1]))
+        sums = np.zeros(b - a + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((LOWER[raw[a:b]].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=sums[1:])
+            sums *= scale
+            sums += total
+            starts.append(first + a)
+            ends.append(last + a)
+            low.append(sums[first])
+            high.append(sums[last])
+            inverse.append(down[first] * back)
+            total, open_ = sums[-1], bool(solid[-1])
+            scale, back = scale * up[b - a], back * down[b - a]
+    if open_:
+        ends.append(np.array([len(raw)]))
+        high.append(np.array([total]))
+    start, end, low, high, inverse = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((starts, np.int64), (ends, np.int64), (low, np.uint64), (high, np.uint64), (inverse, np.uint64)))
+    hashed = mix((high - low) * inverse + (end - start).astype(np.uint64))
+    return np.searchsorted(off, start, side="right") - 1, start, end, hashed
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +128,8 @@ def shingles(raw: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarra
     first = np.concatenate([[0], np.cumsum(count)])
     made = np.zeros(max(0, n - size + 1), np.uint64)
     for j in range(size):
-        made = made * np.uint64(_BASE) + word[j : j + len(made)]
+        made *= np.uint64(_BASE)
+        made += word[j : j + len(made)]
     whole = row[: len(made)] == row[size - 1 :] if len(made) else np.zeros(0, bool)
     hashes, owner = mix(made[whole]), row[: len(made)][whole]
     short = np.flatnonzero((count > 0) & (count < size))

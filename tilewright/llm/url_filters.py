@@ -35,10 +35,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     digest then confirms a match. Of several rules that fit, the longest (host,
     then path) wins, and ``block`` before ``allow`` at a tie. Null urls and urls
     without ``://`` have an empty host and path and get ``default``. Columns of
-    ``pages`` named like a result are replaced. Rules are broadcast by a checked
+    ``pages`` named like a result are replaced; repeated rows each get the
+    verdict; an empty table gives an empty result. Hosts of rules are lower-cased
+    (A-Z), and rules without a host fit nothing. Rules are broadcast by a checked
     size, and joined by a shuffle beyond it.
     """
-    keys = rules.select("rule_host", F.coalesce("rule_path", F.lit("")).alias("rule_path"), "action").where("rule_host <> ''")
+    keys = rules.select(F.translate("rule_host", UPPER, LOWER).alias("rule_host"), F.coalesce("rule_path", F.lit("")).alias("rule_path"), "action").where("rule_host <> ''")
     keys = keys.select(
         F.concat("rule_host", "rule_path").alias("rule"), F.length("rule_host").alias("host_len"), F.length("rule_path").alias("path_len"), "action",
         F.sha2(F.concat("rule_host", F.lit("\n"), "rule_path"), 256).alias("digest"),
@@ -57,6 +59,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     order = F.struct(F.length("rule"), "host_len", (F.col("action") == "block").cast("int"), "rule", "action")
     found = each.join(keys, "short").where("full = digest").groupBy("host", "path").agg(F.max(order).alias("best"))
     found = materialize(found.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict")), "verdicts")
-    return parsed.join(found, ["host", "path"], "left").select(
-        *[c for c in parsed.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
-    )
+    # rows without a host match nothing; a salt keeps them from sharing one key of the join
+    own = parsed.select(F.struct(*[F.col(f"`{c}`") for c in parsed.columns]).alias("own"), "host", "path", F.when(F.col("host") == "", 1 + F.monotonically_increasing_id() % 997).otherwise(0).alias("salt"))
+    judged = own.join(found.withColumn("salt", F.lit(0).cast("long")), ["host", "path", "salt"], "left")
+    return judged.select(*[F.col("own")[c].alias(c) for c in parsed.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
