@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 
+#: Links a file of a round holds at least, while there are fewer than so many files.
+EDGES_A_FILE, MOST_FILES = 200_000, 64
+
+
 def _once(links: DataFrame) -> DataFrame:
     return links.groupBy("u", "v").agg(F.bool_or("moved").alias("moved"))
 
@@ -38,9 +42,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     hi, lo = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     edges = materialize(edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(hi, lo).distinct(), "edges")
-    moved = True
+    # rounds never add links: small graphs are written as few files
+    files, moved = 1 + edges.count() // EDGES_A_FILE, True
     while moved:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        edges = _small_star(_large_star(edges))
+        edges = materialize(edges.coalesce(files) if files < MOST_FILES else edges, "edges")
         moved = not edges.where("moved").isEmpty()
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
