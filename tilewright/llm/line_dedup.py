@@ -25,8 +25,8 @@ BANDS = [[4 * x + y for y in range(4)] for x in range(4)] + [[4 * x + (m * x + b
 SMALL = 64
 #: Members a side of a block of a larger bucket that leaders leave in several components.
 BLOCK = 256
-#: Longs of a line's bitmap of shingles.
-WORDS = 16
+#: Longs of a line's bitmap of shingles, and of that for pairs which the first one leaves unsettled.
+WORDS, WIDE_WORDS = 16, 64
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -121,11 +121,23 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.select("a", "line").join(wanted, "a", "left_semi").groupBy("a").agg(F.first("line").alias("line"))
 
 
-def _bitmaps(texts: DataFrame) -> DataFrame:
-    """(a, n, w0 ..): the number of shingle places, and a bit for each shingle in ``WORDS`` longs."""
+def _bits(texts: DataFrame, words: int) -> DataFrame:
+    """(a, n, w, bit): for each shingle place of a line, of which there are ``n``, its bit and the long of ``words`` that holds it."""
     each = _at_places(texts).select("a", "n", F.expr(f"xxhash64(substring(u, 2 * p - 1, {2 * SHINGLE}))").alias("x"))
-    each = each.select("a", "n", F.expr(f"cast(x & {WORDS - 1}L as int)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 8) & 63L as int))").alias("bit"))
-    return each.groupBy("a").agg(F.max("n").alias("n"), *[F.expr(f"coalesce(bit_or(case when w = {i} then bit end), 0L)").alias(f"w{i}") for i in range(WORDS)])
+    return each.select("a", "n", F.expr(f"cast(x & {words - 1}L as int)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 8) & 63L as int))").alias("bit"))
+
+
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """(a, n, w0 ..): the bitmaps of lines in ``WORDS`` columns."""
+    return _bits(texts, WORDS).groupBy("a").agg(F.max("n").alias("n"), *[F.expr(f"coalesce(bit_or(case when w = {i} then bit end), 0L)").alias(f"w{i}") for i in range(WORDS)])
+
+
+def _wide_bitmaps(texts: DataFrame) -> DataFrame:
+    """(a, n, bits): the number of different shingles of lines, and their bitmaps as arrays of ``WIDE_WORDS``."""
+    words = _bits(texts, WIDE_WORDS).groupBy("a", "w").agg(F.bit_or("bit").alias("bits"))
+    held = words.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("held"))
+    sizes = texts.select("a", F.size(F.array_distinct(_shingles(F.col("line")))).alias("n"))
+    return held.join(sizes, "a").select("a", "n", F.expr(f"transform(sequence(0, {WIDE_WORDS - 1}), i -> coalesce(try_element_at(held, i), 0L))").alias("bits"))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -148,24 +160,29 @@ def _confirmed(lines: DataFrame, pairs: DataFrame, min_percent: int) -> DataFram
     so pairs whose bitmaps differ in more bits than similar lines of their
     lengths can are no similar pairs, and no similar pair is put aside. Of the
     others, each line's pair with most equal bins is confirmed first, then those
-    that this does not join.
+    that this does not join and that wider bitmaps leave.
     """
-    wanted = materialize(pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct(), "wanted")
-    texts = materialize(_texts(lines, wanted), "texts")
-    signs = materialize(_bitmaps(texts), "signs")
-    differ = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in range(WORDS)), F.lit(0))
-    may = differ * (100 + min_percent) <= (100 - min_percent) * (F.col("xn") + F.col("yn"))
-    left, right = (_renamed(signs, end).withColumnRenamed(f"{end}a", end) for end in ("x", "y"))
-    pairs = materialize(pairs.join(left, "x").join(right, "y").where(may).select("x", "y", "agree"), "likely")
+    ends = lambda some: materialize(some.select(F.explode(F.array("x", "y")).alias("a")).distinct(), "wanted")
+    texts = materialize(_texts(lines, ends(pairs)), "texts")
+
+    def likely(some: DataFrame, signs: DataFrame, differ: Column) -> DataFrame:
+        left, right = (_renamed(signs, end).withColumnRenamed(f"{end}a", end) for end in ("x", "y"))
+        may = differ * (100 + min_percent) <= (100 - min_percent) * (F.col("xn") + F.col("yn"))
+        return some.join(left, "x").join(right, "y").where(may).select("x", "y", "agree")
 
     def full(some: DataFrame) -> DataFrame:
         both = some.join(texts.toDF("x", "lx"), "x").join(texts.toDF("y", "ly"), "y")
         return both.where(similar(F.col("lx"), F.col("ly"), min_percent)).select("x", "y")
 
-    ends = F.explode(F.array("x", "y")).alias("a")
-    best = pairs.select(ends, F.struct("agree", "x", "y").alias("p")).groupBy("a").agg(F.max("p").alias("p")).select("p.x", "p.y").distinct()
+    narrow = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in range(WORDS)), F.lit(0))
+    pairs = materialize(likely(pairs, _bitmaps(texts), narrow), "likely")
+    best = pairs.select(F.explode(F.array("x", "y")).alias("a"), F.struct("agree", "x", "y").alias("p")).groupBy("a").agg(F.max("p").alias("p")).select("p.x", "p.y").distinct()
     first = materialize(full(best), "links")
     rest = materialize(_apart(pairs, _components(first)), "apart")
+    if rest.isEmpty():
+        return first
+    wide = F.aggregate(F.zip_with("xbits", "ybits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda z, k: z + k)
+    rest = materialize(likely(rest, _wide_bitmaps(texts.join(ends(rest), "a", "left_semi")), wide), "likely")
     return first.union(materialize(full(rest), "links"))
 
 
