@@ -74,7 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each stage's rows written and read again."""
+    """Apply the stages to ``documents``, each stage's rows written and read again.
+
+    Result: (doc_id, lang, source, n_tokens, ids, round_trip) of each document
+    that stays. Null and empty texts have no letter and go with the first stage;
+    null ids stay rows of their own, whose lines give way to equal ones of other
+    documents; of rows of one id and near copies, one stays, the smallest by its
+    columns; of equal lines, the first by id and place. Texts of any length are
+    read whole. Other columns of ``documents`` are left out, and an empty table
+    gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
