@@ -66,3 +66,64 @@ def largest_part(df: DataFrame, keys: list[str], area: Column, value: Column) ->
 def hash_dedup(df: DataFrame, value: Column, order: str) -> DataFrame:
     """(hash, first): one row for each MD5 of ``value``, with the smallest ``order``."""
     return df.groupBy(F.md5(value).alias("hash")).agg(F.min(order).alias("first"))
+
+
+def of_class(df: DataFrame, classes: list, column: str = "class") -> DataFrame:
+    """Rows of the listed classes."""
+    return df.where(F.col(column).isin(classes))
+
+
+def scored_above(df: DataFrame, threshold: float, column: str = "score") -> DataFrame:
+    """Rows whose score is strictly above ``threshold``; rows without a score go."""
+    return df.where(F.col(column) > threshold)
+
+
+def with_vertices(df: DataFrame, least: int, ring: str = "ring") -> DataFrame:
+    """Rows whose ring has at least ``least`` points; rows without a ring go."""
+    return df.where(F.size(ring) >= least)
+
+
+def region_counts(df: DataFrame, name: str, column: str = "name", keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(keys.., n): how many regions of a name each image has; images without one have no row."""
+    return df.where(F.col(column) == name).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def first_of_each(df: DataFrame, keys: list[str], order: str, columns: list[str] = ()) -> DataFrame:
+    """(keys.., order, columns..): the row of the smallest ``order`` of each key; minima combine map-side."""
+    return df.groupBy(*keys).agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in columns])
+
+
+def class_names(column: Column, names: dict, default: str) -> Column:
+    """The name of a class id, ``default`` for one that is not listed."""
+    known = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
+    return F.coalesce(F.try_element_at(known, column), F.lit(default))
+
+
+def class_histogram(df: DataFrame, keys: list[str], column: str = "class") -> DataFrame:
+    """(keys.., class, n)."""
+    return df.groupBy(*keys, column).agg(F.count("*").alias("n"))
+
+
+def concatenated(tables: dict[str, DataFrame], origin: str = "origin") -> DataFrame:
+    """All rows of the tables, each with the name of its table."""
+    named = [df.withColumn(origin, F.lit(name)) for name, df in tables.items()]
+    out = named[0]
+    for df in named[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def common(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys that both tables have, each once."""
+    return left.select(key).intersect(right.select(key))
+
+
+def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys of ``left`` that ``right`` lacks, each once."""
+    return left.select(key).subtract(right.select(key))
+
+
+def annotated(images: DataFrame, annotations: DataFrame, key: str = "image_id") -> DataFrame:
+    """Images with ``annotated``: whether any annotation has their key."""
+    held = annotations.select(key, F.lit(True).alias("annotated")).distinct()
+    return images.join(held, key, "left").withColumn("annotated", F.coalesce("annotated", F.lit(False)))

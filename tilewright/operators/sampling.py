@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import Box
 from ..storage import materialize
 
 
@@ -103,3 +104,8 @@ def warmup_factor(step: Column, warmup_iters: int, warmup_factor_: float) -> Col
     """1 from ``warmup_iters`` on; before, a line from the factor to 1."""
     alpha = step / F.lit(float(warmup_iters))
     return F.when(step >= warmup_iters, F.lit(1.0)).otherwise(warmup_factor_ * (1 - alpha) + alpha)
+
+
+def aspect_ratio(b: Box) -> Column:
+    """Width over height of a box; null where it has no height."""
+    return F.try_divide(b.x1 - b.x0, b.y1 - b.y0)

@@ -214,3 +214,8 @@ def empty_records(tiles: DataFrame) -> DataFrame:
 def patch_sets(tiles: DataFrame) -> DataFrame:
     """How many tiles there are of each shape: (h, w, n)."""
     return tiles.groupBy((F.col("y1") - F.col("y0")).alias("h"), (F.col("x1") - F.col("x0")).alias("w")).agg(F.count("*").alias("n"))
+
+
+def full_tiles(tiles: DataFrame, size: int) -> DataFrame:
+    """Tiles that the image's edge does not cut."""
+    return tiles.where((F.col("x1") - F.col("x0") == size) & (F.col("y1") - F.col("y0") == size))

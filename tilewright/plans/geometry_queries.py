@@ -63,8 +63,7 @@ def poly_translate(spark, sf_dir):
 @_det("ring_to_uint32", "select id, greatest(x0 - 4000, 0) as ux, greatest(y0 - 4000, 0) as uy from det")
 def ring_to_uint32(spark, sf_dir):
     p = G.ring_to_uint32(G.ring_translate(F.col("ring"), -3999.5, -3999.5))[0]
-    # half a pixel is cut off again
-    return _rings(spark, sf_dir).select("id", F.greatest(p["x"], F.lit(0)).alias("ux"), p["y"].alias("uy"))
+    return _rings(spark, sf_dir).select("id", p["x"].alias("ux"), p["y"].alias("uy"))
 
 
 @_det("ring_bbox", "select id, cast(0 as double) as bx0, cast(0 as double) as by0, cast(x1-x0 as double) as bx1, cast(y1-y0 as double) as by1 from det")
@@ -132,18 +131,18 @@ def reverse_class_map(spark, sf_dir):
 
 @_det("class_filter", "select id, score from det where category_id = 2")
 def class_filter(spark, sf_dir):
-    return view(spark, sf_dir, "det").where("category_id = 2").select("id", "score")
+    return R.of_class(view(spark, sf_dir, "det"), [2], "category_id").select("id", "score")
 
 
 @_det("score_threshold", "select id, class from det where score > 150000")
 def score_threshold(spark, sf_dir):
-    return view(spark, sf_dir, "det").where("score > 150000").select("id", "class")
+    return R.scored_above(view(spark, sf_dir, "det"), 150000).select("id", "class")
 
 
 @_det("min_vertices", "select id from det where 4 + id % 20 >= 15")
 def min_vertices(spark, sf_dir):
     ring = F.transform(F.expr("sequence(1L, 4 + id % 20)"), lambda k: F.struct(k.alias("x"), (k * k).alias("y")))
-    return view(spark, sf_dir, "det").withColumn("ring", ring).where(F.size("ring") >= 15).select("id")
+    return R.with_vertices(view(spark, sf_dir, "det").withColumn("ring", ring), 15).select("id")
 
 
 @_det("get_train_area_offsets", "select image_id, x0//4 as min_x, x1//4 as max_x, y0//4 as min_y, y1//4 as max_y from (select *, row_number() over (partition by image_id order by id) as k from det where class = '3-MEDIUM') where k = 2")
@@ -153,7 +152,7 @@ def get_train_area_offsets(spark, sf_dir):
 
 @_det("get_n_train_areas", "select image_id, count(*) as n from det where class = '3-MEDIUM' group by image_id")
 def get_n_train_areas(spark, sf_dir):
-    return view(spark, sf_dir, "det").where("class = '3-MEDIUM'").groupBy("image_id").agg(F.count("*").alias("n"))
+    return R.region_counts(view(spark, sf_dir, "det"), "3-MEDIUM", "class")
 
 
 @_det("argmax_part", "select image_id, class, (x1-x0)*(y1-y0) as area, id as part from (select *, row_number() over (partition by image_id, class order by (x1-x0)*(y1-y0) desc, id) as k from det) where k = 1")
@@ -163,18 +162,18 @@ def argmax_part(spark, sf_dir):
 
 @_det("first_by_name", "select class, min(id) as id, arg_min(x0, id) as x0 from det group by class")
 def first_by_name(spark, sf_dir):
-    return view(spark, sf_dir, "det").groupBy("class").agg(F.min("id").alias("id"), F.min_by("x0", "id").alias("x0"))
+    return R.first_of_each(view(spark, sf_dir, "det"), ["class"], "id", ["x0"])
 
 
 @_det("class_lookup", "select id, case category_id when 1 then 'urgent' when 2 then 'high' when 3 then 'medium' else 'rest' end as label from det")
 def class_lookup(spark, sf_dir):
-    names = F.create_map(*[F.lit(v) for v in (1, "urgent", 2, "high", 3, "medium")])
-    return view(spark, sf_dir, "det").select("id", F.coalesce(F.try_element_at(names, F.col("category_id")), F.lit("rest")).alias("label"))
+    label = R.class_names(F.col("category_id"), {1: "urgent", 2: "high", 3: "medium"}, "rest")
+    return view(spark, sf_dir, "det").select("id", label.alias("label"))
 
 
 @_det("class_histogram", "select image_id, class, count(*) as n from det group by image_id, class")
 def class_histogram(spark, sf_dir):
-    return view(spark, sf_dir, "det").groupBy("image_id", "class").agg(F.count("*").alias("n"))
+    return R.class_histogram(view(spark, sf_dir, "det"), ["image_id"])
 
 
 @register("hash_dedup", "select md5(text) as hash, min(doc_id) as first from documents where text is not null group by md5(text)")
@@ -184,22 +183,22 @@ def hash_dedup(spark, sf_dir):
 
 @register("concat", with_views("select id, 'det' as origin from det union all select id, 'gt' as origin from gt", "det", "gt"))
 def concat(spark, sf_dir):
-    return view(spark, sf_dir, "det").select("id", F.lit("det").alias("origin")).unionByName(view(spark, sf_dir, "gt").select("id", F.lit("gt").alias("origin")))
+    return R.concatenated({name: view(spark, sf_dir, name).select("id") for name in ("det", "gt")})
 
 
 @register("set_intersect", "select doc_id from documents intersect select doc_id from labels")
 def set_intersect(spark, sf_dir):
-    return view(spark, sf_dir, "documents").select("doc_id").intersect(view(spark, sf_dir, "labels").select("doc_id"))
+    return R.common(view(spark, sf_dir, "documents"), view(spark, sf_dir, "labels"), "doc_id")
 
 
 @register("set_except", "select doc_id from documents except select doc_id from labels")
 def set_except(spark, sf_dir):
-    return view(spark, sf_dir, "documents").select("doc_id").subtract(view(spark, sf_dir, "labels").select("doc_id"))
+    return R.missing(view(spark, sf_dir, "documents"), view(spark, sf_dir, "labels"), "doc_id")
 
 
 @register("merge_unique", with_views("select image_id, min(id) as first from det group by image_id", "det"))
 def merge_unique(spark, sf_dir):
-    return view(spark, sf_dir, "det").groupBy("image_id").agg(F.min("id").alias("first"))
+    return R.first_of_each(view(spark, sf_dir, "det"), ["image_id"], "id").withColumnRenamed("id", "first")
 
 
 @register("keyed_image_join", "select n_nationkey as image_id, s_suppkey, s_suppkey is not null as matched from nation left join supplier on s_nationkey = n_nationkey")
@@ -211,5 +210,4 @@ def keyed_image_join(spark, sf_dir):
 @register("semi_anti_images", with_views("select image_id, exists (select 1 from gt where gt.image_id = image.image_id and category_id = 1) as annotated from image", "det", "gt", "image"))
 def semi_anti_images(spark, sf_dir):
     images, truth = view(spark, sf_dir, "image"), view(spark, sf_dir, "gt").where("category_id = 1")
-    yes = images.join(truth, "image_id", "left_semi").select("image_id", F.lit(True).alias("annotated"))
-    return yes.unionByName(images.join(truth, "image_id", "left_anti").select("image_id", F.lit(False).alias("annotated")))
+    return R.annotated(images, truth).select("image_id", "annotated")

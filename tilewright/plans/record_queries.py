@@ -50,18 +50,18 @@ def grouped_batches(spark, sf_dir):
 
 @_det("quantize", "select id, (case when (x1-x0) >= 0.5*(y1-y0) then 1 else 0 end) + (case when (x1-x0) >= (y1-y0) then 1 else 0 end) + (case when (x1-x0) >= 2*(y1-y0) then 1 else 0 end) as bin from det")
 def quantize(spark, sf_dir):
-    ratio = (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    ratio = S.aspect_ratio(G.box())
     return view(spark, sf_dir, "det").select("id", S.quantize(ratio, S.aspect_bins(1)).alias("bin"))
 
 
 @_det("aspect_ratio", "select id, round((x1-x0) / (y1-y0), 6) as ratio from det")
 def aspect_ratio(spark, sf_dir):
-    return view(spark, sf_dir, "det").select("id", F.round((F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")), 6).alias("ratio"))
+    return view(spark, sf_dir, "det").select("id", F.round(S.aspect_ratio(G.box()), 6).alias("ratio"))
 
 
 @_det("aspect_bin_counts", "select case when (x1-x0) >= (y1-y0) then 1 else 0 end as bin, count(*) as n from det group by 1")
 def aspect_bin_counts(spark, sf_dir):
-    ratio = (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    ratio = S.aspect_ratio(G.box())
     return view(spark, sf_dir, "det").groupBy(S.quantize(ratio, S.aspect_bins(0)).alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -94,7 +94,7 @@ def patch_sets(spark, sf_dir):
 
 @register("full_tiles", with_views(_STEPS + "select image_id, tile_idx from tiles where x1-x0 = 512 and y1-y0 = 512", "image"))
 def full_tiles(spark, sf_dir):
-    return T.tile_overlap(view(spark, sf_dir, "image"), tile_size=512).where("x1 - x0 = 512 and y1 - y0 = 512").select("image_id", "tile_idx")
+    return T.full_tiles(T.tile_overlap(view(spark, sf_dir, "image"), tile_size=512), 512).select("image_id", "tile_idx")
 
 
 @register("empty_set_tiles", with_views(_STEPS + "select image_id, tile_idx, 'empty' as class, 0 as n_rois from tiles", "image"))
