@@ -152,8 +152,9 @@ def test_batches_and_counts_of_a_hot_key(spark):
     assert got == {i: (k // 12) for own in ([r[0] for r in rows if r[1] == key] for key in ("hot", "cold", None)) for k, i in enumerate(own)}
     padded = [r for r in sampling.batches(df, "id", 12, ["key"], pad=True).collect() if r["key"] == "cold"]
     assert sorted(r["id"] for r in padded) == sorted(1000 + k % 7 for k in range(12))
-    ranks = sorted((r["rank"], r["total"]) for r in sampling.hash_order(df, "id").collect())
-    assert ranks == [(k, 508) for k in range(1, 509)]
+    for rows in (1, 1 << 20):
+        ranks = sorted((r["rank"], r["total"]) for r in sampling.hash_order(df, "id", "s", rows).collect())
+        assert ranks == [(k, 508) for k in range(1, 509)]
 
 
 def test_flips_and_keypoints(spark):

@@ -34,11 +34,27 @@ def running_counts(df: DataFrame, keys: list[str], order: list[Column], sums: di
     return run.join(parts, null_safe).select("row.*", *[(F.col(f"r_{s}") + F.col(f"b_{s}")).alias(s) for s in sums], *[F.col(f"t_{s}").alias(f"total_{s}") for s in sums])
 
 
-def hash_order(df: DataFrame, id_col: str, seed: str = "", ranges: int | None = None) -> DataFrame:
-    """Rows with ``rank``, their place (from 1) in the order of a seeded MD5 of the id, and ``total``."""
-    h = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
-    out = running_counts(df, [], [h, F.col(id_col)], {"rank": F.lit(1)}, ranges)
-    return out.withColumnRenamed("total_rank", "total")
+#: Rows a bucket of hashes holds, about.
+ROWS_A_BUCKET = 1_000_000
+
+
+def hash_order(df: DataFrame, id_col: str, seed: str = "", rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+    """Rows with ``rank``, their place (from 1) in the order of a seeded MD5 of the id, and ``total``.
+
+    Rows are ranked within the hash's leading digits, as many as make buckets of
+    about ``rows_a_bucket`` rows (two to four), and the buckets' counts give each
+    its start, so no task sorts the whole table.
+    """
+    h = df.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))))
+    rows = df.count()
+    digits = next(d for d in (2, 3, 4) if rows <= rows_a_bucket * 16**d or d == 4)
+    h = h.withColumn("__b", F.substring("__h", 1, digits))
+    counts = h.groupBy("__b").agg(F.count("*").alias("n"))
+    # at most 16 ** 4 rows, and so small enough for a broadcast and one ordered task
+    every = Window.orderBy("__b")
+    starts = counts.select("__b", (F.sum("n").over(every) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy("__h", id_col)) + F.col("before")
+    return h.join(F.broadcast(starts), "__b").withColumn("rank", rank).drop("__h", "__b", "before")
 
 
 def train_val_split(df: DataFrame, id_col: str, train_share: float = 0.95, seed: str = "") -> DataFrame:
