@@ -96,6 +96,28 @@ def _chunk_files(spark: SparkSession, path: str, image_id: str, level: int, shap
     return files.mapInPandas(decode, CHUNKS)
 
 
+def shrink(chunks: DataFrame, factor: int) -> DataFrame:
+    """Every ``factor``-th pixel of rows and columns, the middle one of its cell, at places divided by the factor; chunk by chunk.
+
+    A last cell that is not whole gives no pixel if its middle is outside; chunks without a middle have no row.
+    """
+    if factor == 1:
+        return chunks
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                block = np.frombuffer(r.data, r.dtype).reshape(r.channels, r.h, r.w)
+                fy, fx = (-(v - factor // 2) % factor for v in (r.y0, r.x0))
+                own = np.ascontiguousarray(block[:, fy::factor, fx::factor])
+                if own.size:
+                    out.append((r.image_id, r.level, r.c0, (r.y0 + fy) // factor, (r.x0 + fx) // factor, *own.shape, r.dtype, own.tobytes()))
+            yield pd.DataFrame(out, columns=["image_id", "level", "c0", "y0", "x0", "channels", "h", "w", "dtype", "data"])
+
+    return chunks.mapInPandas(run, CHUNKS)
+
+
 def crop(chunks: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
     """Pixels of tiles (image_id, x0, y0, x1, y1) cut out of chunks of ``size``: adds ``data``, channels by height by width.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,48 +18,62 @@ from .images import CHUNKS
 
 # Fixed values of the format: tags, sizes and codes of its types, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
-TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SUB_LEVELS, SAMPLE_FORMAT = 322, 323, 324, 325, 330, 339
+TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SUB_LEVELS, SAMPLE_FORMAT, PREDICTOR = 322, 323, 324, 325, 330, 339, 317
 TYPES = {1: "B", 3: "H", 4: "I", 13: "I", 16: "Q", 18: "Q"}
-PLAIN, DEFLATE, OLD_DEFLATE = 1, 8, 32946
+PLAIN, DEFLATE, OLD_DEFLATE, ZSTD = 1, 8, 32946, 50000
 KINDS = {1: "u", 2: "i", 3: "f"}
 
 
-def levels(raw: bytes) -> list[dict[int, list[int]]]:
-    """The tags of each level, in file order, a level's sub-levels after it; both TIFF and BigTIFF, either byte order."""
-    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack_from(order + "H", raw, 2)[0] not in (42, 43):
+def directories(read: Callable[[int, int], bytes]) -> list[dict[int, list[int]]]:
+    """The tags of each directory of a file that is read by (place, size), in file order, its sub-levels after it; TIFF and BigTIFF, either byte order."""
+    head = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or struct.unpack_from(order + "H", head, 2)[0] not in (42, 43):
         raise ValueError("not a TIFF file")
-    big = struct.unpack_from(order + "H", raw, 2)[0] == 43
+    big = struct.unpack_from(order + "H", head, 2)[0] == 43
     word, count, entry = ("Q", "Q", 20) if big else ("I", "H", 12)
-    out, todo = [], list(struct.unpack_from(order + word, raw, 8 if big else 4))
+    size = struct.calcsize("=" + word)
+    out, todo = [], list(struct.unpack_from(order + word, head, 8 if big else 4))
     seen = set()
     while todo:
         at = todo.pop(0)
         if not at or at in seen:
             continue
         seen.add(at)
-        n = struct.unpack_from(order + count, raw, at)[0]
-        at += struct.calcsize("=" + count)
-        tags = {}
+        first = at + struct.calcsize("=" + count)
+        n = struct.unpack(order + count, read(at, first - at))[0]
+        raw = read(first, n * entry + size)
+        tags = {0: [0 if order == "<" else 1]}
         for k in range(n):
-            tag, kind, many = struct.unpack_from(order + "HH" + word, raw, at + k * entry)
+            tag, kind, many = struct.unpack_from(order + "HH" + word, raw, k * entry)
             if kind in TYPES:
-                code = TYPES[kind]
-                place = at + k * entry + 4 + struct.calcsize("=" + word)
-                if many * struct.calcsize("=" + code) > struct.calcsize("=" + word):
-                    place = struct.unpack_from(order + word, raw, place)[0]
-                tags[tag] = list(struct.unpack_from(f"{order}{many}{code}", raw, place))
-        tags[0] = [0 if order == "<" else 1]
+                code = f"{order}{many}{TYPES[kind]}"
+                own, need = raw[k * entry + 4 + size : (k + 1) * entry], struct.calcsize(code)
+                tags[tag] = list(struct.unpack(code, own[:need] if need <= size else read(struct.unpack(order + word, own)[0], need)))
         out.append(tags)
-        todo = tags.get(SUB_LEVELS, []) + todo + list(struct.unpack_from(order + word, raw, at + n * entry))
+        todo = tags.get(SUB_LEVELS, []) + todo + list(struct.unpack_from(order + word, raw, n * entry))
     return out
 
 
+def levels(raw: bytes) -> list[dict[int, list[int]]]:
+    """The tags of each level of a whole file, in file order, a level's sub-levels after it."""
+    return directories(lambda at, size: raw[at : at + size])
+
+
+def unpacked(data: bytes, compression: int) -> bytes:
+    """The bytes of a strip or tile."""
+    if compression == ZSTD:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    if compression not in (PLAIN, DEFLATE, OLD_DEFLATE):
+        raise ValueError(f"unsupported TIFF compression: {compression}")
+    return data if compression == PLAIN else zlib.decompress(data)
+
+
 def blocks(raw: bytes, tags: dict[int, list[int]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(channel, y, x, pixels) of each strip or tile of a level; pixels are (channels, height, width), cut to the image."""
     one = lambda tag, default: tags.get(tag, [default])[0]
-    if one(COMPRESSION, PLAIN) not in (PLAIN, DEFLATE, OLD_DEFLATE):
-        raise ValueError(f"unsupported TIFF compression: {one(COMPRESSION, PLAIN)}")
     height, width, samples = one(HEIGHT, 0), one(WIDTH, 0), one(SAMPLES, 1)
     dtype = np.dtype(f"{'<' if tags[0] == [0] else '>'}{KINDS[one(SAMPLE_FORMAT, 1)]}{one(BITS, 8) // 8}")
     tiled = TILES in tags
@@ -68,9 +83,8 @@ def blocks(raw: bytes, tags: dict[int, list[int]]) -> Iterator[tuple[int, int, i
     for k, (at, size) in enumerate(zip(tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES])):
         plane, place = divmod(k, across * down) if apart else (0, k)
         y, x = place // across * h, place % across * w
-        data = raw[at : at + size]
-        data = data if one(COMPRESSION, PLAIN) == PLAIN else zlib.decompress(data)
-        own = np.frombuffer(data, dtype).reshape(-1, w, 1 if apart else samples)[: height - y, : width - x]
+        own = np.frombuffer(unpacked(raw[at : at + size], one(COMPRESSION, PLAIN)), dtype).reshape(-1, w, 1 if apart else samples)
+        own = (np.cumsum(own, axis=1, dtype=dtype) if one(PREDICTOR, 1) == 2 else own)[: height - y, : width - x]
         yield plane, y, x, np.moveaxis(own, 2, 0).astype(dtype.newbyteorder("="))
 
 
@@ -100,8 +114,8 @@ def encode(pixels: np.ndarray) -> bytes:
 def tiff_chunks(spark: SparkSession, path: str, level: int = 0, channels: list[int] | None = None) -> DataFrame:
     """The strips or tiles of one level of TIFF files, decoded, as rows of chunks; ``image_id`` is the file's stem.
 
-    Plain and deflated pixels are read. Each file is one value, so it must be
-    under 2 GB; larger slides enter as Zarr. Files without that level, or of
+    Plain, deflated and Zstandard pixels are read. Each file is one value, so it must be
+    under 2 GB; larger slides are read by ``slides.slide_chunks``. Files without that level, or of
     another compression, raise an error. With ``channels``, these alone are kept
     and renumbered in their order.
     """
@@ -141,7 +155,7 @@ def write_files(files: DataFrame, folder: str) -> None:
         for row in rows:
             target = os.path.join(folder, row["name"])
             if not os.path.exists(target):
-                part = f"{target}.{os.getpid()}.part"
+                part = f"{target}.{uuid.uuid4().hex}.part"
                 with open(part, "wb") as file:
                     file.write(row["content"])
                 os.replace(part, target)
