@@ -1,12 +1,18 @@
+import os
 import random
+from collections import defaultdict, deque
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
 from tilewright.functions import polygon as P
 from tilewright.graph import connected_components
 from tilewright.operators import merge as M
+from tilewright.plans.views import view
+
+SF = "/root/testdata/sf0.01"
 
 
 def _box(x0, y0, x1, y1):
@@ -19,26 +25,97 @@ def _bars(order):
 
 
 def test_greedy_depends_on_order_and_is_not_transitive():
-    first = M.greedy(_bars("ABC"), "rtree", 0.2, 0.2)
+    first = M.greedy(_bars("ABC"), "rtree", 0.2, 0.2)[0]
     assert sorted((p.bounds[0], p.bounds[2], round(p.score, 6)) for p in first) == [(0, 40, 0.833333), (38, 90, 0.8)]
-    second = M.greedy(_bars("BAC"), "rtree", 0.2, 0.2)
+    second = M.greedy(_bars("BAC"), "rtree", 0.2, 0.2)[0]
     assert [(p.bounds[0], p.bounds[2], round(p.score, 6)) for p in second] == [(0, 90, 0.815464)]
 
 
+def _by_cells(dets, variant, iou_threshold, part_threshold):
+    """The work list on sets of unit cells: nothing of the library is used. dets: (id, score, (x0, y0, x1, y1)) in order; (members, score, area) of what is left."""
+    queue = deque(({(x, y) for x in range(b[0], b[2]) for y in range(b[1], b[3])}, b, s, [i]) for i, s, b in dets)
+    done = []
+    while queue:
+        cells, box, score, ids = queue.popleft()
+        near, rest = [], deque()
+        for other in queue:
+            c = other[1]
+            shared = len(cells & other[0]) if box[0] < c[2] and c[0] < box[2] and box[1] < c[3] and c[1] < box[3] else 0
+            n, m = len(cells), len(other[0])
+            takes = 0 < shared < min(n, m) and shared / (n + m - shared) > iou_threshold
+            if variant != "iou":
+                takes = takes or (shared > 0 and (shared / n >= part_threshold or shared / m >= part_threshold))
+            if variant == "centroid" and takes:
+                mid = [[sum(p[k] + 0.5 for p in part) / len(part) for k in (0, 1)] for part in (cells, other[0])]
+                takes = (mid[0][0] - mid[1][0]) ** 2 + (mid[0][1] - mid[1][1]) ** 2 <= 1000**2
+            (near if takes else rest).append(other)
+        queue = rest
+        if not near:
+            done.append((tuple(sorted(ids)), score, len(cells)))
+            continue
+        group = [(cells, box, score, ids), *near]
+        whole = set().union(*[g[0] for g in group])
+        if variant == "iou":
+            score = sum(g[2] for g in group) / len(group)
+        elif variant == "centroid":
+            score = max(g[2] for g in group)
+        else:
+            score = sum(g[2] * len(g[0]) for g in group) / sum(len(g[0]) for g in group)
+        boxes = [g[1] for g in group]
+        queue.append((whole, (*(min(b[k] for b in boxes) for k in (0, 1)), *(max(b[k] for b in boxes) for k in (2, 3))), score, [i for g in group for i in g[3]]))
+    return done
+
+
+def _compare(got, want):
+    got = {(r["class"], *r["key"], tuple(r["members"])): (r["score"], r["area"]) for r in got}
+    assert set(got) == set(want)
+    # the outer ring has no less than the cells: holes are filled
+    assert all(got[k][0] == pytest.approx(want[k][0], rel=1e-9) and got[k][1] >= want[k][1] - 1e-6 for k in want)
+    return sum(got[k][1] > want[k][1] + 1e-6 for k in want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+@pytest.mark.parametrize("variant, threshold", [("iou", 0.3), ("centroid", 0.2), ("rtree", 0.2)])
+def test_all_detections_against_unit_cells(spark, variant, threshold):
+    dets = view(spark, SF, "det")
+    groups = defaultdict(list)
+    for d in sorted(dets.collect(), key=lambda d: d["id"]):
+        groups[d["class"], d["image_id"]].append((d["id"], d["score"], (d["x0"], d["y0"], d["x1"], d["y1"])))
+    want = {(*k, m): (s, n) for k, g in groups.items() for m, s, n in _by_cells(g, variant, threshold, 0.2)}
+    assert sum(len(k[2]) > 1 for k in want) > 10
+    merged = M.merge_detections(dets.withColumn("ring", G.ring_of(G.box())), ["image_id", "class"], variant, threshold, 0.2)
+    _compare(merged.select("class", F.array("image_id").alias("key"), "members", "score", G.ring_area(F.col("ring")).alias("area")).collect(), want)
+
+
 @pytest.mark.parametrize("variant", ["iou", "centroid", "rtree"])
-def test_components_in_parallel_equal_the_whole(spark, variant):
+def test_one_dense_component_over_many_blocks(spark, variant, monkeypatch):
+    """Small blocks, so that chains cross them again and again; ids at random and along the rows."""
+    monkeypatch.setattr(M, "A_BLOCK", 1)
     r = random.Random(6)
     rows = []
-    for i in range(90):
-        x, y = r.randrange(0, 260), r.randrange(0, 260)
-        rows.append((i, r.choice("ab"), r.randrange(1, 100) / 100, _box(x, y, x + r.randrange(8, 40), y + r.randrange(8, 40))))
-    df = spark.createDataFrame([(i, c, s, [tuple(p) for p in b.tolist()]) for i, c, s, b in rows], "id long, class string, score double, ring array<struct<x:double,y:double>>")
-    got = M.merge_detections(df, ["class"], variant, 0.25, 0.2, 64).withColumn("area", G.ring_area(M.F.col("ring"))).collect()
-    want = []
-    for c in "ab":
-        whole = M.greedy([M.Piece([b], s, [i]) for i, k, s, b in rows if k == c], variant, 0.25, 0.2)
-        want += [(c, tuple(sorted(p.members)), round(p.score, 9), round(abs(P.signed_area(P.exterior(p.rings))), 4)) for p in whole]
-    assert sorted((x["class"], tuple(x["members"]), round(x["score"], 9), round(x["area"], 4)) for x in got) == sorted(want)
+    for c, wide in (("a", 150), ("b", 400)):
+        for i in range(260 if c == "a" else 420):
+            x, y = (r.randrange(0, wide), r.randrange(0, wide)) if c == "a" else (i * 7, 10 + i % 3)
+            rows.append((i, c, r.randrange(1, 100) / 100, (x, y, x + r.randrange(4, 12), y + r.randrange(4, 12))))
+    df = spark.createDataFrame([(i, c, s, [tuple(p) for p in _box(*b).tolist()]) for i, c, s, b in rows], "id long, class string, score double, ring array<struct<x:double,y:double>>")
+    got = M.merge_detections(df, ["class"], variant, 0.1, 0.15).select("class", F.array().cast("array<int>").alias("key"), "members", "score", G.ring_area(F.col("ring")).alias("area")).collect()
+    want = {(c, m): (s, n) for c in "ab" for m, s, n in _by_cells([(i, s, b) for i, k, s, b in rows if k == c], variant, 0.1, 0.15)}
+    _compare(got, want)
+
+
+def test_unions_of_boxes_equal_the_overlay():
+    r = random.Random(9)
+    for _ in range(150):
+        boxes = np.array([(x, y, x + r.randrange(1, 6), y + r.randrange(1, 6)) for x, y in ((r.randrange(8), r.randrange(8)) for _ in range(r.randrange(1, 6)))], float)
+        cells = {(x, y) for b in boxes.astype(int).tolist() for x in range(b[0], b[2]) for y in range(b[1], b[3])}
+        size, (mx, my) = P.boxes_measure(boxes)
+        assert size == len(cells) and (mx, my) == pytest.approx((sum(x + 0.5 for x, _ in cells) / size, sum(y + 0.5 for _, y in cells) / size))
+        rings = P.boxes_outline(boxes)
+        assert P.area(rings) == len(cells) and all(P.is_valid(ring) for ring in rings)
+        k = r.randrange(len(boxes) + 1)
+        if 0 < k < len(boxes):
+            parts = [{(x, y) for b in own.astype(int).tolist() for x in range(b[0], b[2]) for y in range(b[1], b[3])} for own in (boxes[:k], boxes[k:])]
+            assert P.boxes_shared(boxes[:k], boxes[k:]) == len(parts[0] & parts[1])
 
 
 def test_invalid_rings_are_dropped(spark):

@@ -2,12 +2,10 @@
 
 import os
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 
-from tilewright.functions import polygon
-from tilewright.operators import merge as M
 from tilewright.plans import load_all
 from tilewright.plans.views import view
 
@@ -23,20 +21,20 @@ def test_every_box_is_painted(spark):
         x1, y1 = min(x0 + 16 + d["id"] % 48, 256), min(y0 + 20, 256)
         sizes[d["id"]] = (x1 - x0) * (y1 - y0)
         painted |= {(d["image_id"], x, y): d["category_id"] for x in range(x0, x1) for y in range(y0, y1)}
-    assert {r["roi_idx"]: r["pixels"] for r in QUERIES["rasterize_all"](spark, SF).collect()} == sizes
-    got = {(r["image_id"], r["class"]): r["pixels"] for r in QUERIES["semantic_records_all"](spark, SF).collect()}
+    assert {r["roi_idx"]: r["pixels"] for r in QUERIES["rasterize"](spark, SF).collect()} == sizes
+    got = {(r["image_id"], r["class"]): r["pixels"] for r in QUERIES["semantic_records"](spark, SF).collect()}
     assert got == Counter((image, c) for (image, _, _), c in painted.items())
     tiles = Counter((image, x // 64, y // 64) for image, x, y in painted)
-    got = {(r["image_id"], r["tx"], r["ty"]): r["pixels"] for r in QUERIES["tile_mask_all"](spark, SF).collect()}
+    got = {(r["image_id"], r["tx"], r["ty"]): r["pixels"] for r in QUERIES["tile_mask"](spark, SF).collect()}
     assert got == {k: n for k, n in tiles.items() if 4 * n >= 64 * 64}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
 def test_no_row_or_pixel_is_left_out(spark):
-    assert QUERIES["normalize_all"](spark, SF).count() == 64 * view(spark, SF, "embeddings").count()
-    assert QUERIES["patch_records_all"](spark, SF).count() == view(spark, SF, "det").count() + view(spark, SF, "gt").count()
+    assert QUERIES["normalize"](spark, SF).count() == 64 * view(spark, SF, "embeddings").count()
+    assert QUERIES["patch_records"](spark, SF).count() == view(spark, SF, "det").count() + view(spark, SF, "gt").count()
     good = {r["image_id"] for r in view(spark, SF, "gt").collect() if (r["x1"] - r["x0"]) % 30 > 1 and (r["y1"] - r["y0"]) % 30 > 1}
-    assert max(good) >= 20 and {r["id"] for r in QUERIES["drop_unannotated_all"](spark, SF).collect()} == good
+    assert max(good) >= 20 and {r["id"] for r in QUERIES["drop_unannotated"](spark, SF).collect()} == good
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +65,7 @@ def test_all_pairs_are_matched(spark, crowded):
         if free and -min(free)[0] >= 0.5:
             matched[d["id"]] = min(free)[1]
             taken.add(min(free)[1])
-    got = {r["pred_id"]: r["gt_id"] for r in QUERIES["evaluate_images_all"](spark, crowded).collect()}
+    got = {r["pred_id"]: r["gt_id"] for r in QUERIES["evaluate_images"](spark, crowded).collect()}
     assert got == matched and any(a != b for a, b in got.items())
     want = {}
     for c in {g["category_id"] for g in truth}:
@@ -76,17 +74,5 @@ def test_all_pairs_are_matched(spark, crowded):
             tp += d["id"] in matched
             curve.append((int(tp / total * 100 + 1e-9), tp / n))
         want[c] = sum(max((p for last, p in curve if last >= k), default=0) for k in range(101)) / 101
-    got = {r["category_id"]: r["ap"] for r in QUERIES["average_precision_all"](spark, crowded).collect()}
+    got = {r["category_id"]: r["ap"] for r in QUERIES["average_precision"](spark, crowded).collect()}
     assert got == pytest.approx(want, abs=1e-6)
-
-
-@pytest.mark.parametrize("name, variant, iou", [("mean", "iou", 0.3), ("max", "centroid", 0.2), ("area_avg", "rtree", 0.2)])
-def test_scores_of_repeated_unions(spark, crowded, name, variant, iou):
-    groups = defaultdict(list)
-    for d in sorted(view(spark, crowded, "det").collect(), key=lambda d: d["id"]):
-        ring = polygon.as_ring([{"x": x, "y": y} for x, y in ((d["x0"], d["y0"]), (d["x1"], d["y0"]), (d["x1"], d["y1"]), (d["x0"], d["y1"]))])
-        groups[d["image_id"], d["class"]].append(M.Piece([ring], d["score"], [d["id"]]))
-    want = {min(p.members): (len(p.members), p.score) for g in groups.values() for p in M.greedy(g, variant, iou, 0.2)}
-    got = {r["id"]: (r["n"], r["score"]) for r in QUERIES[f"merge_score_{name}_all"](spark, crowded).collect()}
-    assert set(got) == set(want) and max(n for n, _ in got.values()) > 2
-    assert all(got[i][0] == n and abs(got[i][1] - score) < 1e-3 for i, (n, score) in want.items())

@@ -347,11 +347,6 @@ def model_cross(spark, sf_dir):
     return P.model_cross(view(spark, sf_dir, "det"), models).groupBy("tag", "class").agg(F.count("*").alias("n"))
 
 
-# Names under which the queries of all rows were registered beside narrower ones.
-for _name, _query in (("normalize", normalize), ("rasterize", rasterize), ("semantic_records", semantic_records), ("tile_mask", tile_mask), ("patch_records", patch_records), ("drop_unannotated", drop_unannotated), ("evaluate_images", evaluate_images), ("average_precision", average_precision)):
-    register(f"{_name}_all", ORACLES[_name])(_query)
-
-
 @register("coco_summary")
 def coco_summary(spark, sf_dir):
     truth = view(spark, sf_dir, "gt").withColumn("iscrowd", (F.col("id") % 11 == 0).cast("int"))

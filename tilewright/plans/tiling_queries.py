@@ -231,8 +231,3 @@ def merge_score_max(spark, sf_dir):
 @register("merge_score_area_avg")
 def merge_score_area_avg(spark, sf_dir):
     return _scores(spark, sf_dir, "rtree")
-
-
-# Names under which these were registered beside narrower ones.
-for _name, _query in (("mean", merge_score_mean), ("max", merge_score_max), ("area_avg", merge_score_area_avg)):
-    register(f"merge_score_{_name}_all")(_query)
