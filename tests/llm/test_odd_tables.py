@@ -46,6 +46,20 @@ def test_a_conversation_of_very_many_turns(spark):
     assert (back["n"], back["n_merged"], back["last"]) == (100_000, 2 * 33_333 + 1, "<|turn|> 99999") and time.time() - began < 60
 
 
+def test_a_conversation_of_one_role(spark):
+    turns = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("<|more|> "), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    back = chat.read_back(chat.format_conversations(turns)).select(F.size("turns").alias("n"), "n_merged", F.element_at("turns", -1)["text"].alias("last"), F.element_at("turns", 2)["loss"].alias("loss")).first()
+    assert tuple(back) == (100_000, 1, "<|more|> 99999", True) and time.time() - began < 60
+
+
+def test_a_host_of_very_many_labels(spark):
+    began = time.time()
+    pages = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "Example.com/en/7?x"), (2, "http://" + "x" * 300_000 + "com/en/"), (3, "https://.com/en/")], "page_id long, url string")
+    got = url_filters.judge(pages, url_filters.rules_frame(spark, [("com", "/en/", "block"), ("example.com", "/en/7", "allow")])).select("page_id", "rule", "verdict").orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, "example.com/en/7", "allow"), (2, None, "allow"), (3, "com/en/", "block")] and time.time() - began < 60
+
+
 def test_shards_by_bytes_over_hot_groups(spark):
     r = random.Random(8)
     rows = [(i, "" if i % 3 == 0 else "hot text" if i % 3 == 1 else "w" * r.randrange(1, 400)) for i in range(6000)] + [(None, None)] * 900 + [(7, "one row again and again")] * 900

@@ -68,11 +68,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     parts = F.filter(F.split(F.coalesce("formatted", F.lit("")), r"\Q" + END + r"\E", -1), lambda p: p != "")
 
     def turns(p: Column) -> Column:
-        head = F.split(F.substring(p, len(TURN) + 1, 2147483647), r"\Q" + TEXT + r"\E", -1)
-        name = unescape(head[0])
-        return F.transform(
-            F.split(head[1], r"\Q" + MORE + r"\E", -1),
-            lambda t: F.struct(name.alias("role"), unescape(t).alias("text"), (name == "assistant").alias("loss")),
-        )
+        # each part is split once: what is bound to a lambda's variable is not worked out again for every text
+        head = F.array(F.split(F.substring(p, len(TURN) + 1, 2147483647), r"\Q" + TEXT + r"\E", -1))
+        split = F.transform(head, lambda h: F.struct(unescape(h[0]).alias("role"), F.split(h[1], r"\Q" + MORE + r"\E", -1).alias("texts")))
+        return F.flatten(F.transform(split, lambda m: F.transform(m["texts"], lambda t: F.struct(m["role"].alias("role"), unescape(t).alias("text"), (m["role"] == "assistant").alias("loss")))))
 
     return formatted.withColumn("turns", F.flatten(F.transform(parts, turns)))
