@@ -29,8 +29,8 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", prefix_bytes: int = 4) -> DataFrame:
     """Return ``pages`` with ``host``, ``path``, ``rule`` and ``verdict``, all its own columns first.
 
-    Each distinct (host, path) is expanded into its host suffixes times the path
-    prefixes of those lengths that rules have. The expressions meet the rules by
+    Each distinct (host, path) is expanded into the host suffixes times the path
+    prefixes of those lengths that rules have, however long the url is. The expressions meet the rules by
     equality of the first ``prefix_bytes`` bytes of a SHA-256 digest; a full
     digest then confirms a match. Of several rules that fit, the longest (host,
     then path) wins, and ``block`` before ``allow`` at a tie. Null urls and urls
@@ -46,13 +46,13 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         F.sha2(F.concat("rule_host", F.lit("\n"), "rule_path"), 256).alias("digest"),
     )
     keys = keys.withColumn("short", F.substring("digest", 1, 2 * prefix_bytes))
-    lengths, n_rules, longest = keys.agg(F.collect_set("path_len"), F.count("*"), F.max(F.length("rule"))).first()
+    lengths, host_lengths, n_rules, longest = keys.agg(F.collect_set("path_len"), F.collect_set("host_len"), F.count("*"), F.max(F.length("rule"))).first()
     parsed = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     targets = parsed.select("host", "path").where("host <> ''").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    each = targets.withColumn("suffix", F.explode(suffixes))
-    each = each.withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.expr("array(0)"))).where("n <= length(path)")
+    of = lambda found: F.explode(F.array(*[F.lit(n) for n in sorted(found)]) if found else F.expr("array(0)"))
+    # a suffix is the whole host or begins after a dot
+    each = targets.withColumn("k", of(host_lengths)).where("k = length(host) or (k < length(host) and substring(host, length(host) - k, 1) = '.')")
+    each = each.withColumn("suffix", F.expr("right(host, k)")).withColumn("n", of(lengths)).where("n <= length(path)")
     digest = F.sha2(F.concat("suffix", F.lit("\n"), F.expr("substring(path, 1, n)")), 256)
     each = each.select("host", "path", digest.alias("full")).withColumn("short", F.substring("full", 1, 2 * prefix_bytes))
     keys = F.broadcast(keys) if small_enough(n_rules, 2 * (longest or 0) + 200) else keys
