@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,3 +62,29 @@ def test_learning_skips_unlabelled_rows(spark):
     docs = spark.createDataFrame([(1, "some text", "en"), (2, None, "en"), (3, "rien", None), (None, "x", "zz")], "doc_id long, text string, lang string")
     assert dict(learn_samples(docs, F.col("doc_id").isNotNull())) == {"en": b"\nsome text"}
     assert learn_samples(docs.where("doc_id = 3"), F.lit(True)) == ()
+
+
+def test_runs_of_one_letter(spark):
+    """Phrases and lanes never fall into step here; counts are still those of one parse, in time that grows with the text."""
+    samples = (("aa", b"a-- b--- c" + b"-" * 7 + b"x"), ("bb", b"- . -" + b"-" * 13))
+    for text in (b"-" * 40_000, b"--. " * 9000 + b"-" * 5000, b"-" * 3 * LANE):
+        raw = np.frombuffer(text + b"a word" + text[:5000], np.uint8)
+        off = np.array([0, len(text), len(raw)], np.int64)
+        got = phrase_counts(raw, off, samples)
+        for k, (_, sample) in enumerate(samples):
+            for j in range(2):
+                own = bytes(FOLD[raw[off[j] : off[j + 1]].tolist()])
+                assert got[k][j] == _one_parse(own, bytes(FOLD[list(sample)]))
+    began = time.time()
+    rows = spark.createDataFrame([(1, "-" * 10_000_000 + " a b")], "doc_id long, text string")
+    assert predict(rows, samples).count() == 1 and time.time() - began < 60
+
+
+def _one_parse(text: bytes, sample: bytes) -> int:
+    total = i = 0
+    while i < len(text):
+        k = i + 1
+        while k < len(text) and text[i : k + 1] in sample:
+            k += 1
+        total, i = total + 1, k
+    return total

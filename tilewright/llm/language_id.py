@@ -16,6 +16,8 @@ SAMPLE_BYTES = 16_000
 SAMPLE_ROWS = 80
 #: Bytes that are parsed as one lane of many that run side by side.
 LANE = 512
+#: Times that lanes run side by side before what is left is done in order.
+ROUNDS = 4
 #: Languages whose tables fit the indices; more labels than this are refused, as labels are no free text.
 MOST_LANGUAGES = 200
 
@@ -107,6 +109,32 @@ def _tables(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, np.ndar
     return classes[FOLD], np.array(roots, np.int64), np.concatenate(parts)
 
 
+def _in_order(first: np.ndarray, owner: np.ndarray, raw: np.ndarray, start: np.ndarray, width: np.ndarray, classes: np.ndarray, table: np.ndarray, entry: np.ndarray, ends: np.ndarray, begun: np.ndarray) -> None:
+    """Go through the lanes of each row from its first unsettled one on, in order; lanes of equal letters are run once for each way in."""
+    runs: dict[tuple[bytes, int], tuple[int, int]] = {}
+    value_of = table.item
+    for lane in first[np.unique(owner[first], return_index=True)[1]].tolist():
+        last = int(np.searchsorted(owner, owner[lane], side="right"))
+        for j in range(lane, last):
+            letters = None
+            for k in range(len(entry)):
+                at = int(ends[k, j - 1])
+                if entry[k, j] == at:
+                    continue
+                if letters is None:
+                    own = classes[raw[start[j] : start[j] + width[j]]].astype(np.uint16)
+                    letters = own.tobytes()
+                if (letters, at) not in runs:
+                    to, phrases = at, 0
+                    for c in own.tolist():
+                        value = value_of(to + c)
+                        phrases += value & 1
+                        to = value >> 1
+                    runs[letters, at] = to, phrases
+                entry[k, j] = at
+                ends[k, j], begun[k, j] = runs[letters, at]
+
+
 def phrase_counts(raw: np.ndarray, off: np.ndarray, samples: tuple[tuple[str, bytes], ...]) -> np.ndarray:
     """Phrases of each row's greedy parse by each language: array (languages, rows).
 
@@ -115,7 +143,8 @@ def phrase_counts(raw: np.ndarray, off: np.ndarray, samples: tuple[tuple[str, by
     bytes that run side by side, a byte at a time for all languages. Lanes first
     run from the root; each whose predecessor ends elsewhere runs again from
     there, until no end changes, so the counts are those of the parse of the
-    whole text.
+    whole text. Where phrases and lanes do not fall into step, as in a long run
+    of one letter, lanes are set right one after the other after ``ROUNDS`` times.
     """
     classes, roots, table = _tables(samples)
     size = np.diff(off)
@@ -127,7 +156,7 @@ def phrase_counts(raw: np.ndarray, off: np.ndarray, samples: tuple[tuple[str, by
     out = np.zeros((len(roots), len(size)), np.int64)
     entry = np.repeat(roots[:, None], len(owner), axis=1)
     ends, begun = np.full(entry.shape, -1, np.int64), np.zeros(entry.shape, np.int32)
-    todo = np.arange(len(owner))
+    todo, rounds = np.arange(len(owner)), 0
     while len(todo):
         todo = todo[np.argsort(-width[todo], kind="stable")]
         live = np.searchsorted(-width[todo], -np.arange(1, LANE + 1), side="right")
@@ -142,6 +171,10 @@ def phrase_counts(raw: np.ndarray, off: np.ndarray, samples: tuple[tuple[str, by
         after = todo[todo + 1 < len(owner)] + 1
         after = after[nth[after] > 0]
         after = after[(ends[:, after - 1] != entry[:, after]).any(axis=0)]
+        rounds += 1
+        if rounds == ROUNDS:
+            _in_order(after, owner, raw, start, width, classes, table, entry, ends, begun)
+            break
         entry[:, after] = ends[:, after - 1]
         todo = after
     for k in range(len(roots)):
