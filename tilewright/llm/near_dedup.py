@@ -97,8 +97,13 @@ def _sets(docs: DataFrame, members: DataFrame, count: int, doc_id: str, text: st
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; sets meet in the JVM, two at a time."""
-    both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b")
+    """The pairs (a, b) whose full sets are similar; sets meet in the JVM, two at a time.
+
+    Sets are merged, never broadcast: the size of their file, by which Spark would
+    choose, says little about that of sets which share most of their shingles.
+    """
+    left, right = (sets.toDF(x, f"n{x}", f"s{x}").hint("merge") for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
     shared = both.where(100 * F.least("na", "nb") >= min_percent * F.greatest("na", "nb")).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return shared.where((100 + min_percent) * F.col("shared") >= min_percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
