@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from ..functions import geometry as G
 from ..operators import dataset as D
 from ..operators import evaluate as E
+from ..operators import masks as K
 from ..operators import raster as P
 from ..operators import regions as R
 from ..operators import sampling as S
@@ -352,3 +353,69 @@ def coco_summary(spark, sf_dir):
     truth = view(spark, sf_dir, "gt").withColumn("iscrowd", (F.col("id") % 11 == 0).cast("int"))
     preds = view(spark, sf_dir, "det").withColumn("score", F.col("score").cast("double"))
     return E.coco_summary(preds, truth).withColumn("value", F.round("value", 9))
+
+
+def _masks(spark, sf_dir, name):
+    """Boxes of a view as masks whose left side is a saw."""
+    runs = F.expr("transform(sequence(y0, y1 - 1), y -> struct(cast(y as int) as y, cast(x0 + (y * 3 + id) % 4 as int) as x0, cast(x1 as int) as x1))")
+    return view(spark, sf_dir, name).withColumn("runs", runs)
+
+
+_SAW = """
+with p as (select *, unnest(range(y0, y1)) as y from det), g as (select *, unnest(range(y0, y1)) as y from gt),
+a as (select id, image_id, category_id, y, x0 + (y * 3 + id) % 4 as x0, x1 from p), b as (select id, image_id, category_id, y, x0 + (y * 3 + id) % 4 as x0, x1 from g)
+"""
+
+
+@register("mask_overlaps", with_views(_SAW + """select image_id, category_id, a.id as pred_id, b.id as gt_id, cast(sum(least(a.x1, b.x1) - greatest(a.x0, b.x0)) as bigint) as shared
+from a join b using (image_id, category_id, y) where a.x0 < b.x1 and b.x0 < a.x1 group by all""", "det", "gt"))
+def mask_overlaps(spark, sf_dir):
+    return K.mask_overlaps(_masks(spark, sf_dir, "det"), _masks(spark, sf_dir, "gt"))
+
+
+@register("coco_mask_summary")
+def coco_mask_summary(spark, sf_dir):
+    truth = _masks(spark, sf_dir, "gt").withColumn("iscrowd", (F.col("id") % 11 == 0).cast("int"))
+    preds = _masks(spark, sf_dir, "det").withColumn("score", F.col("score").cast("double"))
+    return E.coco_mask_summary(preds, truth).withColumn("value", F.round("value", 9))
+
+
+@register("coco_runs", with_views("select id, cast((y1 - y0) * (x1 - x0) - (select sum((y * 3 + id) % 4) from range(y0, y1) t(y)) as bigint) as pixels, true as same from det", "det"))
+def coco_runs(spark, sf_dir):
+    """Masks in their image's frame, written as COCO's text and read again."""
+    own = _masks(spark, sf_dir, "det").withColumns({"height": F.col("y1") + 3, "width": F.col("x1") + 2}).select("id", "runs", "height", "width")
+    back = K.from_coco_runs(K.with_coco_runs(own).withColumnRenamed("runs", "given"))
+    return back.select("id", K.mask_size().alias("pixels"), (F.col("runs") == F.col("given")).alias("same"))
+
+
+POINT_FALLOFF = (0.1, 0.2, 0.3)
+
+
+def _keypoints(spark, sf_dir):
+    """Three corners of boxes as keypoints; truths show some, or none, of them."""
+    corners = lambda seen: F.array(*[c.cast("double") for x, y, v in zip(("x0", "x1", "x0"), ("y0", "y1", "y1"), seen) for c in (F.col(x), F.col(y), v)])
+    preds = view(spark, sf_dir, "det").withColumn("score", F.col("score").cast("double")).withColumn("keypoints", corners([F.lit(2)] * 3))
+    truth = view(spark, sf_dir, "gt").withColumn("keypoints", corners([F.col("id") % 3, F.col("id") % 2, F.lit(0)]))
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return preds, truth.withColumn("size", size).withColumn("iscrowd", (F.col("id") % 13 == 0).cast("int"))
+
+
+@register("keypoint_pairs", with_views("""
+with best as (select *, row_number() over (partition by image_id, category_id order by score desc, id) as place from det),
+pairs as (select p.id as pred_id, g.id as gt_id, (g.x1 - g.x0) * (g.y1 - g.y0) as size, g.id % 3 > 0 as seen_a, g.id % 2 > 0 as seen_b,
+  g.x0 - (g.x1 - g.x0) as l, g.x1 + (g.x1 - g.x0) as r, g.y0 - (g.y1 - g.y0) as t, g.y1 + (g.y1 - g.y0) as b,
+  (p.x0 - g.x0) ** 2 + (p.y0 - g.y0) ** 2 as a2, (p.x1 - g.x1) ** 2 + (p.y1 - g.y1) ** 2 as b2, p.x0, p.y0, p.x1, p.y1
+  from best p join gt g using (image_id, category_id) where place <= 20),
+far as (select *, greatest(0, l - x0) + greatest(0, x0 - r) as fx0, greatest(0, l - x1) + greatest(0, x1 - r) as fx1, greatest(0, t - y0) + greatest(0, y0 - b) as fy0, greatest(0, t - y1) + greatest(0, y1 - b) as fy1 from pairs)
+select pred_id, gt_id, round(case when seen_a or seen_b
+  then (case when seen_a then exp(-a2 / 0.04 / size / 2) else 0 end + case when seen_b then exp(-b2 / 0.16 / size / 2) else 0 end) / (seen_a::int + seen_b::int)
+  else (exp(-(fx0 ** 2 + fy0 ** 2) / 0.04 / size / 2) + exp(-(fx1 ** 2 + fy1 ** 2) / 0.16 / size / 2) + exp(-(fx0 ** 2 + fy1 ** 2) / 0.36 / size / 2)) / 3 end, 6) as iou from far
+""", "det", "gt"))
+def keypoint_pairs(spark, sf_dir):
+    pairs = E.keypoint_pairs(*_keypoints(spark, sf_dir), POINT_FALLOFF)
+    return pairs.withColumn("iou", F.round("iou", 6))
+
+
+@register("coco_keypoint_summary")
+def coco_keypoint_summary(spark, sf_dir):
+    return E.coco_keypoint_summary(*_keypoints(spark, sf_dir), POINT_FALLOFF).withColumn("value", F.round("value", 9))
