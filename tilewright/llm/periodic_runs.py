@@ -134,15 +134,19 @@ def find_in_words(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         one = np.unique(np.stack([row[long], period[long], near[long], far[long], place[long]], axis=1), axis=0)
         fresh = np.ones(len(one), bool)
         fresh[1:] = (one[1:, :4] != one[:-1, :4]).any(axis=1)
-        for r, q, a, b, at in one[fresh].tolist():
+        first = np.flatnonzero(fresh)
+        for i, end in zip(first.tolist(), [*first[1:].tolist(), len(one)]):
+            r, q, a, b, at = one[i].tolist()
             if until[at] == b + q and q % inside[at] == 0:
                 continue
-            # the words decide: hashes that were equal by chance are corrected
+            stretches = [(a, b)]
+            # the words decide: where hashes were equal by chance, each place is extended word by word
             if not np.array_equal(codes[a:b], codes[a + q : b + q]):
-                a, b = _exact(codes, at, q, int(bounds[r + 1]) - q, int(bounds[r]))
-            if b - a + q >= max(LEAST_WORDS, LEAST_TIMES * q):
-                found.append(np.array([[r, a, b + q, q]], np.int64))
-                inside[a : b + q], until[a : b + q] = q, b + q
+                stretches = sorted({_exact(codes, at, q, int(bounds[r + 1]) - q, int(bounds[r])) for at in one[i:end, 4].tolist()})
+            for a, b in stretches:
+                if b - a + q >= max(LEAST_WORDS, LEAST_TIMES * q):
+                    found.append(np.array([[r, a, b + q, q]], np.int64))
+                    inside[a : b + q], until[a : b + q] = q, b + q
     # the same stretch is found again with multiples of its smallest period
     runs = np.unique(np.concatenate(found), axis=0)
     return runs[np.concatenate([[True], (runs[1:, :3] != runs[:-1, :3]).any(axis=1)])] if len(runs) else runs
