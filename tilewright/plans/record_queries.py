@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +13,7 @@ from ..operators import masks as K
 from ..operators import raster as P
 from ..operators import regions as R
 from ..operators import sampling as S
+from ..operators import training as TR
 from ..sources.geojson import to_feature
 from ..sources.text_rois import parse_text_rois
 from .registry import ORACLES, register
@@ -419,3 +421,33 @@ def keypoint_pairs(spark, sf_dir):
 @register("coco_keypoint_summary")
 def coco_keypoint_summary(spark, sf_dir):
     return E.coco_keypoint_summary(*_keypoints(spark, sf_dir), POINT_FALLOFF).withColumn("value", F.round("value", 9))
+
+
+# Each embedding is a chunk of 8 by 8 pixels of 8 bits, its tile moved by its id, with one box as region.
+@register("training_arrays", """
+with e as (select vec_id, 1 + vec_id % 3 as a, 2 as b, 5 + vec_id % 2 as c, 6 as d, vec_id % 8 as move, embedding from embeddings),
+px as (select vec_id, k // 8 as y, k % 8 as x, cast(floor(abs(embedding[k + 1]) * 1000) as bigint) % 256 as v, a, b, c, d from e, range(64) r(k)),
+sums as (select vec_id, cast(sum(v) as bigint) as total, cast(sum(v) filter (where x >= a and x < c and y >= b and y < d) as bigint) as inside from px group by vec_id),
+flipped as (select vec_id, move, case when move >= 4 then 8 - c else a end as x0, case when move >= 4 then 8 - a else c end as x1, b as y0, d as y1 from e)
+select vec_id as image_id, cast(move as int) as move, total, inside,
+  cast(case move % 4 when 0 then x0 when 1 then y0 when 2 then 8 - x1 else 8 - y1 end as double) as x0, cast(case move % 4 when 0 then y0 when 1 then 8 - x1 when 2 then 8 - y1 else x0 end as double) as y0,
+  cast(case move % 4 when 0 then x1 when 1 then y1 when 2 then 8 - x0 else 8 - y0 end as double) as x1, cast(case move % 4 when 0 then y1 when 1 then 8 - x0 when 2 then 8 - y0 else x1 end as double) as y1
+from sums join flipped using (vec_id)""")
+def training_arrays(spark, sf_dir):
+    e = view(spark, sf_dir, "embeddings").where("vec_id is not null")
+    byte = F.transform("embedding", lambda v: F.lpad(F.hex(F.floor(F.abs(v.cast("double")) * 1000) % 256), 2, "0"))
+    zero, eight = F.lit(0).cast("long"), F.lit(8).cast("long")
+    tiles = e.select(F.col("vec_id").alias("image_id"), zero.alias("x0"), zero.alias("y0"), eight.alias("x1"), eight.alias("y1"), (F.col("vec_id") % 8).cast("int").alias("move"))
+    chunks = e.select(F.col("vec_id").alias("image_id"), F.lit(0).alias("c0"), zero.alias("y0"), zero.alias("x0"), F.lit(1).alias("channels"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit("uint8").alias("dtype"), F.unhex(F.array_join(byte, "")).alias("data"))
+    sides = G.Box(*[F.expr(x) for x in ("1 + image_id % 3", "2", "5 + image_id % 2", "6")])
+    rois = tiles.select("image_id", "x0", "y0", "x1", "y1", F.lit(0).alias("roi_idx"), F.lit(1).alias("label"), G.ring_of(sides).alias("ring"))
+    made = TR.training_arrays(tiles, chunks, rois, 8)
+
+    def sums(batches):
+        for batch in batches:
+            images = [np.frombuffer(i, "<f4").reshape(8, 8) for i in batch["image"]]
+            inside = [sum(float(im[r["y"], r["x0"] : r["x1"]].sum()) for r in masks[0]) for im, masks in zip(images, batch["masks"])]
+            yield batch[["image_id", "move", "boxes"]].assign(total=[round(float(im.sum())) for im in images], inside=[round(n) for n in inside])
+
+    counted = made.mapInPandas(sums, "image_id long, move int, boxes array<array<double>>, total long, inside long")
+    return counted.select("image_id", "move", "total", "inside", *[F.col("boxes")[0][k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])

@@ -118,30 +118,38 @@ def shrink(chunks: DataFrame, factor: int) -> DataFrame:
     return chunks.mapInPandas(run, CHUNKS)
 
 
+def parts_of(chunks: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """``tiles`` (image_id, x0, y0, x1, y1, ..) with a row for each chunk of ``size`` that a tile meets, in ``part``; null where there is none."""
+    need = tiles.withColumn("gx", F.explode(F.expr(f"sequence(x0 div {size}, (x1 - 1) div {size})"))).withColumn("gy", F.explode(F.expr(f"sequence(y0 div {size}, (y1 - 1) div {size})")))
+    c = chunks.select("image_id", (F.col("x0") / size).cast("long").alias("gx"), (F.col("y0") / size).cast("long").alias("gy"), F.struct(F.col("c0").alias("c"), F.col("y0").alias("y"), F.col("x0").alias("x"), "channels", "h", "w", "dtype", "data").alias("part"))
+    return need.join(c, ["image_id", "gx", "gy"], "left").select(*tiles.columns, "part")
+
+
+def pasted(rows: pd.Series, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
+    """The pixels of a tile, (channels, height, width), from its parts; what no part covers is 0."""
+    # whole numbers of a column with nulls come as floats
+    parts = [{k: p[k] if k in ("dtype", "data") else int(p[k]) for k in ("c", "y", "x", "channels", "h", "w", "dtype", "data")} for p in rows if p is not None and p["data"] is not None]
+    depth = max((p["c"] + p["channels"] for p in parts), default=1)
+    out = np.zeros((depth, y1 - y0, x1 - x0), np.dtype(parts[0]["dtype"]) if parts else np.dtype("uint8"))
+    for p in parts:
+        block = np.frombuffer(p["data"], out.dtype).reshape(p["channels"], p["h"], p["w"])
+        ys, xs = (max(p["y"], y0), min(p["y"] + p["h"], y1)), (max(p["x"], x0), min(p["x"] + p["w"], x1))
+        if ys[0] < ys[1] and xs[0] < xs[1]:
+            out[p["c"] : p["c"] + p["channels"], ys[0] - y0 : ys[1] - y0, xs[0] - x0 : xs[1] - x0] = block[:, ys[0] - p["y"] : ys[1] - p["y"], xs[0] - p["x"] : xs[1] - p["x"]]
+    return out
+
+
 def crop(chunks: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
     """Pixels of tiles (image_id, x0, y0, x1, y1) cut out of chunks of ``size``: adds ``data``, channels by height by width.
 
     Tiles and chunks meet by an equi-join on the image and the chunk's grid
     place; the parts of a tile are put together by tile. Missing chunks are 0.
     """
-    need = tiles.withColumn("gx", F.explode(F.expr(f"sequence(x0 div {size}, (x1 - 1) div {size})"))).withColumn("gy", F.explode(F.expr(f"sequence(y0 div {size}, (y1 - 1) div {size})")))
-    c = chunks.select("image_id", (F.col("x0") / size).cast("long").alias("gx"), (F.col("y0") / size).cast("long").alias("gy"), F.struct(F.col("c0").alias("c"), F.col("y0").alias("y"), F.col("x0").alias("x"), "channels", "h", "w", "dtype", "data").alias("part"))
-    joined = need.join(c, ["image_id", "gx", "gy"], "left").select("image_id", "x0", "y0", "x1", "y1", "part")
+    joined = parts_of(chunks, tiles.select("image_id", "x0", "y0", "x1", "y1"), size)
 
     def paste(rows: pd.DataFrame) -> pd.DataFrame:
-        image_id = rows["image_id"].iloc[0]
-        x0, y0, x1, y1 = (int(rows[k].iloc[0]) for k in ("x0", "y0", "x1", "y1"))
-        # whole numbers of a column with nulls come as floats
-        parts = [{k: p[k] if k in ("dtype", "data") else int(p[k]) for k in ("c", "y", "x", "channels", "h", "w", "dtype", "data")} for p in rows["part"] if p is not None and p["data"] is not None]
-        depth = max((p["c"] + p["channels"] for p in parts), default=1)
-        dtype = np.dtype(parts[0]["dtype"]) if parts else np.dtype("uint8")
-        out = np.zeros((depth, y1 - y0, x1 - x0), dtype)
-        for p in parts:
-            block = np.frombuffer(p["data"], dtype).reshape(p["channels"], p["h"], p["w"])
-            ys, xs = (max(p["y"], y0), min(p["y"] + p["h"], y1)), (max(p["x"], x0), min(p["x"] + p["w"], x1))
-            if ys[0] < ys[1] and xs[0] < xs[1]:
-                out[p["c"] : p["c"] + p["channels"], ys[0] - y0 : ys[1] - y0, xs[0] - x0 : xs[1] - x0] = block[:, ys[0] - p["y"] : ys[1] - p["y"], xs[0] - p["x"] : xs[1] - p["x"]]
-        return pd.DataFrame([(image_id, x0, y0, x1, y1, out.tobytes())], columns=["image_id", "x0", "y0", "x1", "y1", "data"])
+        sides = [int(rows[k].iloc[0]) for k in ("x0", "y0", "x1", "y1")]
+        return pd.DataFrame([(rows["image_id"].iloc[0], *sides, pasted(rows["part"], *sides).tobytes())], columns=["image_id", "x0", "y0", "x1", "y1", "data"])
 
     kind = tiles.schema["image_id"].dataType.simpleString()
     return joined.groupBy("image_id", "x0", "y0", "x1", "y1").applyInPandas(paste, f"image_id {kind}, x0 long, y0 long, x1 long, y1 long, data binary")
