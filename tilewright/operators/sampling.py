@@ -86,6 +86,40 @@ def batches(df: DataFrame, order: str, batch_size: int, keys: list[str] = (), pa
     return out.drop("__k", "total___k")
 
 
+def grouped_batches(df: DataFrame, order: str, key: str, batch_size: int) -> DataFrame:
+    """Rows with ``batch`` and ``place`` (from 0): batches of one ``key`` each, as they fill while rows come by ``order``.
+
+    A batch comes out when its last row does. In the end, groups with rows left
+    give a batch each, the one with most rows first (of equal ones, that whose
+    first such row came first), filled up with the group's first rows, round and
+    round, until there are floor(n / batch_size) batches of all n rows; rows left
+    beyond that are in none. ``order`` must be without repeats; a null key is a
+    group.
+
+    Places within groups and of full batches are put together from ranges, so no
+    task holds a group or the stream; one row a group is ranked for the tails.
+    """
+    size = F.lit(batch_size)
+    ranked = running_counts(df, [key], [F.col(order)], {"__k": F.lit(1)})
+    ranked = materialize(ranked.withColumn("__b", F.floor((F.col("__k") - 1) / size)).withColumn("__own", F.col("__k") - F.col("__b") * size - 1), "ranked")
+    whole = F.col("__b") < F.floor(F.col("total___k") / size)
+    # full batches by the place of their last row in the stream
+    full = running_counts(ranked.where(whole & (F.col("__own") == size - 1)).select(F.col(key).alias("f_key"), F.col("__b").alias("f_b"), F.col(order).alias("f_order")), [], [F.col("f_order")], {"n": F.lit(1)})
+    full = materialize(full.select("f_key", "f_b", (F.col("n") - 1).alias("batch")), "full")
+    tails = ranked.where(~whole).groupBy(F.col(key).alias("f_key"), F.col("total___k").alias("f_total")).agg(F.count("*").alias("f_left"), F.min(order).alias("f_first"))
+    tails = running_counts(tails, [], [-F.col("f_left"), F.col("f_first")], {"n": F.lit(1)})
+    done, rows = full.count(), ranked.count()
+    tails = materialize(tails.where(F.col("n") <= rows // batch_size - done).select("f_key", "f_total", "f_left", (F.col("n") - 1 + done).alias("batch")), "tails")
+    out = [*df.columns, "batch", "place"]
+    inside = ranked.join(full, ranked[key].eqNullSafe(full["f_key"]) & (F.col("__b") == F.col("f_b"))).withColumn("place", F.col("__own").cast("int")).select(*out)
+    last = ranked.join(tails, ranked[key].eqNullSafe(tails["f_key"]))
+    own = last.where(~whole).withColumn("place", F.col("__own").cast("int")).select(*out)
+    # the group's first rows again: its k-th stands at k - 1, k - 1 + total, .. of the places that are free
+    free = size - F.col("f_left")
+    again = last.where(F.col("__k") <= free).withColumn("__at", F.explode(F.sequence(F.col("__k") - 1, free - 1, F.col("f_total")))).withColumn("place", (F.col("f_left") + F.col("__at")).cast("int")).select(*out)
+    return inside.unionByName(own).unionByName(again)
+
+
 def quantize(x: Column, bins: list[float]) -> Column:
     """How many bins are at or below x."""
     return sum((F.when(x >= b, 1).otherwise(0) for b in bins), F.lit(0))

@@ -451,3 +451,17 @@ def training_arrays(spark, sf_dir):
 
     counted = made.mapInPandas(sums, "image_id long, move int, boxes array<array<double>>, total long, inside long")
     return counted.select("image_id", "move", "total", "inside", *[F.col("boxes")[0][k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@_det("stream_batches", """with ranked as (select id, image_id, row_number() over (partition by image_id order by id) - 1 as k, count(*) over (partition by image_id) as n from det),
+placed as (select *, k // 7 as b, k % 7 as own, k // 7 < n // 7 as whole from ranked),
+full_ as (select image_id, b, row_number() over (order by max(id)) - 1 as batch from placed where whole group by image_id, b),
+tails as (select image_id, n, count(*) as left_, row_number() over (order by count(*) desc, min(id)) as r from placed where not whole group by image_id, n),
+room as (select (select count(*) from det) // 7 - (select count(*) from full_) as free_batches, (select count(*) from full_) as done),
+kept as (select image_id, n, left_, r - 1 + done as batch from tails, room where r <= free_batches),
+again as (select image_id, n, left_, batch, unnest(range(7 - left_)) as j from kept)
+select id, image_id, batch, cast(own as int) as place from placed join full_ using (image_id, b) where whole
+union all select id, p.image_id, batch, cast(own as int) from placed p join kept using (image_id) where not whole
+union all select p.id, p.image_id, batch, cast(left_ + j as int) from again a join placed p on p.image_id = a.image_id and p.k = j % a.n""")
+def stream_batches(spark, sf_dir):
+    return S.grouped_batches(view(spark, sf_dir, "det").select("id", "image_id"), "id", "image_id", 7)
