@@ -41,3 +41,22 @@ def test_batches_match_a_loop(spark, n, size, groups):
 
 def test_no_rows(spark):
     assert S.grouped_batches(spark.createDataFrame([], "at long, kind string"), "at", "kind", 4).withColumn("x", F.lit(1)).collect() == []
+
+
+def test_runs_over_bands(spark, monkeypatch):
+    """Runs of an image over bands of rows, some without a change inside, some missing."""
+    from tilewright.operators import raster
+
+    monkeypatch.setattr(raster, "BAND", 2)
+    r = random.Random(2)
+    images = {"a": [[0] * 5] * 9, "b": [[int(r.random() < 0.5) for _ in range(5)] for _ in range(11)], "c": [[1] * 5] * 3 + [[0, 1, 1, 1, 1]] + [[1] * 5] * 6, None: [[1, 0, 1, 0, 1]] * 3}
+    rows = [(k, y, x, v) for k, image in images.items() for y, line in enumerate(image) for x, v in enumerate(line)]
+    got = raster.rle(spark.createDataFrame(rows, "k string, y int, x int, v int").repartition(7), ["k"], 5, F.col("v") == 1).collect()
+    for k, image in images.items():
+        want, flat = [], [v for line in image for v in line]
+        for i, v in enumerate(flat):
+            if not want or want[-1][2] != v:
+                want.append([i, 0, v])
+            want[-1][1] += 1
+        assert [[x["start"], x["length"], x["bit"]] for x in sorted((x for x in got if x["k"] == k), key=lambda x: x["run"])] == want
+        assert sorted(x["run"] for x in got if x["k"] == k) == list(range(len(want)))

@@ -93,18 +93,30 @@ def pixels_of(df: DataFrame, keys: list[str], values: str, width: int) -> DataFr
 def rle(pixels: DataFrame, keys: list[str], width: int, set_: Column) -> DataFrame:
     """Runs of equal mask values in row order, as (keys.., run, start, length, bit).
 
-    Runs are found within each row of pixels; rows are then joined where a run
-    goes on, so a task orders the runs of an image and never its pixels.
+    Runs are found within each row of pixels, and numbered within each band of
+    ``BAND`` rows; a row for each band then says whether its first run goes on
+    from the band before and how many runs come before it. So a task orders the
+    runs of a band, or the bands of an image, and never an image's runs.
     """
     at = pixels.select(*keys, "y", "x", set_.cast("int").alias("bit"))
     line = Window.partitionBy(*keys, "y").orderBy("x")
     begins = (F.col("bit") != F.lag("bit").over(line)) | (F.lag("x").over(line).isNull())
     inside = at.withColumn("r", F.sum(F.when(begins, 1).otherwise(0)).over(line))
     short = inside.groupBy(*keys, "y", "r", "bit").agg((F.col("y") * width + F.min("x")).alias("start"), F.count("*").alias("length"))
-    image = Window.partitionBy(*keys).orderBy("start")
-    new = F.when(F.col("bit") != F.lag("bit").over(image), 1).otherwise(0)
-    runs = short.withColumn("new", new).withColumn("run", F.sum("new").over(image))
-    return runs.groupBy(*keys, "run", "bit").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+    band = Window.partitionBy(*keys, "band").orderBy("start")
+    new = F.when(F.col("bit") != F.lag("bit").over(band), 1).otherwise(0)
+    runs = short.withColumn("band", F.floor(F.col("y") / BAND)).withColumn("new", new).withColumn("own", F.sum("new").over(band))
+    ends = runs.groupBy(*keys, "band").agg(F.min_by("bit", "start").alias("first"), F.max_by("bit", "start").alias("last"), F.sum("new").alias("news"))
+    image = Window.partitionBy(*keys).orderBy("band")
+    joint = F.when(F.col("first") != F.lag("last").over(image), 1).otherwise(0)
+    before = ends.withColumn("joint", joint).withColumn("before", F.sum(F.col("joint") + F.col("news")).over(image) - F.col("news"))
+    names = [f"b_{k}" for k in keys]
+    before = before.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("band").alias("b_band"), "before")
+    same = F.col("band") == F.col("b_band")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    numbered = runs.join(before, same).withColumn("run", F.col("own") + F.col("before"))
+    return numbered.groupBy(*keys, "run", "bit").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
 
 
 def zonal_stats(pixels: DataFrame, zones: DataFrame, keys: list[str], cell: int = 256) -> DataFrame:
