@@ -21,7 +21,9 @@ TABLE_HASHES = 2 * SIDE * WIDTH
 #: Further minhashes sharpen the estimate that comes before verification.
 HASHES = 64
 #: Documents a block of a cluster holds, where leaders leave it in several components.
-BLOCK = 512
+BLOCK = 1024
+#: Shingles a side of a block holds, about, and columns of the matrices that meet there.
+BLOCK_WORDS, COLUMNS = 2_000_000, 4096
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -117,42 +119,75 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
 
 
-def _likely_in(min_percent: int, floor: int):
-    """Pairs (a, b) of a block's two sides, of different components, that sizes and minhashes leave."""
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right one: products of 0/1 matrices, some shingles at a time."""
+    flat, owner = np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    # a shingle of one set alone is shared by none
+    some = times[code] > 1
+    code, owner = np.unique(code[some], return_inverse=True)[1], owner[some]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, (c, c + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], code[a:b] - c] = 1
+        out += part[left] @ part[right].T
+    return out.astype(np.int64)
+
+
+def _links_in(min_percent: int):
+    """Links (a, b) that join what a block's two sides hold: every pair of different components is judged on full sets, a forest of those that hold goes out."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
-        ids, size, joined = (rows[c].to_numpy() for c in ("id", "n", "joined"))
-        right = np.flatnonzero(rows["side"] == 1)
-        found = []
-        for i in np.flatnonzero(rows["side"] == 0):
-            to = right[(joined[right] != joined[i]) & (100 * np.minimum(size[right], size[i]) >= min_percent * np.maximum(size[right], size[i]))]
-            found.append(np.stack([np.full(len(to), ids[i]), ids[to]], axis=1)[(sig[to] == sig[i]).sum(axis=1) >= floor])
-        made = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+        ids, joined = rows["id"].to_numpy(), rows["joined"].to_numpy()
+        sets = [np.asarray(s, np.int64) for s in rows["shingles"]]
+        size = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
+        shared = _shared(sets, left, right)
+        good = ((100 + min_percent) * shared >= min_percent * (size[left][:, None] + size[right])) & (joined[left][:, None] != joined[right])
+        found, fresh = [], [np.ones(len(left), bool), np.ones(len(right), bool)]
+        for start in np.flatnonzero(good.any(axis=1)).tolist():
+            todo = [(0, start)] if fresh[0][start] else []
+            fresh[0][start] = False
+            while todo:
+                side, k = todo.pop()
+                to = np.flatnonzero((good[:, k] if side else good[k]) & fresh[1 - side])
+                fresh[1 - side][to] = False
+                own = ids[(right if side else left)[k]]
+                found += [(own, other) for other in ids[(left if side else right)[to]].tolist()]
+                todo += [(1 - side, j) for j in to.tolist()]
+        made = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": made.min(axis=1, initial=1 << 62), "b": made.max(axis=1, initial=-1 << 62)}).astype("int64")
 
     return run
 
 
-def _beyond_leaders(classes: DataFrame, coarse: DataFrame, links: DataFrame, min_percent: int, floor: int) -> DataFrame:
-    """Pairs (a, b) of one cluster that ``links`` do not join: each member outside a cluster's largest component with all of others.
+def _beyond_leaders(sets: DataFrame, coarse: DataFrame, links: DataFrame, min_percent: int) -> DataFrame:
+    """Links (a, b) of one cluster that ``links`` do not imply: each member outside a cluster's largest component meets all of others.
 
-    Blocks hold ids, sizes and minhashes alone, so a task's memory depends on no text.
+    They meet in blocks of two sides, by their full sets, and only links leave a
+    block, fewer than its members. A side holds at most about ``BLOCK`` members
+    and ``BLOCK_WORDS`` shingles.
     """
     clusters = connected_components(coarse).toDF("id", "cluster")
     joined = connected_components(links).toDF("id", "joined")
-    members = materialize(clusters.join(joined, "id", "left").withColumn("joined", F.coalesce("joined", "id")), "clusters")
-    parts = members.groupBy("cluster", "joined").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("cluster").agg(F.sum("k").alias("m"), F.max("k").alias("top"), F.max_by("joined", "k").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    rows = members.join(mixed, "cluster").join(classes.select("id", "n", "sig"), "id")
-    rows = rows.select("cluster", "id", "n", "sig", "joined", (F.col("joined") != F.col("most")).alias("other"), F.ceil(F.col("m") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int").alias("other_blocks"))
-    rows = materialize(rows, "members")
+    members = materialize(clusters.join(joined, "id", "left").withColumn("joined", F.coalesce("joined", "id")).join(sets.select("id", "n"), "id"), "clusters")
+    parts = members.groupBy("cluster", "joined").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    top = F.max(F.struct("k", "w", "joined"))
+    mixed = parts.groupBy("cluster").agg(F.sum("k").alias("m"), F.sum("w").alias("words"), top.alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    blocks_of = lambda k, w: F.ceil(F.greatest(k / BLOCK, w / BLOCK_WORDS, F.lit(1))).cast("int")
+    rows = members.drop("n").join(mixed, "cluster").select(
+        "cluster", "id", "joined", (F.col("joined") != F.col("top.joined")).alias("other"), blocks_of(F.col("m"), F.col("words")).alias("all_blocks"), blocks_of(F.col("m") - F.col("top.k"), F.col("words") - F.col("top.w")).alias("other_blocks")
+    )
+    rows = materialize(rows.join(sets.select("id", "shingles").hint("merge"), "id"), "members")
     block = lambda seed, of: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    own = ["id", "n", "sig", "joined"]
+    own = ["id", "joined", "shingles"]
     left = rows.where("other").select("cluster", block("other", "other_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(0).alias("side"), *own)
     right = rows.select("cluster", every("other_blocks").alias("i"), block("all", "all_blocks").alias("j"), F.lit(1).alias("side"), *own)
-    return left.union(right).groupBy("cluster", "i", "j").applyInPandas(_likely_in(min_percent, floor), "a long, b long").distinct()
+    return left.union(right).groupBy("cluster", "i", "j").applyInPandas(_links_in(min_percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, min_percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,9 +202,9 @@ def near_duplicates(docs: DataFrame, min_percent: int = 85, doc_id: str = "doc_i
     64 minhashes do not rule out (four and a half standard errors) make clusters.
     Each member's best proposal is confirmed on full sets first, then those that
     this does not join. Where a cluster is of several components even then, each
-    member outside its largest one is compared with all of others by minhashes,
-    block by block, and what these leave is confirmed; so a cluster of very many
-    copies costs a pair for each of them, and no pair of a cluster is left out.
+    member outside its largest one is compared with all of others on full sets,
+    block by block, and a block hands on fewer links than it has members; no pair
+    of a cluster is left out.
     Links are joined by distributed connected components.
 
     Texts without words, and null texts, have an empty set and link with nothing.
@@ -198,8 +233,7 @@ def near_duplicates(docs: DataFrame, min_percent: int = 85, doc_id: str = "doc_i
     links = materialize(_confirmed(sets, best, min_percent), "links")
     rest = materialize(_apart(coarse.select("a", "b"), links), "apart")
     links = links.union(materialize(_confirmed(sets, rest, min_percent), "links"))
-    more = materialize(_beyond_leaders(classes, coarse, links, min_percent, floor), "likely")
-    links = links.union(materialize(_confirmed(sets, more, min_percent), "links"))
+    links = links.union(materialize(_beyond_leaders(sets, coarse, links, min_percent), "links"))
     joined = connected_components(links)
     named = classes.select("set_a", "set_b", "id").join(joined, classes["id"] == joined["node"], "left")
     named = named.select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.coalesce("component", "id").alias("c"))
