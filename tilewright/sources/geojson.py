@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.ring_columns import joined_parts
 
 # Fixed values of the format.
 COLOUR = -3140401
@@ -22,7 +23,8 @@ def parse_features(features: DataFrame, ds: float = 1, offset: tuple[float, floa
     """Regions (image_id, roi_idx, name, type, ring, x0 .. area) from (image_id, roi_idx, json), one feature a row.
 
     The first ring of a polygon counts, and of several parts the largest; bare
-    points are a ring. Rings are scaled by 1 / ds about the origin, then moved
+    points are a ring; of parts that are no rings, the first two are grown by 1 and
+    joined. Rings are scaled by 1 / ds about the origin, then moved
     by ``offset``. Features without a name get ``name``, those without usable
     coordinates are left out.
     """
@@ -34,6 +36,9 @@ def parse_features(features: DataFrame, ds: float = 1, offset: tuple[float, floa
     first, largest, flat = _ring(F.try_element_at(one, F.lit(1))), F.try_element_at(parts, F.lit(1))["r"], _ring(bare)
     f = f.withColumns({"r1": first, "r2": largest, "r3": flat})
     ring = F.when(good(F.col("r1")), F.col("r1")).when(good(F.col("r2")), F.col("r2")).when(good(F.col("r3")), F.col("r3"))
+    # the last rung: two parts of which neither is a ring by itself
+    thin = F.when(ring.isNull(), F.transform(F.filter(many, lambda p: F.size(p[0]) > 0), lambda p: F.filter(_ring(p[0]), lambda q: q["x"].isNotNull() & q["y"].isNotNull())))
+    ring = F.coalesce(ring, joined_parts(thin))
     dx, dy = offset or (0.0, 0.0)
     f = f.withColumn("ring", ring).where("ring is not null").withColumn("ring", G.ring_translate(G.ring_scale(F.col("ring"), 1 / ds), dx, dy))
     b = G.ring_bounds(F.col("ring"))
