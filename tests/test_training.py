@@ -81,3 +81,35 @@ def test_moves_are_drawn_by_seed(spark):
     tiles = spark.range(400).select(F.lit("s").alias("image_id"), F.col("id").alias("x0"), F.lit(0).alias("y0"), F.col("id").alias("x1"), F.lit(9).alias("y1"))
     one, two = ({r["x0"]: r["move"] for r in training.with_moves(tiles, seed).collect()} for seed in ("1", "2"))
     assert set(one.values()) == set(range(8)) and one != two and one == {r["x0"]: r["move"] for r in training.with_moves(tiles, "1").collect()}
+
+
+def test_segmenter_outputs(spark):
+    """Two overlapping tiles of a disc: outlines with scores, and one mask of the image without overlaps."""
+    from tilewright.operators import raster
+
+    y, x = np.mgrid[0:60, 0:80]
+    whole = np.where((x - 40) ** 2 + (y - 30) ** 2 <= 200, 200, 20).astype(np.uint8)
+    rows = [("s", a, 0, a + 50, 60, bytearray(whole[:, a : a + 50].tobytes())) for a in (0, 30)] + [("empty", 0, 0, 4, 4, bytearray(16))]
+    tiles = spark.createDataFrame(rows, "image_id string, x0 long, y0 long, x1 long, y1 long, data binary")
+    model = lambda pixels: np.stack([np.zeros(pixels.shape[1:]), (pixels[0] - 0.5) * 10])
+    got = raster.segment(tiles, model, 0.6).orderBy("image_id").collect()
+    likely = 1 / (1 + np.exp(-(200 / 255 - 0.5) * 10))
+    assert len(got) == 2 and all(r["image_id"] == "s" and r["class_id"] == 0 and r["score"] == pytest.approx(likely, abs=0.05) and r["p_max"] == pytest.approx(likely) for r in got)
+    assert max(p["x"] for r in got for p in r["ring"]) > 50
+    mask = np.zeros((60, 80), int)
+    for r in raster.segment_masks(tiles, model, 0.6).collect():
+        mask[r["y"], r["x0"] : r["x1"]] += 1
+    assert (mask == (whole == 200)).all()
+
+
+def test_patches_with_pixels_and_lookups(spark):
+    whole = np.random.default_rng(3).integers(0, 255, (3, 40, 40)).astype(np.uint8)
+    tiles = spark.createDataFrame([("s", 5, 6, 25, 30, "a"), ("s", 0, 0, 8, 8, "foreground"), ("s", 30, 30, 40, 40, None)], "image_id string, x0 long, y0 long, x1 long, y1 long, name string")
+    got = {r["x0"]: r for r in training.patches(tiles, _chunks(spark, whole, 16), 16, exclude=("foreground",)).collect()}
+    assert set(got) == {5, 30} and got[5]["name"] == "a" and got[30]["name"] is None
+    assert (np.frombuffer(bytes(got[5]["data"]), np.uint8).reshape(3, 24, 20) == whole[:, 6:30, 5:25]).all()
+    own = spark.createDataFrame([(1, 7, 2, 5.0, 0), (2, 7, 3, 9.0, 1), (3, 8, 2, 50.0, 0), (4, 8, 2, 9.0, 0)], "id long, image_id long, category_id int, area double, iscrowd int")
+    images, categories = dataset.annotation_index(own)
+    assert {r["image_id"]: r["ann_ids"] for r in images.collect()} == {7: [1, 2], 8: [3, 4]} and {r["category_id"]: r["image_ids"] for r in categories.collect()} == {2: [7, 8], 3: [7]}
+    ids = lambda **k: sorted(r["id"] for r in dataset.find_annotations(own, **k).collect())
+    assert ids() == [1, 2, 3, 4] and ids(images=[8], categories=[2], area=(5, 10)) == [4] and ids(crowd=True) == [2] and ids(images=[]) == []

@@ -58,6 +58,24 @@ def to_coco(annotations: DataFrame, order: list[str]) -> tuple[DataFrame, DataFr
     return images.select(F.col("image_id").alias("id")), categories, rows
 
 
+def annotation_index(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(image_id, ann_ids) and (category_id, image_ids): the annotations of each image, the images of each category, in order.
+
+    An image's ids, and a category's images, are one row each.
+    """
+    of_image = annotations.groupBy("image_id").agg(F.sort_array(F.collect_list("id")).alias("ann_ids"))
+    of_category = annotations.select("category_id", "image_id").distinct().groupBy("category_id").agg(F.sort_array(F.collect_list("image_id")).alias("image_ids"))
+    return of_image, of_category
+
+
+def find_annotations(annotations: DataFrame, images: list | None = None, categories: list | None = None, area: tuple[float, float] | None = None, crowd: bool | None = None) -> DataFrame:
+    """Annotations of the listed images and categories, with an area strictly between two values, crowds or not; None asks for any."""
+    for column, wanted in (("image_id", images), ("category_id", categories)):
+        annotations = annotations.where(F.col(column).isin(wanted)) if wanted is not None else annotations
+    annotations = annotations.where((F.col("area") > area[0]) & (F.col("area") < area[1])) if area is not None else annotations
+    return annotations.where(F.col("iscrowd") == int(crowd)) if crowd is not None else annotations
+
+
 def coco_results(predictions: DataFrame) -> DataFrame:
     """One row per object from arrays of boxes, scores and labels of an image."""
     each = predictions.select("image_id", F.explode(F.arrays_zip("boxes", "scores", "labels")).alias("o"))

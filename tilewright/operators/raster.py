@@ -235,6 +235,59 @@ def predict(tiles: DataFrame, model: Model, channels: int = 1, tolerance: float
     return tiles.select("image_id", "x0", "y0", "x1", "y1", "data").mapInPandas(run, fields)
 
 
+#: Gives logits (2, height, width), the second for what is looked for, of a tile's pixels.
+Segmenter = Callable[[np.ndarray], np.ndarray]
+
+
+def _likely(tile, model: Segmenter, channels: int, dtype: str) -> np.ndarray:
+    """The softmax probability of the second class, (height, width); pixels reach the model as shares of their type's largest value."""
+    pixels = np.frombuffer(tile.data, dtype).reshape(channels, tile.y1 - tile.y0, tile.x1 - tile.x0)
+    top = np.iinfo(dtype).max if np.dtype(dtype).kind in "ui" else 1.0
+    logits = np.asarray(model((pixels / top).astype(np.float32)), float)
+    return 1 / (1 + np.exp(np.clip(logits[0] - logits[1], -700, 700)))
+
+
+def segment(tiles: DataFrame, model: Segmenter, threshold: float = 0.5, channels: int = 1, dtype: str = "uint8", tolerance: float = 0.001, least_points: int = 3) -> DataFrame:
+    """Outlines of what a segmenter finds: (image_id, class_id, score, p_max, p_min, ring), in slide coordinates.
+
+    Pixels of at least ``threshold`` are traced; an outline's ``score`` is the
+    mean probability of the pixels inside it, with their maximum and minimum, and
+    its class 0. Outlines without a pixel inside are left out. Tiles stay in the
+    partition they are in, one at a time in memory.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t in batch.itertuples(index=False):
+                p = _likely(t, model, channels, dtype)
+                for ring in polygon.trace(p >= threshold, tolerance, least_points):
+                    inside = [p[y, a:b] for y, a, b in polygon.fill_runs(ring, p.shape[1], p.shape[0])]
+                    if inside:
+                        own = np.concatenate(inside)
+                        out.append((t.image_id, 0, float(own.mean()), float(own.max()), float(own.min()), [{"x": x + t.x0, "y": y + t.y0} for x, y in ring.tolist()]))
+            yield pd.DataFrame(out, columns=["image_id", "class_id", "score", "p_max", "p_min", "ring"])
+
+    fields = f"image_id {tiles.schema['image_id'].dataType.simpleString()}, class_id int, score double, p_max double, p_min double, ring array<struct<x:double,y:double>>"
+    return tiles.select("image_id", "x0", "y0", "x1", "y1", "data").mapInPandas(run, fields)
+
+
+def segment_masks(tiles: DataFrame, model: Segmenter, threshold: float = 0.5, channels: int = 1, dtype: str = "uint8") -> DataFrame:
+    """The mask of each image instead of outlines: (image_id, y, x0, x1), disjoint runs in slide coordinates; tiles may overlap."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t in batch.itertuples(index=False):
+                edges = np.diff(np.pad((_likely(t, model, channels, dtype) >= threshold).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                (y, a), (_, b) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+                out.append(pd.DataFrame({"image_id": t.image_id, "y": y + t.y0, "x0": a + t.x0, "x1": b + t.x0}))
+            yield pd.concat(out) if out else pd.DataFrame(columns=["image_id", "y", "x0", "x1"])
+
+    fields = f"image_id {tiles.schema['image_id'].dataType.simpleString()}, y long, x0 long, x1 long"
+    return merge_runs(tiles.select("image_id", "x0", "y0", "x1", "y1", "data").mapInPandas(run, fields), ["image_id"])
+
+
 def threshold_model(level: int) -> Model:
     """A model for tests: one object of class 1, all pixels of the first channel at or above ``level``."""
 

@@ -142,12 +142,20 @@ def global_meter(df: DataFrame, keys: list[str], value: Column, n: Column) -> Da
     return df.groupBy(*keys).agg(F.sum(value * n).alias("total"), F.sum(n).alias("count")).withColumn("global_avg", F.try_divide("total", "count"))
 
 
-def log_every(df: DataFrame, order: list[str], freq: int, keys: list[str]) -> DataFrame:
-    """Rows logged: every ``freq``-th of a key's from its first, and its last, with ``i`` and ``remaining``."""
+def log_every(df: DataFrame, order: list[str], freq: int, keys: list[str], seconds: str | None = None) -> DataFrame:
+    """Rows logged: every ``freq``-th of a key's from its first, and its last, with ``i`` and ``remaining``.
+
+    With ``seconds``, the time each row took, also ``eta``: the mean time so far
+    times the rows from this one on. A key's rows are one window.
+    """
     w = Window.partitionBy(*keys)
     i = F.row_number().over(w.orderBy(*order)) - 1
     n = F.count("*").over(w)
-    return df.withColumn("i", i).withColumn("remaining", n - 1 - F.col("i")).where((F.col("i") % freq == 0) | (F.col("remaining") == 0))
+    out = df.withColumn("i", i).withColumn("remaining", n - 1 - F.col("i"))
+    if seconds is not None:
+        so_far = F.avg(F.col(seconds).cast("double")).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("eta", so_far * (F.col("remaining") + 1))
+    return out.where((F.col("i") % freq == 0) | (F.col("remaining") == 0))
 
 
 def warmup_factor(step: Column, warmup_iters: int, warmup_factor_: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import polygon
-from ..sources.images import parts_of, pasted
+from ..sources.images import crop, parts_of, pasted
 from .dataset import MOVES
 
 TILE = ["image_id", "x0", "y0", "x1", "y1"]
@@ -39,6 +39,14 @@ def with_moves(tiles: DataFrame, seed: str = "") -> DataFrame:
     return tiles.withColumn("move", F.pmod(F.xxhash64(*TILE, F.lit(seed)), F.lit(len(MOVES))).cast("int"))
 
 
+def patches(tiles: DataFrame, chunks: DataFrame, chunk_size: int, name: str = "name", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Each tile as a patch with its pixels: (image_id, x0, y0, x1, y1, name, data), (channels, height, width); tiles of the excluded names are left out."""
+    own = tiles.where(~F.coalesce(F.col(name).isin(list(exclude)), F.lit(False))) if exclude else tiles
+    cut = crop(chunks, own, chunk_size)
+    named = own.select(*[F.col(c).alias(f"tile_{c}") for c in TILE], F.col(name).alias("name"))
+    return cut.join(named, [F.col(c) == F.col(f"tile_{c}") for c in TILE]).select(*TILE, "name", "data")
+
+
 def training_arrays(tiles: DataFrame, chunks: DataFrame, rois: DataFrame, chunk_size: int, top: float = 255.0, keep_empty: bool = True) -> DataFrame:
     """One record a tile: its pixels as float32, and the boxes, labels, areas, rings and masks of its regions, in the order of ``roi_idx``.
 

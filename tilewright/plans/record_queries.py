@@ -465,3 +465,19 @@ union all select id, p.image_id, batch, cast(own as int) from placed p join kept
 union all select p.id, p.image_id, batch, cast(left_ + j as int) from again a join placed p on p.image_id = a.image_id and p.k = j % a.n""")
 def stream_batches(spark, sf_dir):
     return S.grouped_batches(view(spark, sf_dir, "det").select("id", "image_id"), "id", "image_id", 7)
+
+
+@_det("annotation_index", """with each as (select image_id, count(*) as n, min(id) as first, max(id) as last from det group by image_id),
+seen as (select category_id, list(distinct image_id) as images from det group by category_id)
+select 'image' as kind, image_id as key, n, first, last from each union all select 'category', category_id, len(images), list_min(images), list_max(images) from seen""")
+def annotation_index(spark, sf_dir):
+    images, categories = D.annotation_index(view(spark, sf_dir, "det"))
+    row = lambda df, kind, key, ids: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.size(ids).cast("long").alias("n"), F.element_at(ids, 1).cast("long").alias("first"), F.element_at(ids, -1).cast("long").alias("last"))
+    return row(images, "image", "image_id", "ann_ids").union(row(categories, "category", "category_id", "image_ids"))
+
+
+@_det("log_every_eta", """with steps as (select id, image_id, row_number() over w - 1 as i, count(*) over (partition by image_id) as n, avg((x1 - x0)::double) over (partition by image_id order by id rows unbounded preceding) as mean from det window w as (partition by image_id order by id))
+select id, image_id, i, n - 1 - i as remaining, round(mean * (n - i), 4) as eta from steps where i % 9 = 0 or i = n - 1""")
+def log_every_eta(spark, sf_dir):
+    logged = S.log_every(view(spark, sf_dir, "det").withColumn("took", F.col("x1") - F.col("x0")), ["id"], 9, ["image_id"], "took")
+    return logged.select("id", "image_id", F.col("i").cast("long").alias("i"), "remaining", F.round("eta", 4).alias("eta"))
