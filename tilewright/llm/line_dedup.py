@@ -153,13 +153,23 @@ def _apart(pairs: DataFrame, near: DataFrame) -> DataFrame:
     return pairs.where("coalesce(cx, x) <> coalesce(cy, y)").drop("cx", "cy")
 
 
-def _confirmed(lines: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame:
+def _unlike(min_percent: int, differ: Column) -> Column:
+    """Whether lines of ``xn`` and ``yn`` shingles whose bitmaps differ in so many bits can still be similar."""
+    return differ * (100 + min_percent) <= (100 - min_percent) * (F.col("xn") + F.col("yn"))
+
+
+def _narrow() -> Column:
+    """Bits in which two lines' bitmaps differ."""
+    return sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in range(WORDS)), F.lit(0))
+
+
+def _confirmed(lines: DataFrame, pairs: DataFrame, min_percent: int, narrowed: bool = False) -> DataFrame:
     """Links (x, y) that join all lines that similar ones among the ``pairs`` (x, y, agree) join, by their full sets.
 
     Lines that differ in d shingles differ in d bits of their bitmaps at most,
     so pairs whose bitmaps differ in more bits than similar lines of their
-    lengths can are no similar pairs, and no similar pair is put aside. Of the
-    others, each line's pair with most equal bins is confirmed first, then those
+    lengths can are no similar pairs, and no similar pair is put aside; this is
+    not done again where ``pairs`` are ``narrowed``. Of the others, each line's pair with most equal bins is confirmed first, then those
     that this does not join and that wider bitmaps leave.
     """
     ends = lambda some: materialize(some.select(F.explode(F.array("x", "y")).alias("a")).distinct(), "wanted")
@@ -167,15 +177,15 @@ def _confirmed(lines: DataFrame, pairs: DataFrame, min_percent: int) -> DataFram
 
     def likely(some: DataFrame, signs: DataFrame, differ: Column) -> DataFrame:
         left, right = (_renamed(signs, end).withColumnRenamed(f"{end}a", end) for end in ("x", "y"))
-        may = differ * (100 + min_percent) <= (100 - min_percent) * (F.col("xn") + F.col("yn"))
-        return some.join(left, "x").join(right, "y").where(may).select("x", "y", "agree")
+        return some.join(left, "x").join(right, "y").where(_unlike(min_percent, differ)).select("x", "y", "agree")
 
     def full(some: DataFrame) -> DataFrame:
-        both = some.join(texts.toDF("x", "lx"), "x").join(texts.toDF("y", "ly"), "y")
+        # merged, never broadcast by the size of their file, which says little about that of texts
+        both = some.join(texts.toDF("x", "lx").hint("merge"), "x").join(texts.toDF("y", "ly").hint("merge"), "y")
         return both.where(similar(F.col("lx"), F.col("ly"), min_percent)).select("x", "y")
 
-    narrow = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in range(WORDS)), F.lit(0))
-    pairs = materialize(likely(pairs, _bitmaps(texts), narrow), "likely")
+    if not narrowed:
+        pairs = materialize(likely(pairs, _bitmaps(texts), _narrow()), "likely")
     best = pairs.select(F.explode(F.array("x", "y")).alias("a"), F.struct("agree", "x", "y").alias("p")).groupBy("a").agg(F.max("p").alias("p")).select("p.x", "p.y").distinct()
     first = materialize(full(best), "links")
     rest = materialize(_apart(pairs, _components(first)), "apart")
@@ -217,17 +227,22 @@ def _mixed(members: DataFrame, near: DataFrame) -> DataFrame:
     return inside.join(mixed.drop("parts"), "key")
 
 
-def _in_blocks(mixed: DataFrame) -> DataFrame:
-    """Pairs (x, y, agree) between each member outside its bucket's largest component and all of other components, block by block."""
+def _in_blocks(mixed: DataFrame, min_percent: int) -> DataFrame:
+    """Pairs (x, y, agree) between each member outside its bucket's largest component and all of other components, block by block.
+
+    Members bring their bitmaps along, so pairs that cannot be similar end in
+    their block.
+    """
     blocks = mixed.withColumns({"other": F.col("c") != F.col("most"), "all_blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "other_blocks": F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int")})
-    columns = ["a", "c", "other", *[f"p{h}" for h in range(len(PACKS))]]
+    columns, bits = ["a", "c", "other", *[f"p{h}" for h in range(len(PACKS))]], ["n", *[f"w{i}" for i in range(WORDS)]]
     block = lambda seed, of: F.pmod(F.xxhash64("a", F.lit(seed)), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = blocks.where("other").select("key", block("other", "other_blocks").alias("i"), every("all_blocks").alias("j"), *[F.col(c).alias(f"l_{c}") for c in columns])
-    right = blocks.select("key", every("other_blocks").alias("i"), block("all", "all_blocks").alias("j"), *[F.col(c).alias(f"r_{c}") for c in columns])
+    left = blocks.where("other").select("key", block("other", "other_blocks").alias("i"), every("all_blocks").alias("j"), *[F.col(c).alias(f"l_{c}") for c in columns], *[F.col(f"bits_{c}").alias(f"x{c}") for c in bits])
+    right = blocks.select("key", every("other_blocks").alias("i"), block("all", "all_blocks").alias("j"), *[F.col(c).alias(f"r_{c}") for c in columns], *[F.col(f"bits_{c}").alias(f"y{c}") for c in bits])
     once = (F.col("l_c") != F.col("r_c")) & (~F.col("r_other") | (F.col("l_a") < F.col("r_a")))
-    pairs = left.join(right, ["key", "i", "j"]).where(once).select(F.least("l_a", "r_a").alias("x"), F.greatest("l_a", "r_a").alias("y"), _equal_bins("l_", "r_").alias("agree"))
-    return pairs.where(F.col("agree") >= LEAST_AGREEING).distinct()
+    enough = _equal_bins("l_", "r_") >= LEAST_AGREEING
+    met = left.join(right, ["key", "i", "j"]).where(once).where(enough).where(_unlike(min_percent, _narrow()))
+    return met.select(F.least("l_a", "r_a").alias("x"), F.greatest("l_a", "r_a").alias("y"), _equal_bins("l_", "r_").alias("agree")).distinct()
 
 
 def near_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,8 +270,10 @@ def near_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", t
     mixed = materialize(_mixed(large, near), "mixed")
     if mixed.isEmpty():
         return links
-    pairs = materialize(_apart(_in_blocks(mixed), near), "proposed")
-    return links.union(_confirmed(lines, pairs, min_percent))
+    texts = _texts(lines, materialize(mixed.select("a").distinct(), "wanted"))
+    mixed = materialize(mixed.join(_renamed(_bitmaps(texts), "bits_"), F.col("a") == F.col("bits_a")).drop("bits_a"), "mixed")
+    pairs = materialize(_in_blocks(mixed, min_percent), "proposed")
+    return links.union(_confirmed(lines, pairs, min_percent, narrowed=True))
 
 
 def dedup_lines(docs: DataFrame, min_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
