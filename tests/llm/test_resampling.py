@@ -69,6 +69,15 @@ def test_draws_match_the_definition(spark, monkeypatch):
         assert [(r["doc_id"], r["score"]) for r in ranked] == [(r[0], r[4]) for r in drawn]
 
 
+def test_one_shuffle_of_postings_serves_both(spark):
+    rows = spark.createDataFrame([(k, "a b c " * k) for k in range(30)], "doc_id long, text string")
+    rows.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/postings")
+    weighed = R.weigh(spark.read.parquet(path), rows.select("text"))
+    assert len(weighed.collect()) == 30
+    plan = weighed._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
 def test_empty_tables(spark):
     none, some = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c " * 9)], "doc_id long, text string")
     assert R.resample(none, some).collect() == []

@@ -119,10 +119,12 @@ def _totals(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def _contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row of postings: the sum of gains of each of its documents. Rows of documents pass."""
+    """For each row of postings of the corpus: the sum of gains of each of its documents. Rows of documents pass."""
     for batch in batches:
         out = []
-        for part, block, bucket, row, n, doc_id, words, gains in zip(*[batch.column(c) for c in ("part", "block", "bucket", "row", "n", "doc_id", "words", "gains")]):
+        for corpus, part, block, bucket, row, n, doc_id, words, gains in zip(*[batch.column(c) for c in ("corpus", "part", "block", "bucket", "row", "n", "doc_id", "words", "gains")]):
+            if not corpus.as_py():
+                continue
             if part.as_py() < 0:
                 out.append((block.as_py(), None, None, doc_id.values, words.values))
                 continue
@@ -179,7 +181,8 @@ def weigh(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, doc_id: st
     # the same shuffle serves the totals and the contributions
     dealt = posted[0].union(posted[1]).repartition(tasks, "part", F.pmod(F.xxhash64("block"), F.lit(salts)))
     gains = gains_of(dealt.mapInArrow(partial(_totals, width=width), "corpus boolean, part int, sums array<long>"), buckets)
-    weighed = dealt.where("corpus").join(F.broadcast(gains), "part", "left").select("part", "block", "bucket", "row", "n", "doc_id", "words", "gains")
+    # no filter and no projection here: Spark would push them below the shuffle, which then could not serve both
+    weighed = dealt.join(F.broadcast(gains), "part", "left")
     sums = weighed.mapInArrow(_contribute, "block long, row array<short>, gain array<long>, doc_id array<long>, words array<long>")
     out = sums.groupBy("block").applyInArrow(_reduce, "doc_id long, n_words long, gain long")
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(0)).cast("long")
