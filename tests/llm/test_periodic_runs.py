@@ -96,3 +96,13 @@ def test_the_query_by_the_contract(spark):
         assert row["exponent_milli"] == (1000 * best[1] // best[2] if runs else None)
         assert row["runs_sha256"] == hashlib.sha256("".join(f"{a},{b},{c}\n" for a, b, c in runs).encode()).hexdigest()
         assert row["collapsed_sha256"] == hashlib.sha256(_collapsed(words, runs).encode()).hexdigest()
+
+
+def test_the_query_on_texts_without_words(spark, tmp_path):
+    ids = [next(i for i in range(1000) if (zlib.crc32(str(i).encode()) % 10 == 0) == edited) for edited in (True, False)]
+    rows = [(i, text) for i in ids for text in (None, "", " \n\t")] + [(5000, "a a a a a a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in queries.op11_periodic_runs(spark, str(tmp_path)).collect()), key=lambda r: r[0])
+    none = hashlib.sha256(b"").hexdigest()
+    assert got[:6] == sorted((i, 0, None, None, None, None, none, none) for i in ids for _ in range(3))
+    assert got[6][:2] == (5000, 1) and len(got) == 7
