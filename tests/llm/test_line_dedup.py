@@ -1,5 +1,11 @@
+import os
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from tilewright import storage
+from tilewright.llm import line_dedup
 from tilewright.llm.line_dedup import dedup_lines
 
 
@@ -87,3 +93,30 @@ def test_members_of_template_families_meet_each_other(spark):
     lost = [i for i in pairs if got[i + 1] != ""]
     assert len(lost) <= len(pairs) // 100, len(lost)
     assert all(got[i] == line for i, line in rows if i % 2 == 0)
+
+
+def test_unlike_lines_of_few_syllables_are_not_proposed(spark):
+    r = random.Random(9)
+    syllables = ["th", "er", "an", "tion", "on", "he", "re", "nd", "in", "the", "of", "ing"]
+    lines = [" ".join("".join(r.choices(syllables, k=r.randrange(1, 4))) for _ in range(120)) for _ in range(2500)]
+    near = [line[:-6] + "?????" for line in lines[:50]]
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate(lines + near)], "a long, line string").repartition(3)
+    bins = line_dedup._signatures(rows)
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("b")[i] for i in band]) for k, band in enumerate(line_dedup.BANDS)])
+    members = line_dedup._members(bins.select("a", F.explode(keys).alias("key")), bins.drop("sparse", "b"))
+    pairs = {(x["x"], x["y"]) for x in line_dedup._proposed(members).collect()}
+    assert {(i, 2500 + i) for i in range(50)} <= pairs and len(pairs) < 10_000, len(pairs)
+
+
+def test_written_tables_leave_no_shuffle_files_and_can_go(spark):
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = spark.conf.get(conf), lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    held = kept()
+    table = storage.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert kept() <= held and spark.conf.get(conf) == before
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
+    assert table.count() == 7 and os.path.isdir(folder)
+    storage.discard(table)
+    assert not os.path.exists(folder)
+    with pytest.raises(ValueError):
+        storage.discard(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
