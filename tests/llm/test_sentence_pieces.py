@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from tilewright.llm.sentence_pieces import NONE, SCALE, best_path, chunk_matrix, combine, composed, decode, encode, encode_text, enters, leaves_of, load, product, scores_before, transfer_matrix
+from tilewright.llm.sentence_pieces import NONE, SCALE, best_path, chunk_matrix, combine, composed, decode, encode, encode_text, enters, leaves_of, load, piece_bytes, product, scores_before, transfer_matrix
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -110,3 +110,8 @@ def test_a_unigram_model_encodes_as_the_library_does(spark, tmp_path):
 
 def test_empty_table(spark):
     assert decode(encode(spark.createDataFrame([], "doc_id long, text string"), PATH), PATH).count() == 0
+
+
+def test_decoding_holds_no_more_than_the_bytes_of_ids(model):
+    whole = load(model)
+    assert piece_bytes(model) == (whole.as_bytes, whole.dummy_prefix)
