@@ -120,3 +120,19 @@ def test_written_tables_leave_no_shuffle_files_and_can_go(spark):
     assert not os.path.exists(folder)
     with pytest.raises(ValueError):
         storage.discard(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def test_copies_just_too_unlike_do_not_leave_their_blocks(spark, monkeypatch):
+    r = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    template = "".join(r.choices(letters, k=1000))
+    # two copies have about 0.7 of their shingles in common, so each is a component, and 1024 bits cannot tell them
+    lines = ["".join(r.choice(letters) if r.random() < 0.02 else c for c in template) for _ in range(400)]
+    rows = list(enumerate(lines + [line[:500] + "?" + line[501:] for line in lines[:20]]))
+    written, real = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: written.append((label, real(df, label))) or written[-1][1])
+    monkeypatch.setattr(line_dedup, "discard", lambda *tables: None)
+    got = {x["doc_id"]: x["text"] for x in dedup_lines(_docs(spark, rows)).collect()}
+    assert got == _brute(rows)
+    pairs = {label: df.count() for label, df in written if label in ("proposed", "likely", "apart")}
+    assert pairs and all(n < 20 * len(rows) for n in pairs.values()), pairs
