@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tilewright.plans import load_all
@@ -35,6 +36,17 @@ def test_the_rest_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_pixels_that_round_up_to_a_whole_number(spark, tmp_path):
+    """Floats whose thousandfold is whole only as a float."""
+    con, near = duckdb.connect(), [x for x in np.arange(1, 500, dtype=np.float32) / np.float32(1000) if float(x) * 1000 < float(np.floor(x * np.float32(1000)))]
+    assert len(near) > 9
+    con.execute("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", [(i, [float(near[(i * 64 + k) % len(near)]) for k in range(64)]) for i in range(8)])
+    con.execute(f"copy embeddings to '{tmp_path}/embeddings.parquet' (format parquet)")
+    df, want = QUERIES["training_arrays"](spark, str(tmp_path)), con.sql(ORACLES["training_arrays"])
+    assert sorted(tuple(r) for r in df.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
 def test_entry_stands_without_the_optional_part():
     import __spark_entry__
 

@@ -435,7 +435,8 @@ select vec_id as image_id, cast(move as int) as move, total, inside,
 from sums join flipped using (vec_id)""")
 def training_arrays(spark, sf_dir):
     e = view(spark, sf_dir, "embeddings").where("vec_id is not null")
-    byte = F.transform("embedding", lambda v: F.lpad(F.hex(F.floor(F.abs(v.cast("double")) * 1000) % 256), 2, "0"))
+    # a float times a whole number stays a float in SQL: some products round up to the next whole one
+    byte = F.transform("embedding", lambda v: F.lpad(F.hex(F.floor(F.abs(v) * F.lit(1000).cast("float")) % 256), 2, "0"))
     zero, eight = F.lit(0).cast("long"), F.lit(8).cast("long")
     tiles = e.select(F.col("vec_id").alias("image_id"), zero.alias("x0"), zero.alias("y0"), eight.alias("x1"), eight.alias("y1"), (F.col("vec_id") % 8).cast("int").alias("move"))
     chunks = e.select(F.col("vec_id").alias("image_id"), F.lit(0).alias("c0"), zero.alias("y0"), zero.alias("x0"), F.lit(1).alias("channels"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit("uint8").alias("dtype"), F.unhex(F.array_join(byte, "")).alias("data"))
