@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +17,14 @@ from ..functions import polygon
 RUNS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("y", "x0", "x1")]))
 
 
-@F.pandas_udf(RUNS)
-def fill_ring(ring: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    """Runs of the pixels that a ring holds in an image."""
-    return pd.Series([[{"y": y, "x0": a, "x1": b} for y, a, b in polygon.fill_runs(polygon.as_ring(r), int(w), int(h))] for r, w, h in zip(ring, width, height)])
+@F.arrow_udf(RUNS)
+def fill_ring(ring: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+    """Runs of the pixels that a ring holds in an image; a null ring has none. All rings of a batch are filled at once."""
+    size = pc.list_value_length(ring).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x, y = (ring.flatten().field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+    of, *runs = polygon.fill_many(x, y, size, *(v.to_numpy(zero_copy_only=False).astype(np.int64) for v in (width, height)))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(size)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in runs], ["y", "x0", "x1"]))
 
 
 def semantic_runs(runs: DataFrame, keys: list[str], cls: str = "class", order: str = "roi_idx") -> DataFrame:
