@@ -77,3 +77,22 @@ def test_batches_lose_nothing_and_negatives_are_drawn(spark):
 def test_merged_runs_are_disjoint(spark):
     runs = spark.createDataFrame([("s", 1, 0, 5), ("s", 1, 3, 9), ("s", 1, 9, 12), ("s", 1, 20, 22), ("s", 2, 0, 1)], "image_id string, y int, x0 int, x1 int")
     assert sorted((r["y"], r["x0"], r["x1"]) for r in raster.merge_runs(runs, ["image_id"]).collect()) == [(1, 0, 12), (1, 20, 22), (2, 0, 1)]
+
+
+def test_painting_in_order_multiplies_nothing_out(spark):
+    """Regions of several rows, types of keys and classes of any kind: against pixels; the plan has no join."""
+    import random
+
+    from tilewright.operators import raster
+
+    r = random.Random(3)
+    rows = [(r.choice("ab"), k, r.choice(["x", "y", None]), [(y, x, x + r.randrange(0, 30)) for y in range(r.randrange(-40, 20), 40) for x in (r.randrange(-50, 50),)]) for k in range(80)]
+    r.shuffle(rows)
+    want = {}
+    for image, _, cls, runs in sorted(rows, key=lambda q: q[1]):
+        want |= {(image, y, x): cls for y, a, b in runs for x in range(a, b)}
+    runs = spark.createDataFrame(rows, "image string, roi_idx long, class string, runs array<struct<y:int,x0:int,x1:int>>")
+    painted = raster.semantic_runs(runs, ["image"])
+    got = [(q["image"], q["y"], x, q["class"]) for q in painted.collect() for x in range(q["x0"], q["x1"])]
+    assert len(got) == len(want) and {g[:3]: g[3] for g in got} == want
+    assert "Join" not in painted._jdf.queryExecution().executedPlan().toString()

@@ -27,21 +27,40 @@ def fill_ring(ring: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in runs], ["y", "x0", "x1"]))
 
 
+#: Pixel rows of an image that are painted together.
+PAINTED = 16
+
+
 def semantic_runs(runs: DataFrame, keys: list[str], cls: str = "class", order: str = "roi_idx") -> DataFrame:
     """(keys.., y, x0, x1, class) of a mask painted in ``order``: disjoint runs, a later region covering an earlier one.
 
     ``runs`` has one row per region with ``runs``. Each row of pixels is cut at
-    the ends of its runs, and each run covers the cuts inside it, so the work is
-    that of the runs and not of their pixels.
+    the ends of its runs, and runs are painted over its parts in their order, so
+    nothing is multiplied out. A task holds the runs of ``PAINTED`` rows of an image.
     """
     flat = runs.select(*keys, cls, order, F.explode("runs").alias("r")).select(*keys, F.col("r.y").alias("y"), F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"), cls, order).where("x1 > x0")
-    row = [*keys, "y"]
-    cuts = flat.groupBy(*row).agg(F.array_sort(F.collect_set("x0")).alias("a"), F.array_sort(F.collect_set("x1")).alias("b"))
-    cuts = cuts.select(*row, F.array_sort(F.array_union("a", "b")).alias("cuts"))
-    inside = F.filter("cuts", lambda c: (c >= F.col("x0")) & (c < F.col("x1")))
-    parts = flat.join(cuts, row).select(*row, cls, order, "cuts", F.explode(inside).alias("x0"))
-    top = parts.groupBy(*row, "x0").agg(F.max_by(cls, order).alias("class"), F.first("cuts").alias("cuts"))
-    return top.select(*row, "x0", F.get("cuts", F.array_position("cuts", F.col("x0")).cast("int")).alias("x1"), "class")
+    names = [*keys, "y", "x0", "x1", "class"]
+
+    def paint(band: pa.Table) -> pa.Table:
+        y, x0, x1 = (band.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        low, left = y.min(), x0.min()
+        # the rows of a band one after the other in one line
+        wide = x1.max() - left + 1
+        start = (y - low) * wide + x0 - left
+        cuts = np.unique(np.concatenate([start, start + x1 - x0]))
+        turn = pc.array_sort_indices(band.column(order).combine_chunks(), null_placement="at_start").to_numpy()
+        a, b = np.searchsorted(cuts, start)[turn], np.searchsorted(cuts, start + x1 - x0)[turn]
+        top = np.full(len(cuts), -1)
+        for k, i, j in zip(turn.tolist(), a.tolist(), b.tolist()):
+            top[i:j] = k
+        some = np.flatnonzero(top >= 0)
+        own, at = pa.array(top[some]), cuts[some]
+        place = [at // wide + low, at % wide + left, at % wide + left + cuts[some + 1] - at]
+        return pa.Table.from_arrays([*[band.column(k).take(own) for k in keys], *[pa.array(p, pa.int32()) for p in place], band.column(cls).take(own)], names=names)
+
+    kinds = [runs.schema[c].dataType.simpleString() for c in keys] + ["int"] * 3 + [runs.schema[cls].dataType.simpleString()]
+    banded = flat.withColumn("__band", F.floor(F.col("y") / PAINTED))
+    return banded.groupBy(*keys, "__band").applyInArrow(paint, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
 
 
 def semantic_pixels(runs: DataFrame, keys: list[str], cls: str = "class", order: str = "roi_idx") -> DataFrame:
