@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import polygon
 from tilewright.operators import dataset, training
+from tilewright.plans import load_all
 
 TILES = "image_id string, x0 long, y0 long, x1 long, y1 long, move int"
 CHUNKS = "image_id string, level int, c0 int, y0 long, x0 long, channels int, h int, w int, dtype string, data binary"
@@ -113,3 +114,44 @@ def test_patches_with_pixels_and_lookups(spark):
     assert {r["image_id"]: r["ann_ids"] for r in images.collect()} == {7: [1, 2], 8: [3, 4]} and {r["category_id"]: r["image_ids"] for r in categories.collect()} == {2: [7, 8], 3: [7]}
     ids = lambda **k: sorted(r["id"] for r in dataset.find_annotations(own, **k).collect())
     assert ids() == [1, 2, 3, 4] and ids(images=[8], categories=[2], area=(5, 10)) == [4] and ids(crowd=True) == [2] and ids(images=[]) == []
+
+
+def _moved(x, y, turns, mirror, size=1024):
+    """One point, step by step; what is null lies at the edge, as it is clamped."""
+    x, y = (min(max(1 if v is None else v, 1), size - 1) for v in (x, y))
+    x = size - x if mirror else x
+    for _ in range(turns):
+        x, y = y, size - x
+    return x, y
+
+
+def test_odd_rings_are_moved_in_one_pass(spark):
+    rings = [None, [], [None, (3.5, None)], [(0.1, 2000.7), (-4.0, 1023.0), (float("nan"), 5.25)]]
+    df = spark.createDataFrame(list(enumerate(rings)), "id int, ring array<struct<x:double,y:double>>")
+    moves = df.select("id", *[dataset.augment_ring(F.col("ring"), m).alias(f"m{k}") for k, m in enumerate(dataset.MOVES)])
+    assert moves._jdf.queryExecution().optimizedPlan().toString().count("transform(") == len(dataset.MOVES)
+    for r in moves.collect():
+        for k, move in enumerate(dataset.MOVES):
+            # Spark takes NaN for larger than any number
+            want = rings[r["id"]] and [_moved(*[2000.0 if v is not None and v != v else v for v in p or (None, None)], *move) for p in rings[r["id"]]]
+            assert (r[f"m{k}"] is None) == (want is None) and [tuple(p) for p in r[f"m{k}"] or []] == (want or [])
+
+
+def test_augment_moves_every_corner_and_compiles_its_generators(spark, tmp_path):
+    rows = [(7, 30), (7, 30), (8, 12345), (None, 4), (9, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").selectExpr("*", "'1-URGENT' as o_orderpriority", "1.5D as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    df = load_all()[0]["augment"](spark, str(tmp_path))
+    want = []
+    for key, cust in rows:
+        corners = [None, None, None, None]
+        if key is not None:
+            x, w = key * 7919 % 8192 % 1024, 16 + key % 48
+            corners[0], corners[2] = x, x + w
+        if key is not None and cust is not None:
+            y, h = (cust * 10473 + key * 31) % 8192 % 1024, 16 + cust % 48
+            corners[1], corners[3] = y, y + h
+        ring = [(corners[a], corners[b]) for a, b in ((0, 1), (2, 1), (2, 3), (0, 3))]
+        want += [(key, k, turns, mirror, *map(float, _moved(*p, turns, mirror))) for turns, mirror in dataset.MOVES for k, p in enumerate(ring)]
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want))
+    generators = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in line]
+    assert len(generators) == 2 and all("*(" in line and "transform(" not in line for line in generators)

@@ -268,9 +268,11 @@ select id, k, cast(turns as int) as turns, mirror, case turns when 0 then x when
 def augment(spark, sf_dir):
     at = lambda c: F.col(c + "0") % 1024
     corners = G.Box(at("x"), at("y"), at("x") + F.col("x1") - F.col("x0"), at("y") + F.col("y1") - F.col("y0"))
-    moved = F.array(*[F.struct(F.lit(turns).alias("turns"), F.lit(mirror).alias("mirror"), D.augment_ring(F.col("ring"), (turns, mirror)).alias("ring")) for turns, mirror in D.MOVES])
-    each = view(spark, sf_dir, "det").select("id", G.ring_of(corners).alias("ring")).select("id", F.explode(moved).alias("m"))
-    return each.select("id", "m.turns", "m.mirror", F.posexplode("m.ring").alias("k", "p")).select("id", "k", "turns", "mirror", "p.x", "p.y")
+    # the moved rings are columns, so that both generators read them where they are and are compiled
+    rings = view(spark, sf_dir, "det").select("id", G.ring_of(corners).alias("ring")).select("id", *[D.augment_ring(F.col("ring"), move).alias(f"ring_{k}") for k, move in enumerate(D.MOVES)])
+    moved = F.array(*[F.struct(F.lit(turns).alias("turns"), F.lit(mirror).alias("mirror"), F.col(f"ring_{k}").alias("ring")) for k, (turns, mirror) in enumerate(D.MOVES)])
+    each = rings.select("id", F.inline(moved)).select("id", "turns", "mirror", F.posexplode("ring").alias("k", "p"))
+    return each.select("id", "k", "turns", "mirror", "p.x", "p.y")
 
 
 _PAIRS = """
